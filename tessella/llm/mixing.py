@@ -4,8 +4,9 @@ Source s gets the target min(level * weight, max_copies * size), with the one le
 targets add up to the budget: what resharing the excess by weight ends at. With m = target / size
 expected copies, every document gets floor(m) whole copies for certain. The rest m - floor(m) is the
 inclusion probability p of one copy more: documents are ranked by the odds of a seeded uniform number
-divided by the odds of p, and taken from the smallest while half of the next still fits, so the taken
-words miss the target by at most half a document. A `weight` column makes m, and so p, differ between
+divided by the odds of p, and taken from the smallest while they fit; two more rounds offer what is left of
+the target to the documents that still fit, in the same order, so a long document at the cut
+costs no accuracy. A `weight` column makes m, and so p, differ between
 documents of one source.
 
 A source's running sum goes through buckets of the rank key (window sums within (source, bucket),
@@ -38,8 +39,8 @@ def targets(sizes: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_
     w = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_copies).withColumn("cap_level", F.col("cap") / F.col("weight").cast("double"))
     w = w.withColumns({"budget": F.sum("source_size").over(everything) * F.lit(float(share)), "capped": F.coalesce(F.sum("cap").over(before), F.lit(0)), "open": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0))})
     w = w.withColumn("own_level", (F.col("budget") - F.col("capped")) / F.col("open").cast("double"))
-    # the level is that of the first source, by cap level, that its cap does not bind
-    w = w.withColumn("level", F.min(F.when(F.col("own_level") <= F.col("cap_level"), F.col("own_level"))).over(everything))
+    # the level is that of the first source, by cap level, that its cap does not bind; from there on levels only fall
+    w = w.withColumn("level", F.max(F.when(F.col("own_level") <= F.col("cap_level"), F.col("own_level"))).over(everything))
     binds = F.col("level").isNull() | (F.col("cap_level") <= F.col("level"))
     return w.select("source", "source_size", "weight", F.when(binds, F.col("cap").cast("double")).otherwise(F.col("level") * F.col("weight")).alias("target"))
 
@@ -57,18 +58,34 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_copie
     each = rows.join(goal.withColumn("ratio", ratio), "stratum").withColumn("m", m).withColumn("whole", F.floor("m").cast("int"))
     p = F.col("m") - F.col("whole")
     odds = F.col("u") / (1 - F.col("u")) / (p / (1 - p))
-    each = each.withColumn("q", F.when(p > 0, odds)).withColumn("b", F.when(p > 0, F.least(F.floor(F.col("q") / (1 + F.col("q")) * buckets), F.lit(buckets - 1)).cast("int")).otherwise(F.lit(buckets)))
-
-    per = each.groupBy("stratum", "b").agg(F.sum("size").alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    of = Window.partitionBy("stratum")
-    starts = per.select("stratum", "b", (F.sum("words").over(of.orderBy("b")) - F.col("words")).alias("before"), F.sum("sure").over(of).alias("sure"))
-    running = F.sum("size").over(Window.partitionBy("stratum", "b").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    reach = F.col("before") + F.col("running") - F.col("size") / 2.0
-    extra = F.when(F.col("q").isNotNull() & (F.col("size") > 0) & (reach <= F.col("target") - F.col("sure")), 1).otherwise(0)
-    done = each.withColumn("running", running).join(starts, ["stratum", "b"]).withColumn("copies", F.col("whole") + extra)
+    each = each.withColumn("q", F.when(p > 0, odds)).withColumn("b", F.when(p > 0, F.least(F.floor(F.col("q") / (1 + F.col("q")) * buckets), F.lit(buckets - 1)).cast("int")).otherwise(F.lit(-1)))
+
+    # b is -1 where nothing is left to chance
+    each = each.withColumn("extra", F.lit(0))
+    sure = each.groupBy("stratum").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"))
+    gaps = goal.join(sure, "stratum").select("stratum", (F.col("target") - F.col("sure")).alias("gap"))
+    for last in (False, False, True):
+        each = cut(fill(each, gaps, last), "round")
+        spent = each.filter(F.col("extra") == 1).groupBy("stratum").agg(F.sum("size").alias("spent"))
+        gaps = goal.join(sure, "stratum").join(spent, "stratum", "left").select("stratum", (F.col("target") - F.col("sure") - F.coalesce("spent", F.lit(0))).alias("gap"))
+    done = each.withColumn("copies", F.col("whole") + F.col("extra"))
     return done.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
 
+def fill(each: DataFrame, gaps: DataFrame, last: bool) -> DataFrame:
+    """Sets extra to 1 for the candidates that a source's gap still holds, in order of rank; in the last round for one more if at least half of it fits."""
+    open_ = F.col("q").isNotNull() & (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap") * (2 if last else 1))
+    rows = each.join(gaps, "stratum").withColumn("b", F.when(open_, F.col("b")).otherwise(-1))
+    words = F.when(F.col("b") >= 0, F.col("size")).otherwise(0)
+    of = Window.partitionBy("stratum").orderBy("b")
+    starts = rows.groupBy("stratum", "b").agg(F.sum(words).alias("words")).select("stratum", "b", (F.sum("words").over(of) - F.col("words")).alias("before"))
+    within = Window.partitionBy("stratum", "b").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.filter("b >= 0").withColumn("running", F.sum("size").over(within)).join(starts, ["stratum", "b"])
+    reach = F.col("before") + F.col("running") - (F.col("size") / 2.0 if last else F.lit(0.0))
+    met = met.withColumn("extra", F.when(reach <= F.col("gap"), 1).otherwise(0))
+    return met.select(*each.columns).unionByName(rows.filter("b < 0").select(*each.columns))
+
+
 def take(docs: DataFrame, **settings) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it. Documents without words are in no mix. Rows of one doc_id and size share their copies in any order."""
     decided = cut(mix(docs, **settings), "mix").filter("copies > 0")

@@ -117,14 +117,20 @@ ORACLE = {
             FROM c WINDOW before AS (ORDER BY cap_level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (
             SELECT source, source_size, CASE WHEN level IS NULL OR cap_level <= level THEN cap::DOUBLE ELSE level * weight END AS target
-            FROM (SELECT *, min(CASE WHEN own_level <= cap_level THEN own_level END) OVER () AS level FROM l)),
+            FROM (SELECT *, max(CASE WHEN own_level <= cap_level THEN own_level END) OVER () AS level FROM l)),
         m AS (
             SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size::DOUBLE, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS m
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
         q AS (SELECT *, floor(m)::BIGINT AS whole, m - floor(m) AS p FROM m),
         o AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q FROM q),
-        r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running FROM o)
-        SELECT doc_id, size, source_size, target,
-            (size * (whole + CASE WHEN q IS NOT NULL AND size > 0 AND running - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END))::BIGINT AS taken,
-            (whole + CASE WHEN q IS NOT NULL AND size > 0 AND running - size / 2.0::DOUBLE <= target - whole * source_size THEN 1 ELSE 0 END)::INT AS copies FROM r""",
+        g1 AS (SELECT *, target - whole * source_size AS gap, 0 AS extra FROM o),
+        r1 AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NOT NULL AND size > 0 AND size <= gap ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running FROM g1),
+        e1 AS (SELECT * REPLACE (CASE WHEN q IS NOT NULL AND size > 0 AND size <= gap AND running <= gap THEN 1 ELSE 0 END AS extra) FROM r1),
+        g2 AS (SELECT * REPLACE (target - whole * source_size - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e1),
+        r2 AS (SELECT * REPLACE (sum(size) OVER (PARTITION BY source, extra = 0 AND q IS NOT NULL AND size > 0 AND size <= gap ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running) FROM g2),
+        e2 AS (SELECT * REPLACE (CASE WHEN extra = 1 OR (q IS NOT NULL AND size > 0 AND size <= gap AND running <= gap) THEN 1 ELSE 0 END AS extra) FROM r2),
+        g3 AS (SELECT * REPLACE (target - whole * source_size - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e2),
+        r3 AS (SELECT * REPLACE (sum(size) OVER (PARTITION BY source, extra = 0 AND q IS NOT NULL AND size > 0 AND size <= gap * 2 ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running) FROM g3),
+        e3 AS (SELECT * REPLACE (CASE WHEN extra = 1 OR (q IS NOT NULL AND size > 0 AND size <= gap * 2 AND running - size / 2.0::DOUBLE <= gap) THEN 1 ELSE 0 END AS extra) FROM r3)
+        SELECT doc_id, size, source_size, target, (size * (whole + extra))::BIGINT AS taken, (whole + extra)::INT AS copies FROM e3""",
 }

@@ -80,6 +80,10 @@ def index(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def _differ(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x.view(np.uint64))  # of a signed number numpy counts the bits of its magnitude
+
+
 def _forest(fps: np.ndarray) -> list[np.ndarray]:
     """Links of a spanning forest of the fingerprints within MAX_BITS of each other, as two columns."""
     left, links = fps, []
@@ -87,7 +91,7 @@ def _forest(fps: np.ndarray) -> list[np.ndarray]:
         front, left = [left[0]], left[1:]
         while front and len(left):
             x = front.pop()
-            near = np.bitwise_count(left ^ x) <= MAX_BITS
+            near = _differ(left ^ x) <= MAX_BITS
             if near.any():
                 found = left[near]
                 links.append(np.column_stack([np.full(len(found), x, np.int64), found]))
@@ -109,7 +113,7 @@ def _links_of_runs(key: np.ndarray, fp: np.ndarray) -> np.ndarray:
         near = np.flatnonzero(key[d:] == key[:-d])
         if not len(near):
             break
-        near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= MAX_BITS]
+        near = near[_differ(fp[near] ^ fp[near + d]) <= MAX_BITS]
         found.append(np.column_stack([fp[near], fp[near + d]]))
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 

@@ -4,8 +4,8 @@ Source: a character trigram model, its counts taken over every document. Channel
 stand for itself or, at a cost, for the letters it is used to imitate; a mark between letters may be
 nothing; a run of one letter may be one or two; letters set apart by spaces may be one word. A token
 that can hide a word is a lattice of these readings, and Viterbi finds the likeliest restored word;
-plain tokens restore to themselves. Restored texts are scored by a lexicon: words and word
-beginnings, taken greedily by the toxic sample documents they alone explain, weighted by smoothed log-odds.
+plain tokens restore to themselves. Restored texts are scored by a noisy or over a lexicon: words and
+word beginnings that the labelled sample holds nearly only in toxic documents, beyond chance.
 
 The model of characters is a table of at most len(ALPHABET) ** 3 counts, whatever the input; the
 classifier learns from at most `SAMPLE` labelled documents of each class (a documented bound); a
@@ -26,6 +26,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,9 +36,9 @@ from .labels import held_out, sample
 SAMPLE = 4000
 THRESHOLD = 0.5
 CACHE = 400_000
-#: Lexicon candidates considered, by documents explained.
+#: Most entries of a lexicon, those in most toxic documents first.
 CANDIDATES = 3000
-LEAST_SUPPORT = 4
+PURE = 0.98
 LONGEST = 40
 
 # The letters told apart, and what characters imitate.
@@ -169,51 +170,52 @@ def words_of(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    base: float = -30.0
-    weights: dict = field(default_factory=dict)
+    """Chance that a document is toxic without any entry, and by entry."""
+
+    base: float = 0.0
+    entries: dict = field(default_factory=dict)
+
+
+def family(words: set[str]) -> str:
+    """Two least hashes of a document's words: mostly equal for near copies, so that a word that one copied document holds isn't taken for evidence from many."""
+    said = [w.encode("utf-8", "surrogatepass") for w in words]
+    return ":".join(f"{min((xxhash.xxh32_intdigest(w, seed) for w in said), default=0):08x}" for seed in (1, 2))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = SAMPLE) -> Lexicon:
-    """From at most 2 * most labelled documents. Candidates are counted by Spark; the driver gets at most CANDIDATES of them with the toxic sample documents that hold them."""
+    """From at most 2 * most labelled documents. Spark counts families of documents by entry and label; an entry stays if it is pure (a share of PURE of its documents is toxic) and the
+    log-likelihood ratio of its counts against the sample's share of toxic documents exceeds the log of the number of entries tried by 1. The driver gets at most CANDIDATES of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
         for b in batches:
-            for doc_id, y, text in zip(b.column("doc_id").to_pylist(), b.column("y").to_pylist(), b.column("text"), strict=True):
-                own = set()
-                for w in words_of(text.as_py()):
+            for y, text in zip(b.column("y").to_pylist(), b.column("text"), strict=True):
+                own, words = set(), words_of(text.as_py())
+                for w in words:
                     if w not in known:
                         known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r))
                     own.update(known[w])
                 if len(known) > CACHE:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(own)), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["doc_id", "y", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array([family(words)] * len(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = cut(sample(docs, labels, "toxic", most), "sample")
-    held = cut(drawn.mapInArrow(run, f"doc_id {kind}, y int, gram string"), "grams")
-    sizes = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    drawn = sample(docs, labels, "toxic", most)
+    held = cut(drawn.mapInArrow(run, "family string, y int, gram string"), "grams")
+    # every text with a word has a gram, so families with a gram are the sample
+    sizes = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.countDistinct("family").alias("n")).collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
-    if not bad:
-        return Lexicon()
-    counted = held.groupBy("gram").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    chosen = counted.filter((F.col("pos") >= LEAST_SUPPORT) & (F.col("pos") / bad >= 20 * (F.col("neg") + 0.25) / max(1, good))).orderBy(F.desc("pos"), "neg", "gram").limit(CANDIDATES)
-    rows = held.filter("y = 1").join(F.broadcast(chosen), "gram").groupBy("gram", "pos", "neg").agg(F.collect_set("doc_id").alias("ids")).collect()
-    left = {r["gram"]: set(r["ids"]) for r in rows}
-    of = {r["gram"]: (r["pos"], r["neg"]) for r in rows}
-    lexicon: dict[str, float] = {}
-    while left:
-        # of candidates that explain equally many, the purest, then the longest whole word
-        best = max(left, key=lambda g: (len(left[g]) * of[g][0] / (of[g][0] + 3 * of[g][1]), not g.endswith("*"), len(g), g))
-        found = left.pop(best)
-        if len(found) < LEAST_SUPPORT:
-            break
-        pos, neg = of[best]
-        lexicon[best] = math.log((pos + 0.5) / (bad + 1)) - math.log((neg + 0.5) / (good + 1))
-        left = {g: rest for g, ids in left.items() if len(rest := ids - found) >= LEAST_SUPPORT}
-    unexplained = bad - len({i for r in rows if r["gram"] in lexicon for i in r["ids"]})
-    base = math.log((unexplained + 0.5) / (good + unexplained + 1)) - 0.5
-    return Lexicon(base, {g: w - min(0.0, base + 1.5) * 0.5 for g, w in lexicon.items()})
+    if not bad or not good:
+        return Lexicon((bad + 0.5) / (good + bad + 1.0) if bad else 0.0)
+    share = bad / (good + bad)
+    counted = held.distinct().groupBy("gram").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    counted = cut(counted.filter("pos > 0"), "counted")
+    tried = counted.count()
+    pure = F.col("pos") / (F.col("pos") + F.col("neg"))
+    ratio = F.col("pos") * F.log(pure / share) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - pure) / (1 - share))).otherwise(0.0)
+    chosen = counted.filter((pure >= PURE) & (ratio >= math.log(max(1, tried)) + 1)).orderBy(F.desc("pos"), "neg", "gram").limit(CANDIDATES).collect()
+    entries = {r["gram"]: (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1.0) for r in chosen}
+    found = held.filter(F.col("gram").isin(*entries)).filter("y = 1").agg(F.countDistinct("family").alias("n")).first()["n"] if entries else 0
+    return Lexicon((bad - found + 0.5) / (good + bad - found + 1.0), entries)
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, Lexicon]:
@@ -226,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
 
 def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, found (lexicon entries of the restored text)."""
-    weights = lexicon.weights
+    entries, clean = lexicon.entries, math.log(1 - min(0.4, lexicon.base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = defaultdict(tuple)
@@ -236,12 +238,11 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float
                 own: set[str] = set()
                 words = words_of(text.as_py())
                 for w in words - known.keys():
-                    known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in weights)
+                    known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries)
                 own.update(*map(known.__getitem__, words))
                 if len(known) > CACHE:
                     known.clear()
-                s = lexicon.base + sum(weights[g] for g in own)
-                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, s)))))
+                scores.append(1 - math.exp(clean + sum(math.log(1 - entries[g]) for g in own)))  # a noisy or
                 found.append(sorted(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "held_out", "score", "found"])
 
