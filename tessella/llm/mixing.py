@@ -75,15 +75,15 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_copie
 def fill(each: DataFrame, gaps: DataFrame, last: bool) -> DataFrame:
     """Sets extra to 1 for the candidates that a source's gap still holds, in order of rank; in the last round for one more if at least half of it fits."""
     open_ = F.col("q").isNotNull() & (F.col("extra") == 0) & (F.col("size") > 0) & (F.col("size") <= F.col("gap") * (2 if last else 1))
-    rows = each.join(gaps, "stratum").withColumn("b", F.when(open_, F.col("b")).otherwise(-1))
-    words = F.when(F.col("b") >= 0, F.col("size")).otherwise(0)
-    of = Window.partitionBy("stratum").orderBy("b")
-    starts = rows.groupBy("stratum", "b").agg(F.sum(words).alias("words")).select("stratum", "b", (F.sum("words").over(of) - F.col("words")).alias("before"))
-    within = Window.partitionBy("stratum", "b").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    met = rows.filter("b >= 0").withColumn("running", F.sum("size").over(within)).join(starts, ["stratum", "b"])
+    rows = each.join(gaps, "stratum").withColumn("at", F.when(open_, F.col("b")).otherwise(-1))
+    words = F.when(F.col("at") >= 0, F.col("size")).otherwise(0)
+    of = Window.partitionBy("stratum").orderBy("at")
+    starts = rows.groupBy("stratum", "at").agg(F.sum(words).alias("words")).select("stratum", "at", (F.sum("words").over(of) - F.col("words")).alias("before"))
+    within = Window.partitionBy("stratum", "at").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    met = rows.filter("at >= 0").withColumn("running", F.sum("size").over(within)).join(starts, ["stratum", "at"])
     reach = F.col("before") + F.col("running") - (F.col("size") / 2.0 if last else F.lit(0.0))
     met = met.withColumn("extra", F.when(reach <= F.col("gap"), 1).otherwise(0))
-    return met.select(*each.columns).unionByName(rows.filter("b < 0").select(*each.columns))
+    return met.select(*each.columns).unionByName(rows.filter("at < 0").select(*each.columns))
 
 
 def take(docs: DataFrame, **settings) -> DataFrame:
