@@ -237,7 +237,9 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float
             for text in b.column("text"):
                 own: set[str] = set()
                 words = words_of(text.as_py())
-                for w in words - known.keys():
+                for w in words:
+                    if w in known:
+                        continue
                     known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries)
                 own.update(*map(known.__getitem__, words))
                 if len(known) > CACHE:
