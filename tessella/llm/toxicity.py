@@ -57,6 +57,7 @@ for _i in range(0x180):
 
 _SUSPECT = re.compile(r"[^\W\d_]*(?:[^\w\s]|[\d_]|(?P<x>[^\W\d_])(?P=x){2})", re.S)
 _TRIM = "".join(set(MARKS) | set("!?\"()[]{}<>«»“”’‘…¡¿%&=#$*@+|"))
+_SOFT = "".join(set(_TRIM) - set("@$|+(#"))
 
 
 def trigrams(docs: DataFrame) -> DataFrame:
@@ -130,13 +131,11 @@ def decode(token: str, model: np.ndarray) -> str:
 
 
 def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """Restored readings of one token: itself without outer marks, and what it may hide, with and without them."""
+    """Restored readings of one token: itself without outer marks, and what it may hide, with and without outer marks that imitate letters. Outer punctuation alone hides nothing."""
     t = token.lower()
-    plain = t.strip(_TRIM)
-    if not _SUSPECT.search(t):
-        return (plain,)
+    plain, inner = t.strip(_TRIM), t.strip(_SOFT)
     out = [plain]
-    for x in dict.fromkeys((plain, t)):
+    for x in dict.fromkeys((plain, inner)):
         if x and _SUSPECT.search(x) and any(c.isalpha() or c in IMITATES for c in x):
             out += [decode(x[i : i + LONGEST], model) for i in range(0, len(x), LONGEST)]
     return tuple(dict.fromkeys(out))
