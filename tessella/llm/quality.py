@@ -109,7 +109,7 @@ def _shallow(g: np.ndarray, h: np.ndarray, leaves: int, ridge: float) -> np.ndar
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40, pairs: int = 6, step: float = 0.15, bins: int = 24, coarse: int = 8, ridge: float = 2.0) -> Additive:
+def fit(x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 40, pairs: int = 6, step: float = 0.15, bins: int = 24, coarse: int = 9, ridge: float = 2.0) -> Additive:
     """Cyclic boosting of single features, then of the pairs with the largest gain."""
     prior = (y.sum() + 0.5) / (len(y) + 1.0)
     m = Additive(base=float(np.log(prior / (1 - prior))), edges=[np.empty(0)] * x.shape[1], tables=[np.zeros(1)] * x.shape[1])

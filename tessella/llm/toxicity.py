@@ -175,10 +175,10 @@ class Lexicon:
     entries: dict = field(default_factory=dict)
 
 
-def family(words: set[str]) -> str:
-    """Two least hashes of a document's words: mostly equal for near copies, so that a word that one copied document holds isn't taken for evidence from many."""
-    said = [w.encode("utf-8", "surrogatepass") for w in words]
-    return ":".join(f"{min((xxhash.xxh32_intdigest(w, seed) for w in said), default=0):08x}" for seed in (1, 2))
+def family(words: list[str], width: int = 3) -> str:
+    """Two least hashes of a document's word shingles: mostly equal for near copies, so that a word that one copied document holds isn't taken for evidence from many."""
+    said = {" ".join(words[k : k + width]).encode("utf-8", "surrogatepass") for k in range(max(1, len(words) - width + 1))}
+    return ":".join(f"{min(xxhash.xxh32_intdigest(w, seed) for w in said):08x}" for seed in (1, 2))
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = SAMPLE) -> Lexicon:
@@ -196,7 +196,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: i
                     own.update(known[w])
                 if len(known) > CACHE:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([family(words)] * len(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array([family(text.as_py().split())] * len(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
 
     drawn = sample(docs, labels, "toxic", most)
     held = cut(drawn.mapInArrow(run, "family string, y int, gram string"), "grams")
