@@ -29,6 +29,8 @@ from .common import text_of
 
 MARK = "▁"
 CACHE = 500_000
+#: Documents whose word counts are held at once.
+SLICE = 1000
 _held: dict = {}
 
 
@@ -92,7 +94,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
             pieces, byte_score = vocabulary(model_path)
             _held[model_path] = vocabulary_trie(pieces), byte_score, {}
         root, byte_score, known = _held[model_path]
-        for b in batches:
+        for b in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
             texts = [Counter(x.split()) for x in b.column("data").to_pylist()]
             new = {w for t in texts for w in t if w not in known}
             if len(known) + len(new) > CACHE:
