@@ -39,6 +39,8 @@ CACHE = 400_000
 #: Most entries of a lexicon, those in most toxic documents first.
 CANDIDATES = 3000
 PURE = 0.98
+#: Texts whose characters are counted at once.
+JOINED = 256
 LONGEST = 40
 
 # The letters told apart, and what characters imitate.
@@ -56,6 +58,7 @@ for _i in range(0x180):
     _FOLD[_i] = 0 if chr(_i).isspace() else CODE.get(_c, OTHER) if len(_c) == 1 else OTHER
 
 _SUSPECT = re.compile(r"[^\W\d_]*(?:[^\w\s]|[\d_]|(?P<x>[^\W\d_])(?P=x){2})", re.S)
+_THRICE = re.compile(r"(.)\1\1")
 _TRIM = "".join(set(MARKS) | set("!?\"()[]{}<>«»“”’‘…¡¿%&=#$*@+|"))
 _SOFT = "".join(set(_TRIM) - set("@$|+(#"))
 
@@ -66,13 +69,13 @@ def trigrams(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SIZE**3, np.int64)
         for b in batches:
-            for text in b.column("text"):
-                data = np.frombuffer(text.as_py().encode("utf-32-le", "surrogatepass"), "<u4")
-                for at in range(0, len(data), 1 << 20):  # long texts by parts that overlap by a trigram
-                    c = _FOLD[np.minimum(data[max(0, at - 2) : at + (1 << 20)], 0x17F)]
-                    c = np.r_[0, 0, c, 0] if at == 0 else c
-                    if len(c) > 2:
-                        total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
+            texts = b.column("text")
+            for first in range(0, len(texts), JOINED):
+                # two spaces stand before each text and after the last, so no trigram holds letters of two texts
+                data = np.frombuffer("  ".join(["", *texts.slice(first, JOINED).to_pylist(), ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+                for at in range(0, len(data) - 2, 1 << 20):  # by parts that overlap by two characters
+                    c = _FOLD[np.minimum(data[at : at + (1 << 20) + 2], 0x17F)]
+                    total += np.bincount((c[:-2] * SIZE + c[1:-1]) * SIZE + c[2:], minlength=SIZE**3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["code", "n"])
 
@@ -130,13 +133,22 @@ def decode(token: str, model: np.ndarray) -> str:
     return max(((s + float(model[a, b, 0]), said) for (a, b), (s, said) in best.items()), default=(0.0, ""))[1]
 
 
+def suspect(word: str) -> bool:
+    """Whether a word may hide another: it holds a mark, a digit or a letter three times in a row. Words of letters without enough repeats need no search."""
+    if word.isalpha():
+        return len(set(word)) <= len(word) - 2 and _THRICE.search(word) is not None
+    return _SUSPECT.search(word) is not None
+
+
 def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
     """Restored readings of one token: itself without outer marks, and what it may hide, with and without outer marks that imitate letters. Outer punctuation alone hides nothing."""
     t = token.lower()
     plain, inner = t.strip(_TRIM), t.strip(_SOFT)
     out = [plain]
+    if plain == inner and plain.isalpha() and not suspect(plain):
+        return (plain,)
     for x in dict.fromkeys((plain, inner)):
-        if x and _SUSPECT.search(x) and any(c.isalpha() or c in IMITATES for c in x):
+        if x and suspect(x) and any(c.isalpha() or c in IMITATES for c in x):
             out += [decode(x[i : i + LONGEST], model) for i in range(0, len(x), LONGEST)]
     return tuple(dict.fromkeys(out))
 
@@ -175,10 +187,11 @@ class Lexicon:
     entries: dict = field(default_factory=dict)
 
 
-def family(words: list[str], width: int = 3) -> str:
+def family(words: list[str], width: int = 3) -> int:
     """Two least hashes of a document's word shingles: mostly equal for near copies, so that a word that one copied document holds isn't taken for evidence from many."""
     said = {" ".join(words[k : k + width]).encode("utf-8", "surrogatepass") for k in range(max(1, len(words) - width + 1))}
-    return ":".join(f"{min(xxhash.xxh32_intdigest(w, seed) for w in said):08x}" for seed in (1, 2))
+    one, two = (min(xxhash.xxh32_intdigest(w, seed) for w in said) for seed in (1, 2))
+    return (one << 32 | two) - (1 << 63)
 
 
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = SAMPLE) -> Lexicon:
@@ -196,10 +209,10 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: i
                     own.update(known[w])
                 if len(known) > CACHE:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([family(text.as_py().split())] * len(own), pa.string()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array([family(text.as_py().split())] * len(own), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
 
     drawn = sample(docs, labels, "toxic", most)
-    held = cut(drawn.mapInArrow(run, "family string, y int, gram string"), "grams")
+    held = cut(drawn.mapInArrow(run, "family long, y int, gram string"), "grams")
     # every text with a word has a gram, so families with a gram are the sample
     sizes = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.countDistinct("family").alias("n")).collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
