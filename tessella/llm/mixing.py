@@ -51,7 +51,7 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_copie
     rows = cut(docs.select("doc_id", "source", word_count(text_of()).alias("size"), own.alias("w"), key_of("source").alias("stratum"), uniform(seed).alias("u")), "sizes")
     sums = rows.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("w")).alias("weighted"))
     goal = targets(sums.select("source", "source_size"), cycle, share, max_copies).withColumn("stratum", key_of("source")).select("stratum", "target")
-    goal = sums.drop("source").join(goal, "stratum")
+    goal = cut(sums.drop("source").join(goal, "stratum"), "goal")  # one row a source, of a size the planner knows: it broadcasts that if it's small, so a hot source isn't moved to one task
 
     ratio = F.when(F.col("weighted") > 0, F.col("target") / F.col("weighted")).otherwise(F.lit(0.0))
     m = F.least(F.col("ratio") * F.col("w"), F.lit(float(max_copies)))
@@ -63,11 +63,12 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_copie
     # b is -1 where nothing is left to chance
     each = each.withColumn("extra", F.lit(0))
     sure = each.groupBy("stratum").agg(F.sum(F.col("size") * F.col("whole")).alias("sure"))
-    gaps = goal.join(sure, "stratum").select("stratum", (F.col("target") - F.col("sure")).alias("gap"))
+    gaps = cut(goal.join(sure, "stratum").select("stratum", "target", "sure", (F.col("target") - F.col("sure")).alias("gap")), "gaps")
     for last in (False, False, True):
-        each = cut(fill(each, gaps, last), "round")
-        spent = each.filter(F.col("extra") == 1).groupBy("stratum").agg(F.sum("size").alias("spent"))
-        gaps = goal.join(sure, "stratum").join(spent, "stratum", "left").select("stratum", (F.col("target") - F.col("sure") - F.coalesce("spent", F.lit(0))).alias("gap"))
+        each = cut(fill(each, gaps.select("stratum", "gap"), last), "round")
+        if not last:
+            spent = each.filter(F.col("extra") == 1).groupBy("stratum").agg(F.sum("size").alias("spent"))
+            gaps = cut(gaps.drop("gap").join(spent, "stratum", "left").select("stratum", "target", "sure", (F.col("target") - F.col("sure") - F.coalesce("spent", F.lit(0))).alias("gap")), "gaps")
     done = each.withColumn("copies", F.col("whole") + F.col("extra"))
     return done.select("doc_id", "source", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
 
