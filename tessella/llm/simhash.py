@@ -21,7 +21,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,8 +194,8 @@ def near_dedup(docs: DataFrame, width: int = 4, block: int = BLOCK) -> DataFrame
     return known.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component; rows of one doc_id go or stay together."""
-    judged = near_dedup(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
+def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_dedup) -> DataFrame:
+    """The rows of docs whose doc_id names their component under `near`; rows of one doc_id go or stay together."""
+    judged = near(docs).groupBy("doc_id").agg(F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays"))
     gone = judged.filter("not stays").select(F.col("doc_id").alias("__id"))
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")

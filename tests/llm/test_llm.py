@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessella.llm import chat, exact, merkle, mixing, packing, quality, queries, sharding, simhash, toxicity, unigram
+from tessella.llm import chat, exact, merkle, minhash, mixing, packing, quality, queries, sharding, simhash, toxicity, unigram
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, kept string, fp int"
 
@@ -101,6 +101,32 @@ def test_simhash_edge_cases(odd, none):
     assert simhash.near_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("block", [minhash.BLOCK, 3])
+def test_near_copies_by_brute_force(spark, odd, none, block):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    rows, i = [], 0
+    for _ in range(8):
+        words = [f"w{rng.randint(0, 400)}" for _ in range(120)]
+        for edits in range(7):
+            rows.append((i, " ".join("edit" + str(i) if k in range(3, 3 + 20 * edits, 20) else w for k, w in enumerate(words)), "a"))
+            i += 1
+    sets = {i: {" ".join(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    root = {i: i for i in sets}
+    for _ in rows:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    df = docs(spark, rows)
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(df, block=block).collect()} == root
+    assert 8 < len(set(root.values())) < len(rows)
+    kept = corpus_pipeline.distinct(spark, df, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root.values()))
+    assert minhash.near_dedup(odd).count() == odd.count() and minhash.near_dedup(none).count() == 0
+
+
 def test_plan_is_gapless_and_tight():
     rng = random.Random(3)
     for _ in range(30):
