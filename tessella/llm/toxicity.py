@@ -2,14 +2,16 @@
 
 Source: a character trigram model, its counts taken over every document. Channel: a character may
 stand for itself or, at a cost, for the letters it is used to imitate; a mark between letters may be
-nothing; a run of one letter may be one or two; letters set apart by spaces may be one word. A token
-that can hide a word is a lattice of these readings, and Viterbi finds the likeliest restored word;
-plain tokens restore to themselves. Restored texts are scored by a noisy or over a lexicon: words and
+nothing; a run of one letter may be one or two; a space among short tokens may be a word boundary or
+nothing. A token that can hide a word, or a run of short tokens with its gaps, is a lattice of these
+readings, and Viterbi finds the likeliest restored words; plain tokens restore to themselves. Where a
+word starts and ends in a run is unsure under a model of characters, so scoring also walks the run's
+lattice along the lexicon. Restored texts are scored by a noisy or over a lexicon: words and
 word beginnings that the labelled sample holds nearly only in toxic documents, beyond chance.
 
 The model of characters is a table of at most len(ALPHABET) ** 3 counts, whatever the input; the
 classifier learns from at most `SAMPLE` labelled documents of each class (a documented bound); a
-worker keeps verdicts on at most `CACHE` tokens. Scoring is one pass and shuffles nothing.
+worker keeps verdicts on at most `CACHE` tokens and as many runs. Scoring is one pass and shuffles nothing.
 
 Edge cases: null text counts as empty and scores the base rate of documents without a lexicon word;
 without labels that score is 0; rows of one doc_id are scored one by one; an empty table gives an empty
@@ -58,7 +60,11 @@ for _i in range(0x180):
     _FOLD[_i] = 0 if chr(_i).isspace() else CODE.get(_c, OTHER) if len(_c) == 1 else OTHER
 
 _SUSPECT = re.compile(r"[^\W\d_]*(?:[^\w\s]|[\d_]|(?P<x>[^\W\d_])(?P=x){2})", re.S)
+_TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
+# Runs of tokens of up to three characters less outer marks; a longer token belongs to a run if a single character is next to it.
+_SHORT = r"""["'(\[]{0,2}\S{1,3}[!?.,;:"')\]]{0,3}(?!\S)"""
+_RUN = re.compile(rf"(?<!\S)(?:\S{{4,12}}\s+(?=\S(?!\S)))?{_SHORT}(?:\s+{_SHORT})*(?:(?<!\S\S)\s+\S{{4,12}}(?!\S))?")
 _TRIM = "".join(set(MARKS) | set("!?\"()[]{}<>«»“”’‘…¡¿%&=#$*@+|"))
 _SOFT = "".join(set(_TRIM) - set("@$|+(#"))
 
@@ -99,12 +105,16 @@ def readings(c: str) -> list[tuple[str, float]]:
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """By position, the strings a stretch of the token can stand for. A run of one letter or imitating character is one position."""
+    """By position, the strings a stretch of the token can stand for. A run of one letter or imitating character is one position, and so is a gap: a boundary or, at a cost that is higher for a longer gap, nothing."""
     out, i = [], 0
     while i < len(token):
         k = i
-        while k < len(token) and token[k] == token[i]:
+        while k < len(token) and (token[k] == token[i] or token[i].isspace() and token[k].isspace()):
             k += 1
+        if token[i].isspace():
+            out.append([(" ", 0.0), ("", 1.0 if k - i == 1 else 4.0)])
+            i = k
+            continue
         single = readings(token[i])
         if k - i == 1:
             out.append(single)
@@ -117,9 +127,9 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 def decode(token: str, model: np.ndarray) -> str:
     """The likeliest restored word of an obfuscated token: Viterbi over its lattice, with the last two letters as state."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for options in lattice(token[:LONGEST]):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+    best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for options in lattice(token):
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, said) in best.items():
             for text, cost in options:
                 s, x, y = score - cost, a, b
@@ -128,9 +138,13 @@ def decode(token: str, model: np.ndarray) -> str:
                     s += float(model[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or new[(x, y)][0] < s:
-                    new[(x, y)] = (s, said + text)
+                    new[(x, y)] = (s, (said, text))
         best = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64]) if len(new) > 64 else new
-    return max(((s + float(model[a, b, 0]), said) for (a, b), (s, said) in best.items()), default=(0.0, ""))[1]
+    said, out = max(((s + float(model[a, b, 0]), said) for (a, b), (s, said) in best.items()), key=lambda t: t[0])[1], []
+    while said:
+        said, text = said
+        out.append(text)
+    return "".join(reversed(out))
 
 
 def suspect(word: str) -> bool:
@@ -140,9 +154,55 @@ def suspect(word: str) -> bool:
     return _SUSPECT.search(word) is not None
 
 
+def restore_run(run: str, model: np.ndarray) -> tuple[str, ...]:
+    """The restored words of a run of short tokens; outer marks of its tokens go, gaps stay."""
+    parts = re.split(r"(\s+)", run.lower())
+    return tuple(dict.fromkeys(decode("".join(w if len(w) == 1 or w.isspace() else w.strip(_SOFT) or w for w in parts), model).split()))
+
+
+def beginnings(entries: dict) -> set[str]:
+    """All beginnings of the lexicon's words, for `entries_across` and `hopeless`."""
+    return {e[:k] for e in (g.rstrip("*") for g in entries) for k in range(1, len(e) + 1)}
+
+
+def hopeless(run: str, entries: dict, heads: set[str]) -> bool:
+    """Whether no reading of a run can hold an entry: all its characters are letters that stand for themselves, and from no token's start do they spell a short entry or the beginning of a longer one."""
+    tokens = [w if len(w) == 1 else w.strip(_SOFT) or w for w in run.lower().split()]
+    rest = "".join(tokens)
+    if not rest.isalpha() or any(_TWICE.search(w) for w in tokens):
+        return False
+    for w in tokens:
+        if rest[:4] in heads or rest[:3] in entries or rest[:2] in entries:
+            return False
+        rest = rest[len(w) :]
+    return True
+
+
+def entries_across(run: str, entries: dict, heads: set[str]) -> set[str]:
+    """Entries that neighbouring tokens of a run spell together, from one token's start to another's end. With two single characters among the tokens a word's beginning counts too, else only whole entries."""
+    tokens, found = [w if len(w) == 1 else w.strip(_SOFT) or w for w in run.lower().split()], set()
+    for first in range(len(tokens) - 1):
+        said, singles, begun = {""}, 0, set()
+        for at in range(first, len(tokens)):
+            for c in tokens[at]:
+                longer = {s + x for s in said for x, cost in readings(c) if x != "?"}
+                begun.update(e for s in longer for e in (f"{s[:-1]}*",) if e in entries and s[:-1] not in longer)
+                said = longer & heads
+            singles += len(tokens[at]) == 1
+            if at > first:
+                found.update(s for s in said if s in entries and len(s) > 3)
+            if singles >= 2:
+                found |= begun
+            if not said and (singles >= 2 or not begun):
+                break
+    return found
+
+
 def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """Restored readings of one token: itself without outer marks, and what it may hide, with and without outer marks that imitate letters. Outer punctuation alone hides nothing."""
+    """Restored readings of one token (of a run of tokens, its words): itself without outer marks, and what it may hide, with and without outer marks that imitate letters. Outer punctuation alone hides nothing."""
     t = token.lower()
+    if any(map(str.isspace, t)):
+        return restore_run(t, model)
     plain, inner = t.strip(_TRIM), t.strip(_SOFT)
     out = [plain]
     if plain == inner and plain.isalpha() and not suspect(plain):
@@ -154,15 +214,17 @@ def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
 
 
 def spaced(words: list[str]) -> list[str]:
-    """Words spelled with their letters apart: runs of three or more tokens of one character (less outer marks), and any part of a run that starts after a longer gap is left to the whole."""
+    """Runs of three or more tokens of one character, joined as if they were one word. Outer marks don't count, and a run ends with them."""
     out, run = [], []
     for w in [*words, "  "]:
-        if len(w) == 1:
-            run.append(w)
-            continue
+        bare = w if len(w) == 1 else w.strip(_TRIM)
+        if len(bare) == 1 and w[0] == bare:
+            run.append(bare)
+            if len(w) == 1:
+                continue
         if len(run) >= 3:
             out.append("".join(run))
-        run = []
+        run = [bare] if len(bare) == 1 and w[0] != bare and w[-1] == bare else []
     return out
 
 
@@ -172,6 +234,7 @@ def grams(word: str) -> list[str]:
 
 
 def words_of(text: str) -> set[str]:
+    """Tokens and joined runs of single characters."""
     words = text.split()
     out = set(words)
     if any(len(w) == 1 for w in out):
@@ -179,6 +242,11 @@ def words_of(text: str) -> set[str]:
     return out
 
 
+def runs_of(text: str) -> set[str]:
+    """Runs of short tokens with their gaps."""
+    return {r for r in _RUN.findall(text) if len(r) > 2 and not r.isalnum() and len(r.split(None, 1)) > 1}
+
+
 @dataclass
 class Lexicon:
     """Chance that a document is toxic without any entry, and by entry."""
@@ -202,7 +270,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: i
         known: dict[str, tuple[str, ...]] = {}
         for b in batches:
             for y, text in zip(b.column("y").to_pylist(), b.column("text"), strict=True):
-                own, words = set(), words_of(text.as_py())
+                own, words = set(), words_of(text.as_py()) | runs_of(text.as_py())
                 for w in words:
                     if w not in known:
                         known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r))
@@ -240,10 +308,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
 
 def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted, found (lexicon entries of the restored text)."""
-    entries, clean = lexicon.entries, math.log(1 - min(0.4, lexicon.base))
+    entries, heads, clean = lexicon.entries, beginnings(lexicon.entries), math.log(1 - min(0.4, lexicon.base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = defaultdict(tuple)
+        spans: dict[str, tuple[str, ...]] = {}
         for b in batches:
             scores, found = [], []
             for text in b.column("text"):
@@ -254,6 +323,12 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float
                         continue
                     known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries)
                 own.update(*map(known.__getitem__, words))
+                for w in runs_of(text.as_py()):
+                    if w not in spans:
+                        spans[w] = () if hopeless(w, entries, heads) else (*(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries), *entries_across(w, entries, heads))
+                    own.update(spans[w])
+                if len(spans) > CACHE:
+                    spans.clear()
                 if len(known) > CACHE:
                     known.clear()
                 scores.append(1 - math.exp(clean + sum(math.log(1 - entries[g]) for g in own)))  # a noisy or

@@ -311,6 +311,21 @@ def test_deobfuscation_and_lexicon(spark, odd, none):
     assert toxicity.score(odd, *bare).filter("predicted = 1").isEmpty()
 
 
+def test_spaced_words_are_restored(spark):
+    rng = random.Random(6)
+    clean = [(i, prose(rng, 30), "a") for i in range(150)]
+    toxic = [(1000 + i, prose(rng, 20) + f" {rng.choice(['idiot', 'moron'])} " + prose(rng, 10), "a") for i in range(60)]
+    said = ["i d i o t!", "i d i o t, ran", "on a m o r o n ran", "n e a r  i d i o t", "n e a r i d i o t", "the id iot ran", "the i diot ran", "1 d ! o t s"]
+    plain = ["i d l e on a mat", "the id of a cat", "a b c d e f", "the cat sat on a mat"]
+    hidden = [(5000 + i, f"{prose(rng, 6)} {x} {prose(rng, 4)}", "a") for i, x in enumerate(said + plain)]
+    df = docs(spark, clean + toxic + hidden)
+    labels = spark.createDataFrame([(i, 0) for i, _, _ in clean] + [(i, 1) for i, _, _ in toxic], "doc_id long, toxic int")
+    model, lexicon = toxicity.learn(df, labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df, model, lexicon).collect()}
+    assert [got[r[0]] for r in hidden] == [1] * len(said) + [0] * len(plain)
+    assert not any(got[i] for i, _, _ in clean)
+
+
 def test_pipeline_stages_keep_columns(spark, odd):
     import corpus_pipeline as C
 
