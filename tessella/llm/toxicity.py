@@ -43,7 +43,6 @@ CANDIDATES = 3000
 PURE = 0.98
 #: Texts whose characters are counted at once.
 JOINED = 256
-LONGEST = 40
 
 # The letters told apart, and what characters imitate.
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêëíîïñóôöùúûü"
@@ -62,6 +61,7 @@ for _i in range(0x180):
 _SUSPECT = re.compile(r"[^\W\d_]*(?:[^\w\s]|[\d_]|(?P<x>[^\W\d_])(?P=x){2})", re.S)
 _TWICE = re.compile(r"(.)\1")
 _THRICE = re.compile(r"(.)\1\1")
+_TWO_DOUBLED = re.compile(r"(.)\1.*(.)\2")
 # Runs of tokens of up to three characters less outer marks; a longer token belongs to a run if a single character is next to it.
 _SHORT = r"""["'(\[]{0,2}\S{1,3}[!?.,;:"')\]]{0,3}(?!\S)"""
 _RUN = re.compile(rf"(?<!\S)(?:\S{{4,12}}\s+(?=\S(?!\S)))?{_SHORT}(?:\s+{_SHORT})*(?:(?<!\S\S)\s+\S{{4,12}}(?!\S))?")
@@ -148,9 +148,9 @@ def decode(token: str, model: np.ndarray) -> str:
 
 
 def suspect(word: str) -> bool:
-    """Whether a word may hide another: it holds a mark, a digit or a letter three times in a row. Words of letters without enough repeats need no search."""
+    """Whether a word may hide another: it holds a mark, a digit, a letter three times in a row or doubled letters in two places. Words of letters without enough repeats need no search."""
     if word.isalpha():
-        return len(set(word)) <= len(word) - 2 and _THRICE.search(word) is not None
+        return len(set(word)) <= len(word) - 2 and (_THRICE.search(word) or _TWO_DOUBLED.search(word)) is not None
     return _SUSPECT.search(word) is not None
 
 
@@ -209,7 +209,7 @@ def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
         return (plain,)
     for x in dict.fromkeys((plain, inner)):
         if x and suspect(x) and any(c.isalpha() or c in IMITATES for c in x):
-            out += [decode(x[i : i + LONGEST], model) for i in range(0, len(x), LONGEST)]
+            out.append(decode(x, model))
     return tuple(dict.fromkeys(out))
 
 

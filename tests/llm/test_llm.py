@@ -326,6 +326,16 @@ def test_spaced_words_are_restored(spark):
     assert not any(got[i] for i, _, _ in clean)
 
 
+def test_doubled_letters_and_long_tokens_are_decoded():
+    codes = [toxicity.CODE[c] for c in "  the idiot sat and the idiot ran  " * 50]
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    np.add.at(counts, [(a * toxicity.SIZE + b) * toxicity.SIZE + c for a, b, c in zip(codes, codes[1:], codes[2:])], 1)
+    model = toxicity.log_model(counts)
+    assert "idiot" in toxicity.restore("iidiioott", model) and toxicity.restore("sitting", model) == ("sitting",)
+    hidden = "the.1d1ot.sat.and." * 4
+    assert toxicity.decode(hidden, model) == "theidiotsatand" * 4 and toxicity.decode(hidden, model) in toxicity.restore(hidden.rstrip("."), model)
+
+
 def test_pipeline_stages_keep_columns(spark, odd):
     import corpus_pipeline as C
 
