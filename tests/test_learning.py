@@ -88,6 +88,20 @@ def test_cluster_score_matches_its_formula(spark):
     assert M.cluster_score(df, "v", [[0.0, 0.0]])["davies_bouldin"] == -1
 
 
+@pytest.mark.parametrize("n, depth", [(40, 5), (300, 8), (6000, 12)])
+def test_forest_has_the_references_size(spark, monkeypatch, n, depth):
+    from pyspark.ml.regression import RandomForestRegressor as R
+
+    asked, fit = [], R.fit
+    monkeypatch.setattr(R, "fit", lambda self, df: asked.append(self) or fit(self.copy({self.numTrees: 3}), df))
+    df = spark.range(n).select((F.col("id") % 17).cast("double").alias("a"), F.col("id").cast("double").alias("b"), F.sin(F.col("id") / 9).alias("y"))
+    holes = spark.createDataFrame([(None, 1.0, 1.0), (1.0, 1.0, None)] * 40, df.schema)
+    assert M.fit_predict(df.unionByName(holes), df, ["a", "b"], "y", "random_forest").count() == n
+    (m,) = asked
+    assert (m.getNumTrees(), m.getMaxDepth(), m.getMinInstancesPerNode(), m.getFeatureSubsetStrategy()) == (100, depth, 2, "sqrt")
+    assert m.getSubsamplingRate() == min(5000, n) / n
+
+
 def test_pchip_is_monotone_and_hits_its_points():
     x, y = np.array([0.0, 1, 3, 4, 8]), np.array([0.0, 0, 2, 5, 5])
     np.testing.assert_allclose(X.pchip(x, y, x), y, atol=1e-12)
