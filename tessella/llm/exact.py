@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, squeezed, text_of
+from .common import HOT, cut, spread_join, squeezed, text_of
 
 LEAST, MOST = 512, 3584
 CHUNK = rf"(?s).{{1,{LEAST}}}+[^.]{{0,{MOST}}}+\.?"
@@ -56,12 +56,15 @@ def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    known = cut(recipes(docs, bits), "known") if bits != 64 else recipes(docs, bits)
+    known = recipes(docs, bits)
+    known = cut(known, "known") if bits != 64 else known
+    known = known.withColumn("variants", F.coalesce("variants", F.array().cast("array<struct<pos:int,variant:int>>")))
     # repeated rows are counted, not kept apart: they are equal in every column of the result
-    each = known.groupBy("ids", "variants", "doc_id", "text_sha256").agg(F.count("*").alias("n"))
-    group = each.groupBy("ids", "variants").agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    same = [F.col("e.ids") == F.col("g.ids"), F.col("e.variants").eqNullSafe(F.col("g.variants"))]
-    joined = each.alias("e").join(group.alias("g"), same).select("e.doc_id", "g.keep_id", "g.group_size", "e.text_sha256", F.explode(F.sequence(F.lit(1), F.col("e.n").cast("int"))).alias("copy"))
+    key = ["ids", "variants"]
+    each = known.groupBy(*key, "doc_id", "text_sha256").agg(F.count("*").alias("n"))
+    group = each.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    joined = spread_join(each, group, key, group.filter(F.col("group_size") > max(1, known.count() // HOT)))
+    joined = joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return joined.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 

@@ -10,7 +10,9 @@ paired.
 Rows that share a variant are a bucket. Within a bucket only a spanning forest of its links is
 emitted (at most one link less than members), found by numpy over the sorted index, bucket by
 bucket. A bucket over `BLOCK` distinct fingerprints is cut into blocks and its pairs of blocks are
-dealt to tasks of their own, so no bucket is capped and none is held whole. Components come from
+dealt to tasks of their own, so no bucket is capped and none is held whole. A variant fixes 20 or 21
+bits: a bucket of evenly spread fingerprints grows with their number (1e4 of 1e10), and the work of
+comparing with its square; wider fingerprints or more segments would be the way beyond that. Components come from
 alternating large-star and small-star steps over the links, written to the shared folder each round.
 
 Edge cases: null text counts as empty; texts without words have fingerprint 0 and are linked like any
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import HOT, cut, spread_join, text_of
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 MAX_BITS = 4
@@ -168,30 +170,39 @@ def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """a, b -> node, root: the smallest node of each node's component, for all nodes with a link but the roots. Rounds grow with the logarithm of a component's diameter."""
+    """a, b -> node, root: the smallest node of each node's component, for all nodes with a link but the roots. Rounds grow with the logarithm of a component's diameter.
+    A hub of many links is no task of its own: what belongs to a hot node is broadcast to its links."""
     edges, was = cut(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges"), None
     while True:
         print_of = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (now := (print_of["n"], print_of["s"])) == was or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = now
-        both = edges.union(edges.select("v", "u"))  # u, v by place
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low)
-        edges = cut(small.distinct(), "edges")
+        was, most = now, now[0] // HOT
+        up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each link from its smaller end
+        least = edges.union(up).groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).filter("n > 0")
+        large = spread_join(up, least.select("u", "m"), ["u"], least.filter(F.col("n") > most).select("u", "m"))
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = spread_join(large, low.select("u", "m"), ["u"], low.filter(F.col("n") > most).select("u", "m"))
+        edges = cut(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(), "edges", instead=edges)
+
+
+def assign(known: DataFrame, node: str, roots: DataFrame) -> DataFrame:
+    """known (a written table): doc_id, node column, ...; roots: node, root. Adds component_id, the smallest doc_id of the node's component. Copies of one text and members of one component are spread over tasks."""
+    n = known.count()
+    nodes = known.groupBy(node).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    named = cut(nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)), "named")
+    of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes"))
+    met = spread_join(named, of_root.select("root", "component_id"), ["root"], of_root.filter(F.col("nodes") > F.lit(n // HOT)).select("root", "component_id"))
+    of_node = cut(met.select(node, "component_id", "rows"), "components", instead=named)
+    return spread_join(known, of_node.drop("rows"), [node], of_node.filter(F.col("rows") > n // HOT).drop("rows"))
 
 
 def near_dedup(docs: DataFrame, width: int = 4, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fp, component_id."""
     known = cut(fingerprints(docs, width), "fingerprints")
-    nodes = known.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(nodes.select("fp"), block))
-    named = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of_fp = cut(named.join(of_root, "root").select("fp", "component_id"), "components")
-    return known.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    roots = components(links(known.select("fp").distinct(), block))
+    return assign(known, "fp", roots).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, near: Callable[[DataFrame], DataFrame] = near_dedup) -> DataFrame:
