@@ -1,51 +1,54 @@
 """Document fingerprints: a Merkle tree over leaves, paragraphs and sections.
 
-Lines are paragraphs; a paragraph's leaves are its sentences, those over `LEAF` characters cut every
-`LEAF`; a section ends behind a paragraph whose digest says so, so an edit moves no other section's ends.
+Lines are paragraphs; a paragraph's leaves are cut by content: behind the first `ENDS` character after at
+least `LEAST` others, so leaves are about 40 characters long and, behind an edit, soon the same as
+before; the first two are shorter, so that a short text has leaves too. A section ends behind a paragraph whose digest says so, so an edit moves no other section's ends.
 Inner digests hash their children's. A fingerprint is the root's 128 bits and the leaves' first 24 bits,
 arranged as the tree: equal roots mean equal texts, and where roots differ, walking down only unequal
 branches locates the edits. Likeness is the share of leaves in common (twice the shared over all),
-counted as multisets below unequal branches.
+counted as multisets below unequal branches. Cuts of a text that repeats itself with a short period may stay
+out of step behind an edit, as with any least length; its likeness is then too low, never too high.
 
-The next document of each comes from one range shuffle by doc_id: a row meets its successor within the
-sorted partition, and a range's first document is sent to the end of the range before it as well. Only
-range bounds and first ids (one a range, at most `RANGES`) come to the driver.
+The next document of each comes from one range shuffle by doc_id (and a hash of the text, so rows of one
+doc_id, null ones too, spread as well), into about `RANGE_BYTES` of text each: a row meets its successor
+within the sorted partition. The last row of a partition and the first ones of all go through a second, small
+table: at most two rows a partition. Nothing comes to the driver but the number of bytes.
 
 Edge cases: null text counts as empty (one empty leaf); null ids come first, rows of one doc_id in order
-of text, repeated rows follow each other; a single document follows itself; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+of their texts' hashes, repeated rows follow each other; a single document follows itself; an empty table
+gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import cut, text_of
 
-LEAF = 160
-RANGES = 1024
-LEAST_ID = -(2**63)
+#: Least and most characters of a leaf before the one it ends with, and those it may end with; the same of a paragraph's first two leaves.
+LEAST, MOST, ENDS = 30, 94, "dlm.;0-9ло的一。、"
+HEADS, HEAD_ENDS = (3, 10), " aeiou.,;"
+RANGE_BYTES = 64 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: Behind the columns of OUT: the partition, "" for a whole row, else first or last row of the partition, whose text is kept.
+LINED = f"{OUT}, part int, kind string, text string"
+
+_HEAD = re.compile("(?s)" + "".join(f"(.{{1,{n}}}(?:(?<=.{{{n}}})[^{HEAD_ENDS}]{{0,{MOST - n}}}.?)?)?" for n in HEADS))
+_LEAF = re.compile(rf"(?s).{{{LEAST}}}[^{ENDS}]{{0,{MOST - LEAST}}}.?|.+")
 
 
 def leaves(paragraph: str) -> list[str]:
     """The paragraph's leaves; joined they are the paragraph."""
-    out, parts = [], paragraph.split(". ")
-    for i, s in enumerate(parts):
-        if i < len(parts) - 1:
-            s += ". "
-        if len(s) <= LEAF:
-            out.append(s)
-        else:
-            out += [s[k : k + LEAF] for k in range(0, len(s), LEAF)]
-    return out
+    head = _HEAD.match(paragraph)
+    return [x for x in head.groups() if x] + _LEAF.findall(paragraph, head.end()) or [""]
 
 
 def fingerprint(text: str) -> str:
@@ -109,58 +112,67 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def _range_of(bounds: list[int], key: Column) -> Column:
-    """Index of the key's range, as a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(0)
+def _compare(doc_id: int | None, text: str, own: str, following: str, then: str) -> tuple:
+    """A row of OUT."""
+    new = edited(text, following)
+    made = fingerprint(new)
+    return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, made, likeness(own, made), likeness(own, then)
+
+
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
 
-    def walk(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(key <= bounds[mid], walk(lo, mid)).otherwise(walk(mid + 1, hi))
 
-    return walk(0, len(bounds))
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = [c.split()[0] for c in LINED.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names)
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: tuple | None = None  # range, doc_id, text, fingerprint
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+def _line_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows for all of a sorted partition but the last, which goes on with its text, as does the first."""
+    held: tuple | None = None  # part, doc_id, text, fingerprint
     for b in batches:
         rows, size = [], 0
-        for at, ends, doc_id, text in zip(b.column("range").to_pylist(), b.column("ends").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        for part, doc_id, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             text = text.as_py()
             own = fingerprint(text)
-            if held is not None and held[0] == at:
-                new = edited(held[2], text)
-                made = fingerprint(new)
-                rows.append((held[1], len(held[2]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), held[3], made, likeness(held[3], made), likeness(held[3], own)))
-                size += len(made) * 2
-            held = None if ends else (at, doc_id, text, own)
+            if held is None:
+                rows.append((*[None] * 7, part, "first", text))
+            else:
+                rows.append((*_compare(*held[1:], text, own), part, "", None))
+                size += len(rows[-1][4]) * 2 + len(text)
+            held = part, doc_id, text, own
             if size > 1 << 23:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                yield _batch(rows)
                 rows, size = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield _batch(rows)
+    if held is not None:
+        yield _batch([(held[1], None, None, None, None, None, None, held[0], "last", held[2])])
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
+            rows.append(_compare(doc_id, text, fingerprint(text), following, fingerprint(following)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=False)], [c.split()[0] for c in OUT.split(", ")])
 
 
 def trace_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     spark = docs.sparkSession
-    ranges = max(1, min(RANGES, ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST_ID))
-    rows = docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    at = [k / ranges for k in range(1, ranges)]
-    found = rows.agg(F.percentile_approx("key", at, 10_000).alias("bounds")).first()["bounds"] if at else []
-    place = _range_of(sorted(set(found or [])), F.col("key"))
-    firsts = sorted((r["range"], r["key"]) for r in rows.select("key", place.alias("range")).groupBy("range").agg(F.min("key").alias("key")).collect())
-    before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
-    whole = F.struct(place.alias("range"), F.lit(False).alias("ends"))
-    sent = F.array(whole)
-    if before:
-        back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-        sent = F.when(F.col("key").isin(*before), F.array(whole, F.struct(F.element_at(back, F.col("key")).alias("range"), F.lit(True).alias("ends")))).otherwise(sent)
-    dealt = rows.select("doc_id", "key", "text", F.explode(sent).alias("to")).select("doc_id", "key", "text", "to.range", "to.ends")
-    lined = dealt.repartition(ranges, "range").sortWithinPartitions("range", "ends", "key", "text")
-    return lined.select("range", "ends", "doc_id", "text").mapInArrow(_answer, OUT)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    if ranges is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    lined = keyed.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.col("h").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
+    done = cut(lined.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_line_up, LINED), "lined")
+    # a row a partition without texts: the next partition that has rows, and the first one after the last
+    parts = done.filter("kind = 'first'").select("part")
+    after = parts.select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("part"))
+    first = done.filter("kind = 'first'").select("part", F.col("text").alias("following"))
+    last = done.filter("kind = 'last'").select(F.col("part").alias("before"), "doc_id", "text")
+    met = last.join(after, "before").join(first, "part").select("doc_id", "text", "following")
+    return done.filter("kind = ''").select(*[c.split()[0] for c in OUT.split(", ")]).unionByName(met.mapInArrow(_close, OUT))
