@@ -3,10 +3,12 @@
 Pre-tokens are the words between white space, each behind the word mark; a text has as many tokens as
 the best segmentations of its pre-tokens. Per batch the distinct new pre-tokens are walked in sorted
 order, which is their trie depth first: the forward scores of a shared prefix, and the vocabulary paths
-open at its end, are computed once and kept on a stack; a pre-token's terminal count is stored. A worker
+open at its end, are computed once and kept on a stack; a pre-token's terminal count is stored. A pre-token
+over `LONG` characters is walked by itself and only the scores that a piece can still reach back to are
+kept, a longest piece's length of them, so one of ten million characters needs no more memory than itself. A worker
 keeps counts of up to `CACHE` pre-tokens between batches, so memory is bounded and nothing is shuffled.
 
-The vocabulary is a public piece file's, in its order of rank; a piece's log-probability is Zipf's for its
+No tokenizer is trained here: the vocabulary is a public piece file's, in its order of rank, and a piece's log-probability is Zipf's for its
 rank, -log(rank + 3) less the log of the sum. A character no piece covers costs one byte token per
 UTF-8 byte, each less likely than any piece. Of equally good segmentations the one with fewer tokens counts.
 
@@ -29,6 +31,7 @@ from .common import text_of
 
 MARK = "▁"
 CACHE = 500_000
+LONG = 1024
 #: Documents whose word counts are held at once.
 SLICE = 1000
 _held: dict = {}
@@ -55,6 +58,25 @@ def vocabulary_trie(pieces: dict[str, float]) -> dict:
     return root
 
 
+def forward_alone(word: str, root: dict, byte_score: float) -> int:
+    """Tokens of a long word's best segmentation, by a window of scores."""
+    score, tokens, paths = {0: 0.0}, {0: 0}, [(root, 0)]
+    for depth, c in enumerate(word):
+        n = len(c.encode("utf-8", "surrogatepass"))
+        best, few, below = score[depth] + n * byte_score, tokens[depth] + n, []
+        for node, start in paths:
+            if (node := node.get(c)) is not None:
+                below.append((node, start))
+                if (own := node.get("")) is not None and ((s := score[start] + own) > best or s == best and tokens[start] + 1 < few):
+                    best, few = s, tokens[start] + 1
+        paths = [*below, (root, depth + 1)]
+        score[depth + 1], tokens[depth + 1] = best, few
+        if len(score) > 2 * LONG:  # paths are in order of their starts
+            for old in [k for k in score if k < paths[0][1]]:
+                del score[old], tokens[old]
+    return tokens[len(word)]
+
+
 def forward(words: Iterable[str], root: dict, byte_score: float) -> dict[str, int]:
     """Tokens of each distinct word's best segmentation."""
     counts: dict[str, int] = {}
@@ -62,6 +84,9 @@ def forward(words: Iterable[str], root: dict, byte_score: float) -> dict[str, in
     score, tokens, still = [0.0], [0], [[(root, 0)]]
     last = ""
     for word in sorted(words):
+        if len(word) > LONG:
+            counts[word] = forward_alone(word, root, byte_score)
+            continue
         shared = len(os.path.commonprefix((last, word)))
         del score[shared + 1 :], tokens[shared + 1 :], still[shared + 1 :]
         for depth in range(shared, len(word)):
