@@ -10,7 +10,8 @@ at most three groups, and a group takes at most 63 different lengths (1 + ... +
 bounds it by 3 * 2048 * 63 runs; a few thousand are usual.
 
 Ranks are taken within (length, bucket of the document), and prefix sums over the buckets make them
-global, so a length that a third of all pieces have is ranked by many tasks.
+global. There is a bucket for each `ROWS` pieces of the table, so a length that a third of all pieces have is
+ranked by many tasks, and none grows with the input.
 
 Edge cases: null text counts as empty, and is the closing id alone; rows of one doc_id are packed one by
 one, and repeated rows in any order; a null doc_id is packed like any other; an empty table gives an
@@ -32,7 +33,8 @@ from .common import cut, text_of
 
 CAPACITY = 2048
 CLOSING = 0
-BUCKETS = 32
+#: Pieces to a bucket of one length, at most on the whole.
+ROWS = 100_000
 #: Chunks between spaces whose ids a worker keeps; when full it starts anew.
 CACHE = 400_000
 RUN = "length int, lo long, hi long, sequence long, per int, offset int"
@@ -153,19 +155,21 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple],
     return runs, opened
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
-    """parts: doc_id, piece, length and any payload. Adds sequence_id and offset."""
+def pack(parts: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
+    """parts (a written table): doc_id, piece, start, length and any payload, whatever its columns' names (but for the two added). Adds sequence_id and offset."""
     spark = parts.sparkSession
-    salted = parts.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
-    counts = cut(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity * buckets rows
+    buckets = buckets or max(32, -(-parts.count() // ROWS))
+    names = [F.col(f"p.`{c}`") for c in parts.columns]
+    salted = parts.select(F.struct(*parts.columns).alias("p")).select("p", F.col("p.length").alias("length"), F.pmod(F.xxhash64("p.doc_id", "p.piece"), F.lit(buckets)).cast("int").alias("salt"))
+    counts = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")), "lengths")  # at most capacity * buckets rows
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     runs, _ = plan(histogram, capacity)
-    slots = spark.createDataFrame(runs, RUN).withColumnsRenamed({"length": "__length", "offset": "__offset"})
-    by_length = Window.partitionBy("length").orderBy("__salt")
-    starts = counts.select("length", "__salt", (F.sum("n").over(by_length) - F.col("n")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", "start"))
-    ranked = salted.withColumn("__within", rank).join(starts, ["length", "__salt"]).withColumn("__rank", F.col("__before") + F.col("__within") - 1)
-    met = ranked.join(F.broadcast(slots), (F.col("length") == F.col("__length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
-    at = F.col("__rank") - F.col("lo")
-    out = met.withColumn("sequence_id", F.col("sequence") + F.floor(at / F.col("per"))).withColumn("offset", F.col("__offset") + at % F.col("per") * F.col("length"))
-    return out.select(*parts.columns, F.col("sequence_id").cast("long").alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
+    slots = spark.createDataFrame(runs, RUN).withColumnRenamed("length", "of")
+    by_length = Window.partitionBy("length").orderBy("salt")
+    starts = counts.select("length", "salt", (F.sum("n").over(by_length) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("p.doc_id", "p.piece", "p.start"))
+    ranked = salted.withColumn("within", rank).join(starts, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
+    met = ranked.join(F.broadcast(slots), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    at = F.col("rank") - F.col("lo")
+    sequence, offset = F.col("sequence") + F.floor(at / F.col("per")), F.col("offset") + at % F.col("per") * F.col("length")
+    return met.select(*names, sequence.cast("long").alias("sequence_id"), offset.cast("long").alias("offset"))
