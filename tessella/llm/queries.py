@@ -63,7 +63,7 @@ def op7_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "expected")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_quality, op5_exact_dedup, op6_sharding, op7_merkle, op8_mixing, op9_token_counts, op10_toxicity)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+#: The 256 remainders of CRC-32, from its polynomial.
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
 ORACLE = {
     "op1_chat": rf"""
@@ -105,32 +107,54 @@ ORACLE = {
         WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
         SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, (count(*) OVER (PARTITION BY norm))::BIGINT AS group_size,
             doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256 FROM n""",
-    "op8_mixing": r"""
+    "op6_sharding": rf"""
         WITH d AS (
+            SELECT doc_id, text, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS stratum, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size,
+                (('0x' || substr(md5('7:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u,
+                list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes, {_CRC_TABLE} AS crcs
+            FROM documents),
+        c AS (SELECT * EXCLUDE (text, bytes, crcs), xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS text_crc32 FROM d),
+        f AS (
+            SELECT *, ((row_number() OVER (PARTITION BY stratum ORDER BY u, doc_id, text_crc32, size))::DOUBLE - 0.5::DOUBLE) / (count(*) OVER (PARTITION BY stratum))::DOUBLE AS fraction FROM c),
+        p AS (SELECT *, row_number() OVER (ORDER BY fraction, stratum, u, doc_id, text_crc32, size) AS place, count(*) OVER () AS n FROM f),
+        s AS (SELECT *, ((place - 1) * 24) // n AS shard FROM p)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, (place - 1 - (shard * n + 23) // 24)::BIGINT AS slot, NULL::INT AS grown_shard FROM s""",
+    "op8_mixing": r"""
+        WITH d0 AS (
             SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                (('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0::DOUBLE AS u FROM documents),
+                (('0x' || substr(md5('11:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
+        d AS (SELECT *, CASE WHEN size < 16 THEN 0.25 WHEN size < 64 THEN 0.5 ELSE 1.0 END::DOUBLE AS w FROM d0),
         s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-        w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
-        c AS (SELECT *, source_size * 3 AS cap, (source_size * 3)::DOUBLE / weight::DOUBLE AS cap_level FROM w),
+        v AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
+        c AS (SELECT *, source_size * 3 AS cap, (source_size * 3)::DOUBLE / weight::DOUBLE AS cap_level FROM v),
         l AS (
             SELECT *, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER before, 0)::DOUBLE) / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0))::DOUBLE AS own_level
             FROM c WINDOW before AS (ORDER BY cap_level, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
         t AS (
             SELECT source, source_size, CASE WHEN level IS NULL OR cap_level <= level THEN cap::DOUBLE ELSE level * weight END AS target
             FROM (SELECT *, max(CASE WHEN own_level <= cap_level THEN own_level END) OVER () AS level FROM l)),
+        g AS (SELECT source, w, sum(size)::BIGINT AS words FROM d GROUP BY source, w),
+        r AS (
+            SELECT g.*, t.source_size, t.target, (words * 3)::DOUBLE AS cap, CASE WHEN words > 0 THEN words::DOUBLE * w END AS slope, CASE WHEN words > 0 THEN (words * 3)::DOUBLE / (words::DOUBLE * w) END AS binds_at
+            FROM g JOIN t ON g.source IS NOT DISTINCT FROM t.source),
+        o AS (
+            SELECT *, (target - coalesce(sum(cap) OVER before, 0)) / (sum(slope) OVER (PARTITION BY source) - coalesce(sum(slope) OVER before, 0)) AS own
+            FROM r WINDOW before AS (PARTITION BY source ORDER BY binds_at NULLS FIRST, w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        rate AS (SELECT *, max(CASE WHEN own <= binds_at THEN own END) OVER (PARTITION BY source) AS level FROM o),
         m AS (
-            SELECT d.doc_id, d.source, d.size, d.u, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size::DOUBLE, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS m
-            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-        q AS (SELECT *, floor(m)::BIGINT AS whole, m - floor(m) AS p FROM m),
-        o AS (SELECT *, CASE WHEN p > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q FROM q),
-        g1 AS (SELECT *, target - whole * source_size AS gap, 0 AS extra FROM o),
-        r1 AS (SELECT *, sum(size) OVER (PARTITION BY source, q IS NOT NULL AND size > 0 AND size <= gap ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running FROM g1),
-        e1 AS (SELECT * REPLACE (CASE WHEN q IS NOT NULL AND size > 0 AND size <= gap AND running <= gap THEN 1 ELSE 0 END AS extra) FROM r1),
-        g2 AS (SELECT * REPLACE (target - whole * source_size - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e1),
-        r2 AS (SELECT * REPLACE (sum(size) OVER (PARTITION BY source, extra = 0 AND q IS NOT NULL AND size > 0 AND size <= gap ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running) FROM g2),
-        e2 AS (SELECT * REPLACE (CASE WHEN extra = 1 OR (q IS NOT NULL AND size > 0 AND size <= gap AND running <= gap) THEN 1 ELSE 0 END AS extra) FROM r2),
-        g3 AS (SELECT * REPLACE (target - whole * source_size - sum(size * extra) OVER (PARTITION BY source) AS gap) FROM e2),
-        r3 AS (SELECT * REPLACE (sum(size) OVER (PARTITION BY source, extra = 0 AND q IS NOT NULL AND size > 0 AND size <= gap * 2 ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS running) FROM g3),
-        e3 AS (SELECT * REPLACE (CASE WHEN extra = 1 OR (q IS NOT NULL AND size > 0 AND size <= gap * 2 AND running - size / 2.0::DOUBLE <= gap) THEN 1 ELSE 0 END AS extra) FROM r3)
-        SELECT doc_id, size, source_size, target, (size * (whole + extra))::BIGINT AS taken, (whole + extra)::INT AS copies FROM e3""",
+            SELECT d.*, rate.source_size, rate.target, CASE WHEN rate.source_size = 0 THEN 0.0 WHEN level IS NULL THEN 3.0 ELSE least(level * d.w, 3.0::DOUBLE) END::DOUBLE AS m
+            FROM d JOIN rate ON d.source IS NOT DISTINCT FROM rate.source AND d.w = rate.w),
+        p AS (SELECT *, floor(m)::BIGINT AS whole, m - floor(m) AS p FROM m),
+        q AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN u / (1 - u) / (p / (1 - p)) END AS q, target - sum(size * whole) OVER (PARTITION BY source) AS gap FROM p),
+        e AS (SELECT *, CASE WHEN q IS NOT NULL AND sum(size) OVER (PARTITION BY source, q IS NULL ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) <= gap THEN 1 ELSE 0 END AS e0 FROM q),
+        m1 AS (SELECT *, gap - sum(size * e0) OVER (PARTITION BY source) AS missing FROM e),
+        k1 AS (SELECT *, q IS NOT NULL AND e0 = 0 AND abs(size - missing) < missing AS can FROM m1),
+        e1 AS (SELECT *, CASE WHEN can AND row_number() OVER (PARTITION BY source, can ORDER BY abs(size - missing), q, doc_id, size) = 1 THEN 1 ELSE e0 END AS x1 FROM k1),
+        m2 AS (SELECT * REPLACE (gap - sum(size * x1) OVER (PARTITION BY source) AS missing) FROM e1),
+        k2 AS (SELECT * REPLACE (q IS NOT NULL AND x1 = 0 AND abs(size - missing) < missing AS can) FROM m2),
+        e2 AS (SELECT *, CASE WHEN can AND row_number() OVER (PARTITION BY source, can ORDER BY abs(size - missing), q, doc_id, size) = 1 THEN 1 ELSE x1 END AS x2 FROM k2),
+        m3 AS (SELECT * REPLACE (gap - sum(size * x2) OVER (PARTITION BY source) AS missing) FROM e2),
+        k3 AS (SELECT * REPLACE (q IS NOT NULL AND x2 = 0 AND abs(size - missing) < missing AS can) FROM m3),
+        e3 AS (SELECT *, CASE WHEN can AND row_number() OVER (PARTITION BY source, can ORDER BY abs(size - missing), q, doc_id, size) = 1 THEN 1 ELSE x2 END AS extra FROM k3)
+        SELECT doc_id, size, source_size, target, (size * (whole + extra))::BIGINT AS taken, (whole + extra)::INT AS copies, m AS expected FROM e3""",
 }

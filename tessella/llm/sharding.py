@@ -5,8 +5,10 @@ Rows are shuffled within their source by a seeded hash, ranked, and placed at th
 every source in the mixture's proportion, and counts differ by at most one (law `rows`).
 
 No rank is taken over a whole source or table: rows are ranked within (source, hash bucket) and
-(fraction bucket), and prefix sums over the buckets' counts (at most BUCKETS a source) make the
-ranks global, so a source with a third of all rows is spread over as many tasks as any other data.
+(fraction bucket), and prefix sums over the buckets' counts make the ranks global. There is a bucket for
+each `ROWS` rows of the table, so a source with a third of all rows is spread over as many tasks as any
+other data, and no bucket grows with the input. The hash covers the id and the text, so rows without an id
+spread as well.
 
 Edge cases: null text has size 8; a null source is a source of its own; rows of one doc_id are
 ordered by source, text hash and size, so repeated rows are interchangeable; an empty table gives
@@ -18,16 +20,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_of, text_of, uniform
+from .common import cut, key_of, text_of, uniform
 
-BUCKETS = 1024
+ROWS = 100_000
 
 
-def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, buckets: int = BUCKETS) -> DataFrame:
+def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, buckets: int | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, text_crc32, shard, slot."""
     rows = docs.select(
-        "doc_id", "source", (F.octet_length(text_of()) + 8).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), key_of("source").alias("stratum"), uniform(seed).alias("u")
-    ).withColumn("hb", F.floor(F.col("u") * buckets).cast("int"))
+        "doc_id", "source", (F.octet_length(text_of()) + 8).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32"), key_of("source").alias("stratum"), uniform(seed, text="text").alias("u")
+    )
+    if buckets is None:
+        rows = cut(rows, "sizes")
+        buckets = max(64, -(-rows.count() // ROWS))
+    rows = rows.withColumn("hb", F.floor(F.col("u") * buckets).cast("int"))
 
     def ranked(df: DataFrame, strata: list[str], bucket: str, order: list[str], rank: str, total: str) -> DataFrame:
         """Adds a rank from 1 within the strata and their row count, through the buckets."""
