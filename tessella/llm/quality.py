@@ -7,7 +7,7 @@ of their own from trees of two cuts. A score is the sigmoid of the sum of a text
 one vectorised addition per table.
 
 Learning takes at most `SAMPLE` labelled documents of each class (a documented bound, by smallest
-hash of the id); only their features, some 20 numbers each, come to the driver. Scoring is one pass
+hash of the id; where it cuts a class, the odds are set right for that); only their features, some 20 numbers each, come to the driver. Scoring is one pass
 over all texts and shuffles nothing.
 
 Edge cases: null text counts as empty and is scored like any other (all features 0); without labels, or
@@ -168,9 +168,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Additive:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(list(rows), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    drawn = sample(docs, labels, "quality", most).select("doc_id", "y", F.col("text").cast("binary").alias("data"))
+    drawn, shift = sample(docs, labels, "quality", most)
+    drawn = drawn.select("doc_id", "y", F.col("text").cast("binary").alias("data"))
     got = sorted((r["doc_id"], r["y"], tuple(r["x"])) for r in drawn.mapInArrow(run, f"doc_id {kind}, y int, x array<double>").collect())
-    return fit(np.array([r[2] for r in got], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], np.float64))
+    model = fit(np.array([r[2] for r in got], np.float64).reshape(-1, len(FEATURES)), np.array([r[1] for r in got], np.float64))
+    model.base += shift
+    return model
 
 
 def score(docs: DataFrame, model: Additive, threshold: float = THRESHOLD) -> DataFrame:

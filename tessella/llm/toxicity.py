@@ -4,25 +4,32 @@ Source: a character trigram model, its counts taken over every document. Channel
 stand for itself or, at a cost, for the letters it is used to imitate; a mark between letters may be
 nothing; a run of one letter may be one or two; a space among short tokens may be a word boundary or
 nothing. A token that can hide a word, or a run of short tokens with its gaps, is a lattice of these
-readings, and Viterbi finds the likeliest restored words; plain tokens restore to themselves. Where a
-word starts and ends in a run is unsure under a model of characters, so scoring also walks the run's
-lattice along the lexicon. Restored texts are scored by a noisy or over a lexicon: words and
-word beginnings that the labelled sample holds nearly only in toxic documents, beyond chance.
+readings, and exact Viterbi, with the last two letters as state, finds the likeliest restored words; plain
+tokens restore to themselves. Where a word starts and ends in a run is unsure under a model of characters,
+so scoring also walks the run's lattice along the lexicon. A lattice of which no reading can hold an
+entry isn't decoded for a score: nothing would come of it.
 
-The model of characters is a table of at most len(ALPHABET) ** 3 counts, whatever the input; the
-classifier learns from at most `SAMPLE` labelled documents of each class (a documented bound); a
-worker keeps verdicts on at most `CACHE` tokens and as many runs. Scoring is one pass and shuffles nothing.
+Restored texts are scored by a logistic model. Its entries are words and word beginnings that labelled
+toxic documents hold more often than chance allows; a word stands for its most telling entry, and a text's
+value of an entry is how many different restored words stand for it; weights are fitted by coordinate
+descent, never negative, with an absolute and a quadratic penalty, so an entry counts for what others
+don't tell.
 
-Edge cases: null text counts as empty and scores the base rate of documents without a lexicon word;
-without labels that score is 0; rows of one doc_id are scored one by one; an empty table gives an empty
-result; columns other than doc_id and text are ignored.
+The model of characters is a table of at most len(ALPHABET) ** 3 counts, whatever the input; the
+classifier learns from at most `SAMPLE` labelled documents of each class (a documented bound; where it
+cuts a class, the odds are set right for that); a worker keeps verdicts on at most `CACHE` tokens and as
+many runs. Scoring is one pass and shuffles nothing.
+
+Edge cases: null text counts as empty and scores the odds of documents without an entry;
+without labels of both classes all score the smoothed share of toxic ones, without any label 0; rows of
+one doc_id are scored one by one; an empty table gives an empty result; columns other than doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,9 +45,10 @@ from .labels import held_out, sample
 SAMPLE = 4000
 THRESHOLD = 0.5
 CACHE = 400_000
-#: Most entries of a lexicon, those in most toxic documents first.
-CANDIDATES = 3000
-PURE = 0.98
+#: Penalties of a weight: absolute, quadratic.
+ABSOLUTE, QUADRATIC = 0.1, 0.1
+#: Letters of a word's beginnings.
+BEGINNINGS = (4, 5, 6)
 #: Texts whose characters are counted at once.
 JOINED = 256
 
@@ -139,7 +147,7 @@ def decode(token: str, model: np.ndarray) -> str:
                     x, y = y, z
                 if (x, y) not in new or new[(x, y)][0] < s:
                     new[(x, y)] = (s, (said, text))
-        best = dict(sorted(new.items(), key=lambda kv: -kv[1][0])[:64]) if len(new) > 64 else new
+        best = new
     said, out = max(((s + float(model[a, b, 0]), said) for (a, b), (s, said) in best.items()), key=lambda t: t[0])[1], []
     while said:
         said, text = said
@@ -154,10 +162,17 @@ def suspect(word: str) -> bool:
     return _SUSPECT.search(word) is not None
 
 
-def restore_run(run: str, model: np.ndarray) -> tuple[str, ...]:
-    """The restored words of a run of short tokens; outer marks of its tokens go, gaps stay."""
-    parts = re.split(r"(\s+)", run.lower())
-    return tuple(dict.fromkeys(decode("".join(w if len(w) == 1 or w.isspace() else w.strip(_SOFT) or w for w in parts), model).split()))
+def bare_run(run: str) -> str:
+    """A run of short tokens in lower case; outer marks of its tokens go, gaps stay."""
+    return "".join(w if len(w) == 1 or w.isspace() else w.strip(_SOFT) or w for w in re.split(r"(\s+)", run.lower()))
+
+
+def forms(token: str) -> list[str]:
+    """What of a token may hide a word, in lower case: it without outer marks and without those outer marks that imitate no letter. Outer punctuation alone hides nothing."""
+    plain, inner = token.strip(_TRIM), token.strip(_SOFT)
+    if plain == inner and plain.isalpha() and not suspect(plain):
+        return []
+    return [x for x in dict.fromkeys((plain, inner)) if x and suspect(x) and any(c.isalpha() or c in IMITATES for c in x)]
 
 
 def beginnings(entries: dict) -> set[str]:
@@ -165,16 +180,32 @@ def beginnings(entries: dict) -> set[str]:
     return {e[:k] for e in (g.rstrip("*") for g in entries) for k in range(1, len(e) + 1)}
 
 
-def hopeless(run: str, entries: dict, heads: set[str]) -> bool:
-    """Whether no reading of a run can hold an entry: all its characters are letters that stand for themselves, and from no token's start do they spell a short entry or the beginning of a longer one."""
-    tokens = [w if len(w) == 1 else w.strip(_SOFT) or w for w in run.lower().split()]
-    rest = "".join(tokens)
-    if not rest.isalpha() or any(_TWICE.search(w) for w in tokens):
-        return False
-    for w in tokens:
-        if rest[:4] in heads or rest[:3] in entries or rest[:2] in entries:
-            return False
-        rest = rest[len(w) :]
+def hopeless(token: str, entries: dict, heads: set[str]) -> bool:
+    """Whether no reading of a token, or of a run of tokens, can hold an entry: no reading of its lattice spells one from the start or from behind a gap."""
+    positions = lattice(token)
+    starts = [0, *(i + 1 for i, options in enumerate(positions) if options[0][0] == " ")]
+    for first in starts:
+        said = {""}
+        for options in positions[first:]:
+            longer = set()
+            for s in said:
+                for x, _ in options:
+                    if x == " ":
+                        if s in entries:
+                            return False
+                        continue
+                    t = s + x
+                    if t in heads:
+                        longer.add(t)
+                    # a beginning with a letter more; two letters of one position may end it either way
+                    if f"{t[:-1]}*" in entries or len(x) == 2 and f"{t[:-2]}*" in entries:
+                        return False
+            said = longer
+            if not said:
+                break
+        else:
+            if any(s in entries for s in said):
+                return False
     return True
 
 
@@ -198,48 +229,22 @@ def entries_across(run: str, entries: dict, heads: set[str]) -> set[str]:
     return found
 
 
-def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
-    """Restored readings of one token (of a run of tokens, its words): itself without outer marks, and what it may hide, with and without outer marks that imitate letters. Outer punctuation alone hides nothing."""
+def restore(token: str, model: np.ndarray, entries: dict | None = None, heads: set[str] | None = None) -> tuple[str, ...]:
+    """Restored readings of one token (of a run of tokens, its words): itself without outer marks, and what it may hide. With entries, only readings that may hold one are sure to be there."""
     t = token.lower()
     if any(map(str.isspace, t)):
-        return restore_run(t, model)
-    plain, inner = t.strip(_TRIM), t.strip(_SOFT)
-    out = [plain]
-    if plain == inner and plain.isalpha() and not suspect(plain):
-        return (plain,)
-    for x in dict.fromkeys((plain, inner)):
-        if x and suspect(x) and any(c.isalpha() or c in IMITATES for c in x):
-            out.append(decode(x, model))
+        hidden, out = [bare_run(t)], []
+    else:
+        hidden, out = forms(t), [t.strip(_TRIM)]
+    for x in hidden:
+        if entries is None or not hopeless(x, entries, heads):
+            out += decode(x, model).split()
     return tuple(dict.fromkeys(out))
 
 
-def spaced(words: list[str]) -> list[str]:
-    """Runs of three or more tokens of one character, joined as if they were one word. Outer marks don't count, and a run ends with them."""
-    out, run = [], []
-    for w in [*words, "  "]:
-        bare = w if len(w) == 1 else w.strip(_TRIM)
-        if len(bare) == 1 and w[0] == bare:
-            run.append(bare)
-            if len(w) == 1:
-                continue
-        if len(run) >= 3:
-            out.append("".join(run))
-        run = [bare] if len(bare) == 1 and w[0] != bare and w[-1] == bare else []
-    return out
-
-
 def grams(word: str) -> list[str]:
     """The word and its beginnings."""
-    return [word] + [f"{word[:k]}*" for k in (4, 5, 6) if len(word) > k]
-
-
-def words_of(text: str) -> set[str]:
-    """Tokens and joined runs of single characters."""
-    words = text.split()
-    out = set(words)
-    if any(len(w) == 1 for w in out):
-        out.update(spaced(words))
-    return out
+    return [word] + [f"{word[:k]}*" for k in BEGINNINGS if len(word) > k]
 
 
 def runs_of(text: str) -> set[str]:
@@ -249,9 +254,9 @@ def runs_of(text: str) -> set[str]:
 
 @dataclass
 class Lexicon:
-    """Chance that a document is toxic without any entry, and by entry."""
+    """Log odds that a document without an entry is toxic, and what a word of each entry adds; the most telling entries first."""
 
-    base: float = 0.0
+    base: float = -math.inf
     entries: dict = field(default_factory=dict)
 
 
@@ -262,40 +267,77 @@ def family(words: list[str], width: int = 3) -> int:
     return (one << 32 | two) - (1 << 63)
 
 
+def fit(rows: list[tuple[int, dict[int, int]]], bare: tuple[int, int], n: int, sweeps: int = 300) -> tuple[float, np.ndarray]:
+    """Intercept and weights of n entries: rows are a label and the values of the entries held, `bare` counts those without any by label. Penalised logistic likelihood, by cyclic Newton steps."""
+    y = np.array([0.0, 1.0, *(r[0] for r in rows)])
+    times = np.array([*bare, *[1] * len(rows)], float)
+    cells: list = [[] for _ in range(n)]
+    for k, (_, held) in enumerate(rows):
+        for j, x in held.items():
+            cells[j].append((k + 2, x))
+    cells = [(np.array([k for k, _ in c], np.int64), np.array([x for _, x in c], float)) for c in cells]
+    share = (y * times).sum() / times.sum()
+    base, w = math.log(share / (1 - share)), np.zeros(n)
+    f = np.full(len(y), base)
+    for _ in range(sweeps):
+        p = 1 / (1 + np.exp(-f))
+        step = float((times * (y - p)).sum() / max(1e-9, (times * p * (1 - p)).sum()))
+        moved = abs(step := max(-1.0, min(1.0, step)))
+        base, f = base + step, f + step
+        for j, (own, x) in enumerate(cells):
+            p = 1 / (1 + np.exp(-f[own]))
+            slope, bend = float((x * (y[own] - p)).sum()) - QUADRATIC * w[j] - ABSOLUTE, float((x * x * p * (1 - p)).sum()) + QUADRATIC
+            new = max(0.0, w[j] + max(-1.0, min(1.0, slope / bend)))
+            if new != w[j]:
+                f[own] += (new - w[j]) * x
+                moved, w[j] = max(moved, abs(new - w[j])), new
+        if moved < 1e-4:
+            break
+    return base, w
+
+
 def learn_lexicon(docs: DataFrame, labels: DataFrame, model: np.ndarray, most: int = SAMPLE) -> Lexicon:
-    """From at most 2 * most labelled documents. Spark counts families of documents by entry and label; an entry stays if it is pure (a share of PURE of its documents is toxic) and the
-    log-likelihood ratio of its counts against the sample's share of toxic documents exceeds the log of the number of entries tried by 1. The driver gets at most CANDIDATES of those."""
+    """From at most 2 * most labelled documents. Spark counts families of documents by restored word and label. An entry is tried if the log-likelihood ratio of its counts against the sample's share of toxic
+    documents exceeds the log of the number of entries by 1. What the driver gets is which families of the sample hold which of those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
         for b in batches:
             for y, text in zip(b.column("y").to_pylist(), b.column("text"), strict=True):
-                own, words = set(), words_of(text.as_py()) | runs_of(text.as_py())
-                for w in words:
+                text = text.as_py()
+                words, own = text.split(), {""}  # the empty word stands for the family
+                for w in {*words, *runs_of(text)}:
                     if w not in known:
-                        known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r))
+                        known[w] = tuple(r for r in restore(w, model) if len(r) > 1)
                     own.update(known[w])
                 if len(known) > CACHE:
                     known.clear()
-                yield pa.RecordBatch.from_arrays([pa.array([family(text.as_py().split())] * len(own), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "gram"])
+                yield pa.RecordBatch.from_arrays([pa.array([family(words)] * len(own), pa.int64()), pa.array([y] * len(own), pa.int32()), pa.array(list(own), pa.string())], ["family", "y", "word"])
 
-    drawn = sample(docs, labels, "toxic", most)
-    held = cut(drawn.mapInArrow(run, "family long, y int, gram string"), "grams")
-    # every text with a word has a gram, so families with a gram are the sample
-    sizes = {r["y"]: r["n"] for r in held.groupBy("y").agg(F.countDistinct("family").alias("n")).collect()}
+    drawn, shift = sample(docs, labels, "toxic", most)
+    held = cut(drawn.mapInArrow(run, "family long, y int, word string").distinct(), "words")
+    sizes = {r["y"]: r["n"] for r in held.filter("word = ''").groupBy("y").agg(F.count("*").alias("n")).collect()}
     good, bad = sizes.get(0, 0), sizes.get(1, 0)
     if not bad or not good:
-        return Lexicon((bad + 0.5) / (good + bad + 1.0) if bad else 0.0)
+        return Lexicon(math.log((bad + 0.5) / (good + 0.5)) if bad or good else -math.inf)
     share = bad / (good + bad)
-    counted = held.distinct().groupBy("gram").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    size = F.length("word")
+    each = F.concat(F.array("word"), *[F.when(size > k, F.array(F.concat(F.substring("word", 1, k), F.lit("*")))).otherwise(F.array().cast("array<string>")) for k in BEGINNINGS])
+    grams_of = held.filter("word <> ''").select("family", "y", "word", F.explode(each).alias("gram"))
+    counted = grams_of.select("family", "y", "gram").distinct().groupBy("gram").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
     counted = cut(counted.filter("pos > 0"), "counted")
-    tried = counted.count()
     pure = F.col("pos") / (F.col("pos") + F.col("neg"))
     ratio = F.col("pos") * F.log(pure / share) + F.when(F.col("neg") > 0, F.col("neg") * F.log((1 - pure) / (1 - share))).otherwise(0.0)
-    chosen = counted.filter((pure >= PURE) & (ratio >= math.log(max(1, tried)) + 1)).orderBy(F.desc("pos"), "neg", "gram").limit(CANDIDATES).collect()
-    entries = {r["gram"]: (r["pos"] + 0.5) / (r["pos"] + r["neg"] + 1.0) for r in chosen}
-    found = held.filter(F.col("gram").isin(*entries)).filter("y = 1").agg(F.countDistinct("family").alias("n")).first()["n"] if entries else 0
-    return Lexicon((bad - found + 0.5) / (good + bad - found + 1.0), entries)
+    tried = counted.filter((pure > share) & (ratio >= math.log(max(1, counted.count())) + 1)).select("gram", ratio.alias("ratio"))
+    tried = cut(tried, "tried")
+    best = grams_of.join(tried, "gram").groupBy("family", "y", "word").agg(F.max(F.struct("ratio", "gram")).alias("best"))
+    got = best.groupBy("family", "y", "best").agg(F.count("*").alias("n")).groupBy("family", "y").agg(F.collect_list(F.struct("best.ratio", "best.gram", "n")).alias("held")).collect()
+    names = [g for _, g in sorted({(-h["ratio"], h["gram"]) for r in got for h in r["held"]})]
+    place = {g: j for j, g in enumerate(names)}
+    rows = [(r["y"], {place[h["gram"]]: h["n"] for h in r["held"]}) for r in sorted(got, key=lambda r: (r["family"], r["y"]))]
+    with_any = [sum(y == k for y, _ in rows) for k in (0, 1)]
+    base, w = fit(rows, (good - with_any[0], bad - with_any[1]), len(names))
+    return Lexicon(base + shift, {g: float(x) for g, x in zip(names, w, strict=True) if x > 0})
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.ndarray, Lexicon]:
@@ -307,31 +349,43 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> tuple[np.nd
 
 
 def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted, found (lexicon entries of the restored text)."""
-    entries, heads, clean = lexicon.entries, beginnings(lexicon.entries), math.log(1 - min(0.4, lexicon.base))
+    """doc_id, held_out, score, predicted, found (restored words of the text that stand for an entry)."""
+    entries, heads, base = lexicon.entries, beginnings(lexicon.entries), lexicon.base
+
+    place = {g: k for k, g in enumerate(entries)}
+
+    def held(token: str) -> tuple[tuple[str, str], ...]:
+        """Restored words with the entries they stand for."""
+        found = ((r, [g for g in grams(r) if g in entries]) for r in restore(token, model, entries, heads) if len(r) > 1)
+        return tuple((r, min(of, key=place.__getitem__)) for r, of in found if of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = defaultdict(tuple)
-        spans: dict[str, tuple[str, ...]] = {}
+        known: dict[str, tuple] = {}
+        spans: dict[str, tuple] = {}
         for b in batches:
             scores, found = [], []
             for text in b.column("text"):
-                own: set[str] = set()
-                words = words_of(text.as_py())
-                for w in words:
-                    if w in known:
-                        continue
-                    known[w] = tuple(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries)
-                own.update(*map(known.__getitem__, words))
-                for w in runs_of(text.as_py()):
+                own: dict[str, str] = {}
+                across: set[str] = set()
+                text = text.as_py()
+                for w in set(text.split()):
+                    if w not in known:
+                        known[w] = held(w)
+                    own.update(known[w])
+                for w in runs_of(text):
                     if w not in spans:
-                        spans[w] = () if hopeless(w, entries, heads) else (*(g for r in restore(w, model) if len(r) > 1 for g in grams(r) if g in entries), *entries_across(w, entries, heads))
-                    own.update(spans[w])
+                        spans[w] = held(w), entries_across(w, entries, heads)
+                    own.update(spans[w][0])
+                    across |= spans[w][1]
+                for g in sorted(across, key=lambda g: (-len(g), g)):  # an entry that a restored word holds already is no word more
+                    stem = g.rstrip("*")
+                    if not any(w.startswith(stem) for w in own):
+                        own[stem] = g
                 if len(spans) > CACHE:
                     spans.clear()
                 if len(known) > CACHE:
                     known.clear()
-                scores.append(1 - math.exp(clean + sum(math.log(1 - entries[g]) for g in own)))  # a noisy or
+                scores.append(1 / (1 + math.exp(min(700.0, -base - math.fsum(map(entries.__getitem__, own.values()))))))
                 found.append(sorted(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "held_out", "score", "found"])
 
