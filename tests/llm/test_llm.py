@@ -345,3 +345,166 @@ def test_pipeline_stages_keep_columns(spark, odd):
         assert df.columns == C.COLUMNS
         df = df.cache()
     assert df.count() > 0 and C.STAGES[-1][1](spark, df, "").count() >= df.count()
+
+
+def test_decoding_is_the_best_of_all_readings():
+    codes = [toxicity.CODE[c] for c in "  the idiot sat still and a bit stiff by the hill  " * 20]
+    counts = np.zeros(toxicity.SIZE**3, np.int64)
+    np.add.at(counts, [(a * toxicity.SIZE + b) * toxicity.SIZE + c for a, b, c in zip(codes, codes[1:], codes[2:])], 1)
+    model = toxicity.log_model(counts)
+
+    def worth(text):
+        at = [0, 0, *(toxicity.CODE[c] for c in text), 0]
+        return sum(float(model[a, b, c]) for a, b, c in zip(at, at[1:], at[2:]))
+
+    for token in ("1d10t", "i d i o t", "st!!ll", "i. d 1-o t", "th3 8111", "a  b|t", "ssttiill", "$+i#f"):
+        readings = {"".join(t for t, _ in path): 0.0 for path in __import__("itertools").product(*toxicity.lattice(token))}
+        best = {}
+        for path in __import__("itertools").product(*toxicity.lattice(token)):
+            text = "".join(t for t, _ in path)
+            best[text] = max(best.get(text, -1e9), worth(text) - sum(c for _, c in path))
+        got = toxicity.decode(token, model)
+        assert got in readings and abs(best[got] - max(best.values())) < 1e-4
+
+
+def test_nothing_that_can_hold_an_entry_is_called_hopeless():
+    rng = random.Random(12)
+    entries = {"idiot": 1.0, "mor*": 1.0, "scum": 1.0}
+    heads = toxicity.beginnings(entries)
+    for _ in range(400):
+        token = "".join(rng.choice("idiotmrscu1!5 0.") for _ in range(rng.randint(1, 7))).strip()
+        if not token:
+            continue
+        said = {"".join(t for t, _ in path) for path in __import__("itertools").product(*toxicity.lattice(token))}
+        holds = any(w in entries or any(w.startswith(e[:-1]) and len(w) >= len(e) for e in entries if e.endswith("*")) for text in said for w in text.split())
+        assert not (holds and toxicity.hopeless(token, entries, heads)), token
+
+
+def test_cut_classes_keep_their_odds(spark):
+    rng = random.Random(13)
+    rows = [(i, " ".join(rng.choice(["loud!!", "calm"]) for _ in range(30)), "a") for i in range(900)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, _, _ in rows] + [(3, 1), (4, None), (None, 1)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    df = docs(spark, rows)
+    drawn, shift = labels_module().sample(df, labels, "quality", 40)
+    n = [drawn.filter(f"y = {y}").count() for y in (0, 1)]
+    known = {i: max(int(i % 9 == 0), int(i == 3)) for i, _, _ in rows if zlib.crc32(str(i).encode()) % 5}
+    all_ = [sum(y == k for y in known.values()) for k in (0, 1)]
+    assert n == [40, 40] and abs(shift - (np.log(all_[1] / 40) - np.log(all_[0] / 40))) < 1e-9
+    # labels tell nothing of the texts, so the mean score stays near the share of ones, with the bound and without
+    for most in (40, 6000):
+        got = np.mean([r["score"] for r in quality.score(df, quality.learn(df, labels, most)).collect()])
+        assert 0.03 < got < 0.3
+
+
+def labels_module():
+    from tessella.llm import labels
+
+    return labels
+
+
+def test_quality_scores_are_sums_of_table_entries():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0.3).astype(float)
+    model = quality.fit(x, y, rounds=20, pair_rounds=10)
+    for row in x[:40]:
+        total = model.base
+        for j, (edges, tab) in enumerate(zip(model.edges, model.tables)):
+            total += tab[sum(row[j] >= e for e in edges)]
+        for i, j, ei, ej, tab in model.pairs:
+            total += tab[sum(row[i] >= e for e in ei)][sum(row[j] >= e for e in ej)]
+        assert abs(model.raw(row[None])[0] - total) < 1e-9
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9
+
+
+def test_inclusion_follows_the_weights(spark):
+    """200 sources with the same 100 documents each: documents of one length and weight are taken as often as their weight says, but for the few that the last step fits."""
+    rng = random.Random(14)
+    base = [(rng.choice([2, 5, 9, 12]), rng.choice([0.25, 1.0, 4.0])) for _ in range(100)]
+    rows = [(s * 100 + k, " ".join(f"w{s}x{k}" for _ in range(n)), f"s{s:03d}", w) for s in range(200) for k, (n, w) in enumerate(base)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, worth double")
+    goal = 0.5 * sum(n for n, _ in base)
+    for fitted, off in ((0, 12), (mixing.FITTED, 2)):
+        got = mixing.mix(df, cycle=(1,), share=0.5, weight="worth", fitted=fitted).collect()
+        by_source, by_kind = {}, {}
+        for r in got:
+            assert abs(r["target"] - goal) < 1e-6
+            by_source.setdefault(r["source"], []).append(r["taken"])
+            by_kind.setdefault(base[r["doc_id"] % 100], []).append((r["copies"], r["expected"]))
+        assert max(abs(sum(t) - goal) for t in by_source.values()) <= off
+        assert abs(sum(e * n for (n, _), both in by_kind.items() for _, e in both) / 200 - goal) < 1e-6
+        means = [np.mean(both, axis=0) for both in by_kind.values()]
+        assert max(abs(taken - expected) for taken, expected in means) < 0.06, means
+        assert len({round(float(e), 9) for _, e in means}) == 3
+
+
+def test_a_mix_does_not_depend_on_order_and_bears_odd_weights(odd, spark):
+    df = odd.withColumn("worth", F.expr("CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 7 = 1 THEN -1 WHEN doc_id % 7 = 2 THEN double('NaN') ELSE doc_id END"))
+    for settings in ({}, {"weight": "worth"}):
+        one = sorted(map(repr, mixing.mix(df, **settings).collect()))
+        assert one == sorted(map(repr, mixing.mix(df.repartition(7, "n_chars").orderBy(F.desc("text")), **settings).collect()))
+    assert mixing.mix(odd).filter("copies > 3").isEmpty()
+
+
+def test_short_and_shifted_texts_keep_their_likeness():
+    short = "The old dog went over the hill to see what lies behi"
+    assert merkle.likeness(merkle.fingerprint(short), merkle.fingerprint(merkle.edited(short, "something else entirely"))) > 0.4
+    rng = random.Random(15)
+    line = "".join(rng.choice("etaoinshrdlucm   ") for _ in range(5400))
+    assert merkle.likeness(merkle.fingerprint(line), merkle.fingerprint("x" + line)) > 0.9
+    assert merkle.likeness(merkle.fingerprint(line), merkle.fingerprint(line[::-1])) < 0.1
+    assert all("".join(merkle.leaves(x)) == x for x in (short, line, "", "a", "。" * 300, "é" * 500))
+    huge = " ".join("".join(rng.choice("etaoinshrdlucm") for _ in range(rng.randint(1, 9))) for _ in range(600_000))
+    assert merkle.likeness(merkle.fingerprint(huge), merkle.fingerprint(huge[9:])) > 0.9
+
+
+def test_likeness_by_brute_force():
+    rng = random.Random(16)
+    texts = ["\n".join(prose(rng, rng.randint(0, 30)) for _ in range(rng.randint(1, 9))) for _ in range(30)]
+    texts += [merkle.edited(a, b) for a, b in zip(texts, texts[1:])]
+
+    def of(text):
+        return [xxhash.xxh3_128_digest(x.encode())[:3] for p in text.split("\n") for x in merkle.leaves(p)]
+
+    for a in texts[:20]:
+        for b in texts:
+            x, y = of(a), of(b)
+            both = sum(min(x.count(h), y.count(h)) for h in set(x))
+            got = merkle.likeness(merkle.fingerprint(a), merkle.fingerprint(b))
+            # leaves below equal branches count there; elsewhere as multisets, so a few may be counted less
+            assert got <= 2 * both / (len(x) + len(y)) + 1e-9 and got >= 2 * both / (len(x) + len(y)) - 0.1
+
+
+def test_a_token_of_ten_million_characters_needs_little_memory():
+    import tracemalloc
+
+    trie = unigram.vocabulary_trie({"a": -2.0, "b": -2.0, "ab": -2.5, "aba": -6.5, "bab": -3.5})
+    for word in ("ab" * 700, "abba" * 400, "é" * 1500, "aab" * 401):
+        stack = unigram.forward([word[:1000]], trie, -9.0)[word[:1000]]
+        assert unigram.forward_alone(word[:1000], trie, -9.0) == stack
+    tracemalloc.start()
+    assert unigram.forward(["ab" * 500_000], trie, -9.0)["ab" * 500_000] > 0
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+
+
+def test_packing_bears_clashing_payloads(spark):
+    df = spark.createDataFrame([(i, 0, 0, 1 + i % 900, "x", 1, 2, 3, 4, 5, 6) for i in range(300)], "doc_id long, piece int, start long, length long, p string, lo int, hi int, per int, sequence int, salt int, rank int")
+    got = packing.pack(df, buckets=3).collect()
+    assert len(got) == 300 and got[0].asDict().keys() == {*df.columns, "sequence_id", "offset"}
+    room = {}
+    for r in got:
+        room.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for runs in room.values():
+        assert all(a + n == b for (a, n), (b, _) in zip(sorted(runs), [*sorted(runs)[1:], (sum(n for _, n in runs), 0)])) and sum(n for _, n in runs) <= 2048
+
+
+def test_many_near_copies_are_not_compared_by_all_pairs(spark):
+    """One group of 300 alike texts and 40 others in one loose component: as many blocks meet as there are, not their square."""
+    rng = random.Random(17)
+    words = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join("e" + str(i) if k == 50 else w for k, w in enumerate(words)), "a") for i in range(300)]
+    rows += [(1000 + i, " ".join("x" + str(rng.randint(0, 999)) if k % 12 == i % 12 else w for k, w in enumerate(words)), "a") for i in range(40)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_dedup(docs(spark, rows), block=16).collect()}
+    assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] != 0 for i in range(40))
