@@ -14,8 +14,8 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: A key with over 1 / HOT of a table's rows is hot; so there are at most HOT of them.
-HOT = 4096
+#: A key with over 1 / HOT of a table's rows, and over HOT_ROWS, is hot; so there are at most HOT of them.
+HOT, HOT_ROWS = 4096, 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,9 +53,16 @@ def cut(df: DataFrame, tag: str, instead: DataFrame | None = None) -> DataFrame:
     return out
 
 
-def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """big joined with small, which has at most one row a key. `hot` is the part of small whose keys have over 1 / HOT of big's rows each, so at most HOT rows whatever the input:
+def hot_from(rows: int) -> int:
+    """A key of a table with so many rows is hot if it has more than this."""
+    return max(rows // HOT, HOT_ROWS)
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: list[str], hot: DataFrame | None) -> DataFrame:
+    """big joined with small, which has at most one row a key. `hot` is the part of small whose keys are hot in big, so at most HOT rows whatever the input (None: there are none):
     it is broadcast, and rows with a hot key are not moved; the others meet by an ordinary join."""
+    if hot is None:
+        return big.join(small, on)
     few = F.broadcast(hot)
     return big.join(few, on).unionByName(big.join(few.select(*on), on, "left_anti").join(small, on))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, spread_join, squeezed, text_of
+from .common import cut, hot_from, spread_join, squeezed, text_of
 
 LEAST, MOST = 512, 3584
 CHUNK = rf"(?s).{{1,{LEAST}}}+[^.]{{0,{MOST}}}+\.?"
@@ -63,7 +63,7 @@ def exact_dedup(docs: DataFrame, bits: int = 64) -> DataFrame:
     key = ["ids", "variants"]
     each = known.groupBy(*key, "doc_id", "text_sha256").agg(F.count("*").alias("n"))
     group = each.groupBy(*key).agg(F.min("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
-    joined = spread_join(each, group, key, group.filter(F.col("group_size") > max(1, known.count() // HOT)))
+    joined = spread_join(each, group, key, group.filter(F.col("group_size") > hot_from(known.count())))
     joined = joined.select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
     return joined.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 

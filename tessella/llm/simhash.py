@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, cut, spread_join, text_of
+from .common import cut, hot_from, spread_join, text_of
 
 SEGMENTS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
 MAX_BITS = 4
@@ -87,16 +87,15 @@ def _differ(x: np.ndarray) -> np.ndarray:
 
 
 def _forest(fps: np.ndarray) -> list[np.ndarray]:
-    """Links of a spanning forest of the fingerprints within MAX_BITS of each other, as two columns."""
+    """Links, as two columns, of the components of the fingerprints within MAX_BITS of each other: each component a star around its first."""
     left, links = fps, []
     while len(left) > 1:
-        front, left = [left[0]], left[1:]
+        first, front, left = left[0], [left[0]], left[1:]
         while front and len(left):
-            x = front.pop()
-            near = _differ(left ^ x) <= MAX_BITS
+            near = _differ(left ^ front.pop()) <= MAX_BITS
             if near.any():
                 found = left[near]
-                links.append(np.column_stack([np.full(len(found), x, np.int64), found]))
+                links.append(np.column_stack([np.full(len(found), first, np.int64), found]))
                 front.extend(found)
                 left = left[~near]
     return links
@@ -177,25 +176,27 @@ def components(pairs: DataFrame) -> DataFrame:
         print_of = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if (now := (print_of["n"], print_of["s"])) == was or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was, most = now, now[0] // HOT
+        was, most = now, hot_from(now[0])
+        ends = edges.select(F.explode(F.array(F.struct(F.lit("u").alias("end"), F.col("u").alias("node")), F.struct(F.lit("v").alias("end"), F.col("v").alias("node")))).alias("e")).select("e.*") if now[0] > most else None
+        hubs = {r["end"] for r in ends.groupBy("end", "node").count().filter(F.col("count") > most).select("end").distinct().collect()} if ends is not None else set()
         up = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))  # each link from its smaller end
         least = edges.union(up).groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.sum((F.col("v") > F.col("u")).cast("long")).alias("n")).filter("n > 0")
-        large = spread_join(up, least.select("u", "m"), ["u"], least.filter(F.col("n") > most).select("u", "m"))
+        large = spread_join(up, least.select("u", "m"), ["u"], least.filter(F.col("n") > most).select("u", "m") if "v" in hubs else None)
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = spread_join(large, low.select("u", "m"), ["u"], low.filter(F.col("n") > most).select("u", "m"))
+        small = spread_join(large, low.select("u", "m"), ["u"], low.filter(F.col("n") > most).select("u", "m") if "u" in hubs else None)
         edges = cut(small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", "m")).distinct(), "edges", instead=edges)
 
 
 def assign(known: DataFrame, node: str, roots: DataFrame) -> DataFrame:
     """known (a written table): doc_id, node column, ...; roots: node, root. Adds component_id, the smallest doc_id of the node's component. Copies of one text and members of one component are spread over tasks."""
-    n = known.count()
+    most = hot_from(known.count())
     nodes = known.groupBy(node).agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     named = cut(nodes.join(roots.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node)), "named")
-    of_root = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes"))
-    met = spread_join(named, of_root.select("root", "component_id"), ["root"], of_root.filter(F.col("nodes") > F.lit(n // HOT)).select("root", "component_id"))
-    of_node = cut(met.select(node, "component_id", "rows"), "components", instead=named)
-    return spread_join(known, of_node.drop("rows"), [node], of_node.filter(F.col("rows") > n // HOT).drop("rows"))
+    of_root = cut(named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("nodes")), "roots")
+    hot = lambda df, n: None if (found := df.filter(F.col(n) > most).drop(n)).isEmpty() else found
+    of_node = cut(spread_join(named, of_root.drop("nodes"), ["root"], hot(of_root, "nodes")).select(node, "component_id", "rows"), "components")
+    return spread_join(known, of_node.drop("rows"), [node], hot(of_node, "rows"))
 
 
 def near_dedup(docs: DataFrame, width: int = 4, block: int = BLOCK) -> DataFrame:
