@@ -72,7 +72,7 @@ def decide(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_co
     rows = cut(docs.select("doc_id", "source", size.alias("size"), level.alias("w"), key_of("source").alias("stratum"), uniform(seed, text="text").alias("u")), "sizes")
     buckets = buckets or max(64, -(-rows.count() // ROWS))
 
-    words = cut(rows.groupBy("stratum", "w").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "words")
+    words = cut(rows.groupBy("stratum", "w").agg(F.first("source").alias("source"), F.sum("size").alias("words"), F.count("*").alias("rows")), "words")
     goal = targets(words.groupBy("stratum").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")).drop("stratum"), cycle, share, max_copies)
     rated = words.drop("source").join(goal.select(key_of("source").alias("stratum"), "source_size", "target"), "stratum")
     some = F.max(F.when(F.col("words") > 0, F.col("w"))).over(Window.partitionBy("stratum")) > 0
@@ -80,12 +80,15 @@ def decide(docs: DataFrame, cycle: tuple = (5, 2, 1), share: float = 1.0, max_co
     rated = fill_up(rated, ["stratum"], "w", F.col("target"), F.col("words") * max_copies, F.when(F.col("words") > 0, F.col("words") * F.col("worth")).otherwise(F.lit(None)))
     m = F.when(F.col("source_size") == 0, 0.0).when(F.col("level").isNull(), F.when(F.col("worth") > 0, float(max_copies)).otherwise(0.0)).otherwise(F.least(F.col("level") * F.col("worth"), F.lit(float(max_copies))))
     # one row a source and weight, of a size the planner knows: it broadcasts that if it's small, so a hot source isn't moved to one task
-    goal = cut(rated.select("stratum", "w", "source_size", "target", m.alias("m")), "goal")
     p = F.col("m") - F.floor("m")
+    levels = F.collect_list(F.when(p > 0, F.struct("rows", (p / (1 - p)).alias("odds")))).over(Window.partitionBy("stratum"))
+    goal = cut(rated.withColumn("m", m).select("stratum", "w", "source_size", "target", "m", levels.alias("levels")), "goal")
     odds = F.col("u") / (1 - F.col("u")) / (p / (1 - p))
+    # the share of the source that a rank key is expected to exceed: even over the buckets whatever the weights
+    share = F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + x["rows"] * (F.col("q") * x["odds"] / (1 + F.col("q") * x["odds"]))) / F.aggregate("levels", F.lit(0.0), lambda acc, x: acc + x["rows"])
     each = rows.join(goal, ["stratum", "w"]).withColumn("whole", F.floor("m").cast("int")).withColumn("q", F.when((p > 0) & (F.col("size") > 0), odds))
     # bucket -1: nothing is left to chance
-    each = each.withColumn("at", F.when(F.col("q").isNotNull(), F.least(F.floor(F.col("q") / (1 + F.col("q")) * buckets), F.lit(buckets - 1)).cast("int")).otherwise(-1))
+    each = each.withColumn("at", F.when(F.col("q").isNotNull(), F.least(F.floor(share * buckets), F.lit(buckets - 1)).cast("int")).otherwise(-1)).drop("levels")
 
     sums = each.groupBy("stratum", "at").agg(F.sum(F.when(F.col("at") >= 0, F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("size") * F.col("whole")).alias("sure"), F.first("target").alias("target"))
     whole = Window.partitionBy("stratum")
