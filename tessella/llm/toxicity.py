@@ -30,8 +30,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +74,7 @@ _TWO_DOUBLED = re.compile(r"(.)\1.*(.)\2")
 # Runs of tokens of up to three characters less outer marks; a longer token belongs to a run if a single character is next to it.
 _SHORT = r"""["'(\[]{0,2}\S{1,3}[!?.,;:"')\]]{0,3}(?!\S)"""
 _RUN = re.compile(rf"(?<!\S)(?:\S{{4,12}}\s+(?=\S(?!\S)))?{_SHORT}(?:\s+{_SHORT})*(?:(?<!\S\S)\s+\S{{4,12}}(?!\S))?")
+_GAP = re.compile(r"\s+")
 _TRIM = "".join(set(MARKS) | set("!?\"()[]{}<>«»“”’‘…¡¿%&=#$*@+|"))
 _SOFT = "".join(set(_TRIM) - set("@$|+(#"))
 
@@ -112,25 +114,33 @@ def readings(c: str) -> list[tuple[str, float]]:
     return out + [("", 1.5)] if c in MARKS or c in "!|+(#" else out or [("?", 4.0)]
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+@cache
+def _options(c: str, n: int, letter: bool) -> list[tuple[str, float]]:
+    """What a run of n (3: or more) characters c can stand for."""
+    single = readings(c)
+    if n == 1:
+        return single
+    twice = [(a + a, 2 * s) for a, s in single if a]
+    return single + twice if n > 2 or not letter else [*twice, *((a, s + 2.0) for a, s in single)]
+
+
+_GAPS = ([(" ", 0.0), ("", 1.0)], [(" ", 0.0), ("", 4.0)])
+
+
+def lattice(token: str, at: int = 0) -> Iterator[list[tuple[str, float]]]:
     """By position, the strings a stretch of the token can stand for. A run of one letter or imitating character is one position, and so is a gap: a boundary or, at a cost that is higher for a longer gap, nothing."""
-    out, i = [], 0
-    while i < len(token):
-        k = i
-        while k < len(token) and (token[k] == token[i] or token[i].isspace() and token[k].isspace()):
-            k += 1
-        if token[i].isspace():
-            out.append([(" ", 0.0), ("", 1.0 if k - i == 1 else 4.0)])
-            i = k
-            continue
-        single = readings(token[i])
-        if k - i == 1:
-            out.append(single)
+    n = len(token)
+    while at < n:
+        c, k = token[at], at + 1
+        if c.isspace():
+            while k < n and token[k].isspace():
+                k += 1
+            yield _GAPS[k - at > 1]
         else:
-            twice = [(a + a, 2 * s) for a, s in single if a]
-            out.append(single + twice if k - i > 2 or not token[i].isalpha() else [*twice, *((a, s + 2.0) for a, s in single)])
-        i = k
-    return out
+            while k < n and token[k] == c:
+                k += 1
+            yield _options(c, min(k - at, 3), c.isalpha())
+        at = k
 
 
 def decode(token: str, model: np.ndarray) -> str:
@@ -182,11 +192,9 @@ def beginnings(entries: dict) -> set[str]:
 
 def hopeless(token: str, entries: dict, heads: set[str]) -> bool:
     """Whether no reading of a token, or of a run of tokens, can hold an entry: no reading of its lattice spells one from the start or from behind a gap."""
-    positions = lattice(token)
-    starts = [0, *(i + 1 for i, options in enumerate(positions) if options[0][0] == " ")]
-    for first in starts:
+    for start in [0, *(g.end() for g in _GAP.finditer(token))]:
         said = {""}
-        for options in positions[first:]:
+        for options in lattice(token, start):
             longer = set()
             for s in said:
                 for x, _ in options:
@@ -229,17 +237,12 @@ def entries_across(run: str, entries: dict, heads: set[str]) -> set[str]:
     return found
 
 
-def restore(token: str, model: np.ndarray, entries: dict | None = None, heads: set[str] | None = None) -> tuple[str, ...]:
-    """Restored readings of one token (of a run of tokens, its words): itself without outer marks, and what it may hide. With entries, only readings that may hold one are sure to be there."""
+def restore(token: str, model: np.ndarray) -> tuple[str, ...]:
+    """Restored readings of one token (of a run of tokens, its words): itself without outer marks, and what it may hide."""
     t = token.lower()
-    if any(map(str.isspace, t)):
-        hidden, out = [bare_run(t)], []
-    else:
-        hidden, out = forms(t), [t.strip(_TRIM)]
-    for x in hidden:
-        if entries is None or not hopeless(x, entries, heads):
-            out += decode(x, model).split()
-    return tuple(dict.fromkeys(out))
+    run = any(map(str.isspace, t))
+    hidden = [bare_run(t)] if run else forms(t)
+    return tuple(dict.fromkeys(([] if run else [t.strip(_TRIM)]) + [w for x in hidden for w in decode(x, model).split()]))
 
 
 def grams(word: str) -> list[str]:
@@ -353,38 +356,62 @@ def score(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, threshold: float
     entries, heads, base = lexicon.entries, beginnings(lexicon.entries), lexicon.base
 
     place = {g: k for k, g in enumerate(entries)}
+    firsts = {h[0] for h in heads}
 
-    def held(token: str) -> tuple[tuple[str, str], ...]:
-        """Restored words with the entries they stand for."""
-        found = ((r, [g for g in grams(r) if g in entries]) for r in restore(token, model, entries, heads) if len(r) > 1)
+    def stands_for(words: Iterable[str]) -> tuple[tuple[str, str], ...]:
+        """Those of the restored words that stand for an entry, with it."""
+        found = ((r, [g for g in grams(r) if g in entries]) for r in words if len(r) > 1)
         return tuple((r, min(of, key=place.__getitem__)) for r, of in found if of)
 
+    def held(token: str) -> tuple[tuple[str, str], ...]:
+        """What `restore` finds in a token that stands for an entry; readings that can't are not looked for."""
+        t = token.lower()
+        plain = t if t.isalpha() else t.strip(_TRIM)
+        found = [plain] if plain[:3] in heads else []
+        if plain.isalpha() and (plain is t or plain == t.strip(_SOFT)):
+            hidden = [plain] if plain and plain[0] in firsts and suspect(plain) else []
+        else:
+            hidden = forms(t)
+        return stands_for(dict.fromkeys(found + [w for x in hidden if not hopeless(x, entries, heads) for w in decode(x, model).split()]))
+
+    def across_in(run: str) -> tuple[tuple[tuple[str, str], ...], set[str]]:
+        """The same in a run of tokens, and entries that they spell together."""
+        bare = bare_run(run)
+        if hopeless(bare, entries, heads):
+            return (), set()
+        return stands_for(dict.fromkeys(decode(bare, model).split())), entries_across(run, entries, heads)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
         spans: dict[str, tuple] = {}
+        clean: set[str] = set()  # tokens and runs in which nothing is found
         for b in batches:
             scores, found = [], []
             for text in b.column("text"):
                 own: dict[str, str] = {}
                 across: set[str] = set()
                 text = text.as_py()
-                for w in set(text.split()):
-                    if w not in known:
-                        known[w] = held(w)
-                    own.update(known[w])
-                for w in runs_of(text):
-                    if w not in spans:
-                        spans[w] = held(w), entries_across(w, entries, heads)
-                    own.update(spans[w][0])
-                    across |= spans[w][1]
+                for w in set(text.split()).difference(clean):
+                    hit = known.get(w) or held(w)
+                    if hit:
+                        known[w] = hit
+                        own.update(hit)
+                    else:
+                        clean.add(w)
+                for w in runs_of(text).difference(clean):
+                    hit = spans.get(w) or across_in(w)
+                    if any(hit):
+                        spans[w] = hit
+                        own.update(hit[0])
+                        across |= hit[1]
+                    else:
+                        clean.add(w)
                 for g in sorted(across, key=lambda g: (-len(g), g)):  # an entry that a restored word holds already is no word more
                     stem = g.rstrip("*")
                     if not any(w.startswith(stem) for w in own):
                         own[stem] = g
-                if len(spans) > CACHE:
-                    spans.clear()
-                if len(known) > CACHE:
-                    known.clear()
+                if len(known) + len(spans) + len(clean) > 2 * CACHE:
+                    known.clear(), spans.clear(), clean.clear()
                 scores.append(1 / (1 + math.exp(min(700.0, -base - math.fsum(map(entries.__getitem__, own.values()))))))
                 found.append(sorted(own))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(pa.string()))], ["doc_id", "held_out", "score", "found"])
