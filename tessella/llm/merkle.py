@@ -11,8 +11,8 @@ out of step behind an edit, as with any least length; its likeness is then too l
 
 The next document of each comes from one range shuffle by doc_id (and a hash of the text, so rows of one
 doc_id, null ones too, spread as well), into about `RANGE_BYTES` of text each: a row meets its successor
-within the sorted partition. The last row of a partition and the first ones of all go through a second, small
-table: at most two rows a partition. Nothing comes to the driver but the number of bytes.
+within the sorted partition. First and last rows of the partitions, two each, are aggregated from the same
+exchange and joined by the partitions' numbers. Nothing comes to the driver but the number of bytes.
 
 Edge cases: null text counts as empty (one empty leaf); null ids come first, rows of one doc_id in order
 of their texts' hashes, repeated rows follow each other; a single document follows itself; an empty table
@@ -31,16 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of
+from .common import text_of
 
 #: Least and most characters of a leaf before the one it ends with, and those it may end with; the same of a paragraph's first two leaves.
 LEAST, MOST, ENDS = 30, 94, "dlm.;0-9ло的一。、"
 HEADS, HEAD_ENDS = (3, 10), " aeiou.,;"
 RANGE_BYTES = 64 << 20
 OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-#: Behind the columns of OUT: the partition, "" for a whole row, else first or last row of the partition, whose text is kept.
-LINED = f"{OUT}, part int, kind string, text string"
-
 _HEAD = re.compile("(?s)" + "".join(f"(.{{1,{n}}}(?:(?<=.{{{n}}})[^{HEAD_ENDS}]{{0,{MOST - n}}}.?)?)?" for n in HEADS))
 _LEAF = re.compile(rf"(?s).{{{LEAST}}}[^{ENDS}]{{0,{MOST - LEAST}}}.?|.+")
 
@@ -119,44 +116,36 @@ def _compare(doc_id: int | None, text: str, own: str, following: str, then: str)
     return doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), own, made, likeness(own, made), likeness(own, then)
 
 
-_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    names = [c.split()[0] for c in LINED.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], [c.split()[0] for c in OUT.split(", ")])
 
 
 def _line_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole rows for all of a sorted partition but the last, which goes on with its text, as does the first."""
-    held: tuple | None = None  # part, doc_id, text, fingerprint
+    """Rows of OUT for all of a sorted partition but the last."""
+    held: tuple | None = None  # doc_id, text, fingerprint
     for b in batches:
         rows, size = [], 0
-        for part, doc_id, text in zip(b.column("part").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
+        for doc_id, text in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
             text = text.as_py()
             own = fingerprint(text)
-            if held is None:
-                rows.append((*[None] * 7, part, "first", text))
-            else:
-                rows.append((*_compare(*held[1:], text, own), part, "", None))
-                size += len(rows[-1][4]) * 2 + len(text)
-            held = part, doc_id, text, own
+            if held is not None:
+                rows.append(_compare(*held, text, own))
+                size += len(rows[-1][4]) * 2
+            held = doc_id, text, own
             if size > 1 << 23:
                 yield _batch(rows)
                 rows, size = [], 0
         if rows:
             yield _batch(rows)
-    if held is not None:
-        yield _batch([(held[1], None, None, None, None, None, None, held[0], "last", held[2])])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
         for doc_id, text, following in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "following")), strict=True):
-            rows.append(_compare(doc_id, text, fingerprint(text), following, fingerprint(following)))
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=False)], [c.split()[0] for c in OUT.split(", ")])
+            yield _batch([_compare(doc_id, text, fingerprint(text), following, fingerprint(following))])
 
 
 def trace_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -166,13 +155,14 @@ def trace_edits(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     if ranges is None:
         size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
-    keyed = rows.withColumn("h", F.xxhash64("text"))
-    lined = keyed.repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.col("h").asc()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text")
-    done = cut(lined.select(F.spark_partition_id().alias("part"), "doc_id", "text").mapInArrow(_line_up, LINED), "lined")
-    # a row a partition without texts: the next partition that has rows, and the first one after the last
-    parts = done.filter("kind = 'first'").select("part")
-    after = parts.select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy(F.lit(0)))).alias("part"))
-    first = done.filter("kind = 'first'").select("part", F.col("text").alias("following"))
-    last = done.filter("kind = 'last'").select(F.col("part").alias("before"), "doc_id", "text")
-    met = last.join(after, "before").join(first, "part").select("doc_id", "text", "following")
-    return done.filter("kind = ''").select(*[c.split()[0] for c in OUT.split(", ")]).unionByName(met.mapInArrow(_close, OUT))
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(ranges, F.col("doc_id").asc_nulls_first(), F.col("h").asc())
+    lined = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h", "text").select("doc_id", "text").mapInArrow(_line_up, OUT)
+    # first and last row of each partition, from the same exchange; what follows a partition's last row is the first of the next one that has rows
+    row = F.struct("doc_id", "h", "text")  # null sorts first in a struct too
+    ends = dealt.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    ends = ends.filter("first is not null and last is not null")  # always so; it keeps all columns in use, so that the three uses share one exchange and its bounds
+    every = Window.partitionBy(F.lit(0))
+    after = ends.select("part").select(F.col("part").alias("before"), F.coalesce(F.lead("part").over(every.orderBy("part")), F.min("part").over(every)).alias("part"))
+    last = ends.select(F.col("part").alias("before"), "last.doc_id", "last.text")
+    met = last.join(after, "before").join(ends.select("part", F.col("first.text").alias("following")), "part")
+    return lined.unionByName(met.select("doc_id", "text", "following").mapInArrow(_close, OUT))
