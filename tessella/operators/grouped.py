@@ -74,7 +74,7 @@ def welch(df: DataFrame, s: SeriesSpec, value: str, fallback: int = 16) -> DataF
     """Per key: period rounded up to a power of two if the peak stands out, else the fallback."""
     order, keys = list(s.order), list(s.keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         period, ratio = welch_of(pdf.sort_values(order)[value].to_numpy(float))
         found = int(2 ** np.ceil(np.log2(period))) if ratio > 2 and period == period else fallback
         return pd.DataFrame([[*key, found, round(ratio, 6)]], columns=[*keys, "period", "ratio"])
@@ -85,14 +85,18 @@ def welch(df: DataFrame, s: SeriesSpec, value: str, fallback: int = 16) -> DataF
 
 def dtw_distance(a: np.ndarray, b: np.ndarray) -> float:
     """Root of the least sum of squared differences over warping paths."""
-    row = np.full(len(b) + 1, np.inf)
-    row[0] = 0.0
-    for x in a:
-        new, cost = np.full(len(b) + 1, np.inf), (x - b) ** 2
-        for j in range(1, len(b) + 1):
-            new[j] = cost[j - 1] + min(row[j], new[j - 1], row[j - 1])
-        row = new
-    return float(np.sqrt(row[-1]))
+    n, m = len(a), len(b)
+    if not n or not m:
+        return 0.0 if n == m else float("inf")
+    # cell (i, j) of anti-diagonal i + j is held at i; a diagonal needs the two before it, so a step is one vector operation
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
+        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
+        new = np.full(n + 1, np.inf)
+        new[i] = (a[i - 1] - b[d - i - 1]) ** 2 + np.minimum(np.minimum(last[i - 1], last[i]), before[i - 1])
+        before, last = last, new
+    return float(np.sqrt(last[n]))
 
 
 def dtw_next(df: DataFrame, s: SeriesSpec, value: str) -> DataFrame:

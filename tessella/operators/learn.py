@@ -11,14 +11,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.latent import distances_to, nearest
 
-#: The penalties tried by the ridge search.
-ALPHAS = tuple(float(a) for a in 10.0 ** np.arange(-6, 7))
+# The penalties tried by the ridge search.
+ALPHAS = (0.1, 0.2, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0, 200.0, 500.0, 1000.0)
 
 
 @dataclass(frozen=True)
@@ -150,9 +151,10 @@ def cluster_score(df: DataFrame, vector: str, centres: list[list[float]]) -> dic
     return {"calinski_harabasz": float(between / (k - 1) / max(inside / max(1.0, n.sum() - k), 1e-300)), "davies_bouldin": -float(worst.mean())}
 
 
-def kmeans_best_k(df: DataFrame, vector: str, first: int, last: int, seed: int = 1) -> int:
-    """The k of the half-open range with the highest Calinski-Harabasz score."""
-    return max(range(first, last), key=lambda k: cluster_score(df, vector, kmeans_centres(df, vector, k, seed))["calinski_harabasz"])
+def kmeans_best_k(df: DataFrame, vector: str, first: int, last: int, seed: int = 1, restarts: int = 5) -> int:
+    """The k of the half-open range with the highest Calinski-Harabasz score, as the mean of so many starts."""
+    score = lambda k: sum(cluster_score(df, vector, kmeans_centres(df, vector, k, seed + n))["calinski_harabasz"] for n in range(restarts)) / restarts
+    return max(range(first, last), key=score)
 
 
 def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
@@ -188,6 +190,13 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target:
     return models[kind]().fit(known).transform(rows).select(*test.columns, F.col("prediction").cast("double").alias("prediction"))
 
 
+def mutual_info_select(df: DataFrame, features: list[str], target: str, percent: float, bins: int = 10) -> list[tuple[str, float]]:
+    """The features with the highest scores, max(1, percent of all) of them, each scored alone; rows whose features are all zero are left out."""
+    rows = df.filter(sum(F.coalesce((F.col(c) != 0).cast("int"), F.lit(0)) for c in features) > 0)
+    scores = sorted(((c, mutual_info_binned(rows, c, target, bins)) for c in features), key=lambda s: (-s[1], s[0]))
+    return scores[: max(1, int(percent * len(features) / 100))]
+
+
 def mutual_info_binned(df: DataFrame, feature: str, target: str, bins: int = 10) -> float:
     """Mutual information (nats) between quantile bins of both; the bins' bounds and at most bins x bins counts come to the driver. A different estimator from a neighbour-based one."""
     at = [k / bins for k in range(1, bins)]
@@ -202,3 +211,151 @@ def mutual_info_binned(df: DataFrame, feature: str, target: str, bins: int = 10)
     p /= p.sum()
     free = p.sum(1, keepdims=True) @ p.sum(0, keepdims=True)
     return float((p[p > 0] * np.log(p[p > 0] / free[p > 0])).sum())
+
+
+def fit_per_cluster(train: DataFrame, test: DataFrame, features: list[str], target: str, k: int, alpha: float = 1.0, seed: int = 1) -> DataFrame:
+    """test with columns cluster and prediction: k-means on the training features, a ridge model for each cluster in use. Every test row is predicted by its nearest centre's model."""
+    rows = train.filter(sum(F.col(c).isNull().cast("int") for c in [*features, target]) == 0).withColumn("__v", F.array(*[F.col(c).cast("double") for c in features]))
+    centres = kmeans_centres(rows, "__v", k, seed)
+    place = lambda df: df.withColumn("cluster", nearest(distances_to(F.array(*[F.col(c).cast("double") for c in features]), centres)))
+    rows, out = place(rows), F.lit(None).cast("double")
+    for c in range(len(centres)):
+        m = moments(rows.filter(F.col("cluster") == c), F.array(*features, target))
+        if m.n:
+            coef, intercept = ridge(m, alpha)
+            out = F.when(F.col("cluster") == c, linear(features, coef[:, 0], intercept[0])).otherwise(out)
+    return place(test).withColumn("prediction", out)
+
+
+def cluster_and_label(train: DataFrame, test: DataFrame, vector: str, target: str, k: int = 10, seed: int = 42) -> DataFrame:
+    """test with a prediction: the mean target of the training rows whose nearest k-means centre is its own. The clusters are found without targets."""
+    centres = kmeans_centres(train, vector, k, seed)
+    place = lambda df: df.withColumn("cluster", nearest(distances_to(F.col(vector), centres)))
+    means = place(train).groupBy("cluster").agg(F.avg(target).alias("prediction"))  # at most k rows
+    return place(test).join(F.broadcast(means), "cluster", "left")
+
+
+def importances(df: DataFrame, features: list[str], targets: list[str], trees: int = 20, depth: int = 5, seed: int = 42) -> dict[str, float]:
+    """Mean importance of each feature over forests, one a target."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    total = np.zeros(len(features))
+    for y in targets:
+        model = RandomForestRegressor(featuresCol="__x", labelCol=y, numTrees=trees, maxDepth=depth, seed=seed).fit(assembled(df, features, y))
+        total += model.featureImportances.toArray()
+    return dict(zip(features, (total / len(targets)).tolist(), strict=True))
+
+
+def importance_select(df: DataFrame, features: list[str], targets: list[str], **settings) -> list[tuple[str, float]]:
+    """Features whose mean importance is at least the median, most important first."""
+    found = importances(df, features, targets, **settings)
+    least = float(np.median(list(found.values())))
+    return sorted(((c, x) for c, x in found.items() if x >= least), key=lambda s: (-s[1], s[0]))
+
+
+def rfe(df: DataFrame, features: list[str], target: str, share: float = 0.95, **settings) -> list[tuple[str, float]]:
+    """Recursive elimination: the least important feature goes, the rest is fitted anew, until int(features * share) of them (one at least) are left; most important first."""
+    left = list(features)
+    found = importances(df, left, [target], **settings)
+    while len(left) > max(1, int(len(features) * share)):
+        left.remove(min(left, key=lambda c: (found[c], c)))
+        found = importances(df, left, [target], **settings)
+    return sorted(found.items(), key=lambda s: (-s[1], s[0]))
+
+
+def tune_grid(train: DataFrame, features: list[str], target: str, grid: dict[str, list], folds: int = 3, parallelism: int = 4, seed: int = 42) -> list[tuple]:
+    """(parameters in the grid's order..., mean RMSE over the folds), the best first: elastic net over the product of the grid's values."""
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    model = LinearRegression(featuresCol="__x", labelCol=target)
+    build = ParamGridBuilder()
+    for name, values in grid.items():
+        build = build.addGrid(model.getParam(name), values)
+    maps = build.build()
+    fitted = CrossValidator(estimator=model, estimatorParamMaps=maps, evaluator=RegressionEvaluator(labelCol=target, metricName="rmse"), numFolds=folds, parallelism=parallelism, seed=seed).fit(assembled(train, features, target))
+    rows = [(*[float(m[model.getParam(name)]) for name in grid], float(score)) for m, score in zip(maps, fitted.avgMetrics, strict=True)]
+    return sorted(rows, key=lambda r: (r[-1], r))
+
+
+@dataclass(frozen=True)
+class Net:
+    """A regression net: layers of (weights, biases), the smooth x * sigmoid(x) between them, on standardised features and target."""
+
+    layers: tuple
+    mean: np.ndarray
+    scale: np.ndarray
+
+    def forward(self, x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Input and pre-activation of each layer."""
+        out, held = x, []
+        for k, (w, b) in enumerate(self.layers):
+            z = out @ w + b
+            held.append((out, z))
+            out = z / (1 + np.exp(-z)) if k < len(self.layers) - 1 else z
+        return held
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        z = self.forward((x - self.mean[:-1]) / self.scale[:-1])[-1][1][:, 0]
+        return z * self.scale[-1] + self.mean[-1]
+
+
+def fit_net(train: DataFrame, features: list[str], target: str, hidden: tuple[int, ...] = (16, 16), epochs: int = 20, rate: float = 0.02, decay: float = 0.01, seed: int = 0) -> Net:
+    """Full-batch descent with adaptive moments and decoupled decay. Each epoch is one pass: every task sums its rows' gradients, so rows never leave their tasks and the driver holds only the weights."""
+    m = moments(train, F.array(*features, target))
+    scale = np.sqrt(np.clip(np.diag(m.cov), 1e-24, None))
+    rng, sizes = np.random.default_rng(seed), [len(features), *hidden, 1]
+    layers = [(rng.normal(0, np.sqrt(2 / a), (a, b)), np.zeros(b)) for a, b in zip(sizes, sizes[1:])]
+    rows = train.select(F.array(*[F.col(c).cast("double") for c in [*features, target]]).alias("v")).filter(F.forall("v", lambda x: x.isNotNull()))
+    flat = lambda parts: np.concatenate([p.ravel() for pair in parts for p in pair])
+    first, second = np.zeros(len(flat(layers))), np.zeros(len(flat(layers)))
+    for epoch in range(1, epochs + 1):
+        net = Net(tuple(layers), m.mean, scale)
+
+        def run(batches: Iterator[pa.RecordBatch], net: Net = net) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(flat(net.layers)))
+            for b in batches:
+                x = (b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(net.mean)) - net.mean) / net.scale
+                held = net.forward(x[:, :-1])
+                back, grads = 2 * (held[-1][1] - x[:, -1:]), []
+                for k in range(len(held) - 1, -1, -1):
+                    if k < len(held) - 1:
+                        s = 1 / (1 + np.exp(-held[k][1]))
+                        back = back * s * (1 + held[k][1] * (1 - s))
+                    grads.append((held[k][0].T @ back, back.sum(0)))
+                    back = back @ net.layers[k][0].T
+                total += flat(grads[::-1])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["t"])
+
+        sums = rows.mapInArrow(run, "t array<double>").select(F.posexplode("t").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x")).collect()
+        g = np.array([r["x"] for r in sorted(sums)]) / max(1, m.n)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        step = rate * (first / (1 - 0.9**epoch)) / (np.sqrt(second / (1 - 0.999**epoch)) + 1e-8)
+        new, at = flat(layers) * (1 - rate * decay) - step, 0
+        for k, (w, b) in enumerate(layers):
+            layers[k] = (new[at : at + w.size].reshape(w.shape), new[at + w.size : at + w.size + b.size])
+            at += w.size + b.size
+    return Net(tuple(layers), m.mean, scale)
+
+
+def net_predict(df: DataFrame, net: Net, features: list[str]) -> DataFrame:
+    """df with a column prediction; a null feature gives null."""
+    predict = F.pandas_udf(lambda v: pd.Series(net.predict(np.stack(v.to_numpy()).astype(float))) if len(v) else pd.Series([], dtype=float), "double")
+    return df.withColumn("prediction", F.nullif(predict(F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in features])), F.lit(float("nan"))))
+
+
+def kernel_svm(train: DataFrame, test: DataFrame, vector: str, width: int, label: str, penalties: tuple[float, ...] = (0.01, 0.1, 1.0), features: int = 64, folds: int = 3, seed: int = 0) -> DataFrame:
+    """test with a prediction (0 or 1): a linear machine on random features of the Gaussian kernel exp(-|x - y|^2 / (width * variance)), the penalty chosen by cross-validation."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    m = moments(train, F.col(vector))
+    gamma = 1.0 / max(1e-12, width * float(np.trace(m.cov) / width + m.mean.var()))
+    inputs = lambda df: df.withColumn("__x", array_to_vector(F.array(*random_features(F.col(vector), width, features, gamma, seed))))
+    model = LinearSVC(featuresCol="__x", labelCol=label, maxIter=20)
+    grid = ParamGridBuilder().addGrid(model.regParam, list(penalties)).build()
+    search = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy"), numFolds=folds, parallelism=3, seed=seed)
+    return search.fit(inputs(train)).transform(inputs(test)).select(*test.columns, "prediction")

@@ -43,8 +43,41 @@ def weighted_tile(pos: Column, n: int, weights: list[float]) -> Column:
 
 
 def share(seed: int, *columns: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the columns only."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *columns), 11) / float(1 << 53)
+    """A number in [0, 1) that depends on the seed and the columns only: 48 bits of the MD5 of their texts, the same on every engine."""
+    said = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(said), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def values_ranked(df: DataFrame, column: str, ranges: int = 64) -> DataFrame:
+    """column, n (its rows), before (rows with a smaller value): one row a distinct value. Values are counted first, then summed up within ranges, so no task sorts all rows; nulls are left out."""
+    known = df.filter(F.col(column).isNotNull())
+    at = known.agg(F.percentile_approx(column, [k / ranges for k in range(1, ranges)], 10_000).alias("b")).first()["b"] or []
+    place = F.array_size(F.filter(F.array(*[F.lit(c) for c in sorted(set(at))]), lambda c: c < F.col(column))) if at else F.lit(0)
+    counted = known.groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn("__r", place)
+    sizes = counted.groupBy("__r").agg(F.sum("n").alias("__n"))  # a row a range
+    starts = sizes.select("__r", (F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).alias("__s"))
+    inside = F.sum("n").over(Window.partitionBy("__r").orderBy(column)) - F.col("n")
+    return counted.withColumn("__i", inside).join(starts, "__r").select(column, "n", (F.col("__i") + F.col("__s")).cast("bigint").alias("before"))
+
+
+def average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the rank of the column's value from 1, ties their average; null for null."""
+    ranks = values_ranked(df, column).select(F.col(column).alias("__v"), (F.col("before") + (F.col("n") + 1) / 2).alias(name))
+    return df.join(ranks, F.col(column) == F.col("__v"), "left").drop("__v")
+
+
+def quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """The exact quantile, linear between neighbours: two rows of the ranked values come to the driver."""
+    ranked = values_ranked(df, column)
+    n = ranked.agg(F.sum("n").alias("n")).first()["n"]
+    if not n:
+        return None
+    place = q * (n - 1)
+    low = int(place)
+    got = ranked.filter((F.col("before") <= min(low + 1, n - 1)) & (F.col("before") + F.col("n") > low)).orderBy("before").select(column, "before", "n").collect()
+    at = lambda k: next(r[0] for r in got if r["before"] <= k < r["before"] + r["n"])
+    a, b = float(at(low)), float(at(min(low + 1, n - 1)))
+    return a + (place - low) * (b - a)
 
 
 def sample_fraction(df: DataFrame, fraction: float, seed: int, *ids: str) -> DataFrame:

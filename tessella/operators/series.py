@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,13 +79,20 @@ def acf(df: DataFrame, s: SeriesSpec, value: str, lags: list[int]) -> DataFrame:
 
 
 def spectrum(df: DataFrame, s: SeriesSpec, value: str, centre: bool = True) -> DataFrame:
-    """Power of the real Fourier transform by bin k = 1..n/2, by a join with the bins: for short series."""
-    at = s.numbered(df).withColumn("n", s.length())
-    x = F.col(value) - (F.avg(value).over(s.whole()) if centre else F.lit(0.0))
-    at = at.withColumn("__x", x).withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.col("n") / 2)).cast("int"))))
-    angle = F.lit(2.0) * F.pi() * F.col("k") * F.col("rn") / F.col("n")
-    sums = at.groupBy(*s.keys, "k", "n").agg(F.sum(F.col("__x") * F.cos(angle)).alias("re"), F.sum(F.col("__x") * F.sin(angle)).alias("im"))
-    return sums.withColumn("power", F.col("re") ** 2 + F.col("im") ** 2)
+    """Power of the real Fourier transform by bin k = 1..n/2 (k = 1 for a single row): one fast transform a series, which must fit a task's memory. Nulls count as 0 behind the centring.
+    A key named like a column of the result gives way to it."""
+    own = ["k", "n", "re", "im", "power"]
+    keys, order = [c for c in s.keys if c not in own], list(s.order)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.sort_values(order)[value].to_numpy(float)
+        x = np.nan_to_num(y - (np.nanmean(y) if centre and not np.isnan(y).all() else 0.0))
+        f = np.fft.rfft(x)[1 : max(2, len(x) // 2 + 1)] if len(x) > 1 else np.array([x.sum()])
+        out = pd.DataFrame({"k": np.arange(1, len(f) + 1, dtype=np.int32), "n": np.int64(len(x)), "re": f.real, "im": -f.imag, "power": np.abs(f) ** 2})
+        return out.assign(**{c: v for c, v in zip(s.keys, key, strict=True) if c in keys})[[*keys, *own]]
+
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*s.keys, *order, value).groupBy(*s.keys).applyInPandas(run, f"{fields}{', ' if keys else ''}k int, n long, re double, im double, power double")
 
 
 def triangle_areas(df: DataFrame, s: SeriesSpec, x: str, y: str) -> DataFrame:
@@ -94,15 +103,55 @@ def triangle_areas(df: DataFrame, s: SeriesSpec, x: str, y: str) -> DataFrame:
 
 
 def alarm_suppress(df: DataFrame, s: SeriesSpec, alarm: str, delay: int) -> DataFrame:
-    """Keep an alarm unless a kept one lies within the `delay` rows before; the first `delay` rows are exempt. A fold over each series' sorted alarm positions."""
-    at = s.numbered(df).filter(F.col(alarm)).groupBy(*s.keys).agg(F.array_sort(F.collect_list("rn")).alias("at"))
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(-(10**9)).cast("bigint").alias("last"))
-
-    def step(acc: Column, p: Column) -> Column:
-        keep = (p < delay) | (p - acc["last"] > delay)
-        return F.struct(F.when(keep, F.concat(acc["kept"], F.array(p))).otherwise(acc["kept"]).alias("kept"), F.when(keep, p).otherwise(acc["last"]).alias("last"))
-
-    return at.select(*s.keys, F.explode(F.aggregate("at", start, step)["kept"]).alias("rn"))
+    """Keep an alarm unless a kept one lies within the `delay` rows before; the first `delay` rows are exempt. One pass over each series' sorted alarm positions, with only the last kept one in mind."""
+    keys = list(s.keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        kept, last = [], None
+        for p in np.sort(pdf["rn"].to_numpy()):
+            if p < delay or last is None or p - last > delay:
+                kept.append(p)
+                last = p
+        return pd.DataFrame({"rn": np.array(kept, np.int64)}).assign(**dict(zip(keys, key, strict=True)))[[*keys, "rn"]]
+
+    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
+    return s.numbered(df).filter(F.col(alarm)).select(*keys, "rn").groupBy(*keys).applyInPandas(run, f"{fields}, rn long")
+
+
+def pad_nan(values: Column, length: int, both_sides: bool = False) -> Column:
+    """An array with NaN behind it up to the length (half of them, rounded down, before it with both_sides); longer ones stay."""
+    missing = F.greatest(F.lit(length) - F.size(values), F.lit(0))
+    before = F.floor(missing / 2).cast("int") if both_sides else F.lit(0)
+    nan = F.lit(float("nan"))
+    return F.concat(F.array_repeat(nan, before), values, F.array_repeat(nan, missing - before))
+
+
+def split_with_nan(values: Column, sections: int) -> Column:
+    """Arrays of near-equal length, the longer ones first; shorter ones end with NaN so that all are as long as the first."""
+    n = F.size(values)
+    first = F.ceil(n / sections).cast("int")
+    size = lambda k: (F.floor(n / sections) + (F.lit(k) < n % sections).cast("int")).cast("int")
+    start = lambda k: (F.floor(n / sections) * k + F.least(F.lit(k), n % sections)).cast("int")
+    cut = [F.slice(values, start(k) + 1, size(k)) for k in range(sections)]
+    return F.array(*[F.concat(c, F.array_repeat(F.lit(float("nan")), first - F.size(c))) for c in cut])
+
+
+def centre_series(values: Column) -> Column:
+    """The array turned round so that the NaN (or null) runs before and behind its values are as long as each other, but for one; all NaN: unchanged."""
+    there = F.transform(values, lambda x: x.isNotNull() & ~F.isnan(F.coalesce(x, F.lit(0.0))))
+    n, prefix, suffix = F.size(values), F.array_position(there, F.lit(True)) - 1, F.array_position(F.reverse(there), F.lit(True)) - 1
+    shift = F.floor((prefix + suffix) / 2) - prefix
+    turned = F.transform(values, lambda _, i: F.get(values, F.pmod(i - shift, n).cast("int")))
+    return F.when(prefix >= 0, turned).otherwise(values)
+
+
+def recursive_forecast(df: DataFrame, s: SeriesSpec, value: str, steps: int) -> DataFrame:
+    """Per series an autoregression of one lag, fitted by least squares, fed with its own output: step from 1, forecast. A series without a slope (constant, or under three rows) repeats its mean of the rows that follow another."""
+    rows = df.withColumn("__x", F.lag(value).over(s.window()))
+    fit = rows.groupBy(*s.keys).agg(F.regr_slope(value, "__x").alias("a"), F.regr_intercept(value, "__x").alias("b"), F.avg(F.when(F.col("__x").isNotNull(), F.col(value))).alias("m"), F.max_by(value, F.struct(*s.order)).alias("last"))
+    a, b = F.coalesce("a", F.lit(0.0)), F.coalesce("b", "m")
+    said = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.array(F.col("last").cast("double")), lambda acc, _: F.concat(acc, F.array(F.element_at(acc, -1) * a + b)))
+    return fit.select(*s.keys, F.posexplode(said).alias("step", "forecast")).filter("step > 0")
 
 
 def point_adjust(df: DataFrame, s: SeriesSpec, truth: str, predicted: str, delay: int) -> DataFrame:

@@ -40,7 +40,7 @@ def resample_pchip(df: DataFrame, s: SeriesSpec, ts: str, value: str, seconds: f
     """Per key a uniform grid from the first to the last time; repeated times keep the first row, null values are left out."""
     order, keys = list(s.order), list(s.keys)
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna(subset=[value]).sort_values(order).drop_duplicates(ts)
         x = (pdf[ts] - pdf[ts].min()).dt.total_seconds().to_numpy()
         at = np.arange(0, x[-1] + 1e-9, seconds) if len(x) else np.empty(0)

@@ -14,11 +14,27 @@ def l2(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
 
 
+#: Queries a row meets at once.
+BLOCK = 512
+
+
+def met(queries: DataFrame, rows: DataFrame, id_: str = "vec_id", keep: tuple[str, ...] = ("embedding",), block: int = BLOCK) -> DataFrame:
+    """Every row of a stated query set with every row of a table but itself: i, j and the kept columns as i_ and j_. The queries are dealt to blocks of about `block`, each one row of a small table by (block, part);
+    table rows go to every block, dealt to parts by their id, and meet it by equality. Null ids meet nothing."""
+    spark = rows.sparkSession
+    blocks, parts = max(1, -(-queries.count() // block)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    q = queries.filter(F.col(id_).isNotNull()).select(F.pmod(F.xxhash64(id_), F.lit(blocks)).cast("int").alias("__b"), F.struct(F.col(id_).alias("i"), *[F.col(c).alias(f"i_{c}") for c in keep]).alias("__q"))
+    q = q.groupBy("__b").agg(F.collect_list("__q").alias("__qs")).withColumn("__p", each)
+    r = rows.filter(F.col(id_).isNotNull()).select(F.col(id_).alias("j"), *[F.col(c).alias(f"j_{c}") for c in keep], F.pmod(F.xxhash64(id_), F.lit(parts)).cast("int").alias("__p"))
+    r = r.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pairs = r.join(q, ["__b", "__p"]).withColumn("__q", F.explode("__qs")).select("__q.*", "j", *[f"j_{c}" for c in keep])
+    return pairs.filter("i <> j")
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int, id_: str = "vec_id", vec: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """k nearest rows by L2 of each query, itself excluded; ties by id. For a stated query set against all rows: every task keeps its own k best (max-heap by partial sort) before the shuffle."""
-    q = queries.select(F.col(id_).alias("i"), F.col(vec).alias("__q"), *[F.col(c).alias(f"i_{c}") for c in keep])
-    r = rows.select(F.col(id_).alias("j"), F.col(vec).alias("__r"), *[F.col(c).alias(f"j_{c}") for c in keep])
-    pairs = r.join(q, F.col("i") != F.col("j")).withColumn("d", l2(F.col("__q"), F.col("__r"))).drop("__q", "__r")
+    """k nearest rows by L2 of each query, itself excluded; ties by id. For a stated query set against all rows: every task keeps its own k best before the shuffle."""
+    pairs = met(queries, rows, id_, (vec, *keep)).withColumn("d", l2(F.col(f"i_{vec}"), F.col(f"j_{vec}"))).drop(f"i_{vec}", f"j_{vec}")
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).filter(F.col("rank") <= k)
 
 

@@ -19,8 +19,8 @@ from .registry import query
 
 EV = SeriesSpec(("user_id",), ("ts", "event_id"))
 RN = "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)"
-#: The stated query set of the pair operators: every tenth vector, against all.
-ASKED = "vec_id % 10 = 0"
+#: The stated query set of the pair operators, against all vectors.
+ASKED = "vec_id % 100 = 0"
 UNNEST = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings"
 CENTRES = f"WITH p AS ({UNNEST}), c AS (SELECT label AS centre, i, avg(x) AS m FROM p GROUP BY 1, 2), d AS (SELECT vec_id, centre, sqrt(sum((x - m) * (x - m))) AS d FROM p JOIN c USING (i) GROUP BY 1, 2)"
 SOFT = CENTRES + ", q AS (SELECT vec_id, centre, d, exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id) AS q FROM d)"
@@ -103,15 +103,20 @@ def split_by_windows(t):
     return EV.numbered(t.events).withColumn("n", EV.length()).filter(F.col("rn") >= F.col("n") - held).select("event_id")
 
 
-@query()
+def _share(seed, *columns):
+    """The SQL of sampling.share."""
+    return f"(('0x' || substr(md5('{seed}:' || " + " || ':' || ".join(columns) + "), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE)"
+
+
+@query(f"SELECT event_id, user_id, floor({_share(7, 'user_id')} * 5)::INT AS fold FROM events")
 def group_kfold(t):
     return t.events.select("event_id", "user_id", F.floor(P.share(7, "user_id") * 5).cast("int").alias("fold"))
 
 
-@query()
+@query(f"SELECT user_id, row_number() OVER (ORDER BY {_share(7, 'user_id')}) - 1 < floor(count(*) OVER () * 0.2) AS test FROM (SELECT DISTINCT user_id FROM events)")
 def split_random_pages(t):
     """The floor of a fifth of the pages, by hash order, is the test part."""
-    pages, n = P.positions(t.events.select("user_id").distinct().withColumn("h", F.xxhash64(F.lit(7), "user_id")), "h")
+    pages, n = P.positions(t.events.select("user_id").distinct().withColumn("h", P.share(7, "user_id")), "h")
     return pages.select("user_id", (F.col("pos") < int(n * 0.2)).alias("test"))
 
 
@@ -140,24 +145,24 @@ def weighted_slices(t):
     return rows.select("c_custkey", P.weighted_tile(F.col("pos"), n, [5.0, 3.0, 2.0]).alias("part"))
 
 
-@query()
+@query(f"SELECT event_id FROM events WHERE {_share(3, 'event_id')} < 0.1")
 def sample_fraction(t):
     return P.sample_fraction(t.events, 0.1, 3, "event_id").select("event_id")
 
 
-@query()
+@query(f"WITH r AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos, count(*) OVER () AS n FROM events), d AS (SELECT i AS draw, floor({_share(3, 'i')} * (SELECT count(*) FROM events))::BIGINT AS pos FROM range((SELECT count(*) // 2 FROM events)) x(i)) SELECT draw, event_id FROM d JOIN r USING (pos)")
 def bootstrap(t):
     return P.bootstrap(t.events.select("event_id"), "event_id", 0.5, 3).select("draw", "event_id")
 
 
-@query()
+@query(f"SELECT event_id, CASE WHEN {_share(5, 'event_id')} >= 0.1 THEN value END AS value FROM events")
 def data_dropout(t):
     return P.dropout(t.events.select("event_id", "value"), "value", 0.1, 5, "event_id")
 
 
-@query()
+@query(f"SELECT user_id, min_by(event_id, {_share(1, 'user_id', 'event_id')}) AS event_id FROM events GROUP BY 1")
 def page_random_row(t):
-    return t.events.groupBy("user_id").agg(F.min_by("event_id", F.xxhash64(F.lit(1), "user_id", "event_id")).alias("event_id"))
+    return t.events.groupBy("user_id").agg(F.min_by("event_id", P.share(1, "user_id", "event_id")).alias("event_id"))
 
 
 # Joins and rows
@@ -385,14 +390,15 @@ def mean_cosine(t):
 
 def _asked_pairs(t):
     """Distances of the stated query set to all vectors; the queries are the small side."""
-    asked = t.embeddings.filter(ASKED).select(F.col("vec_id").alias("i_"), F.col("embedding").alias("a"))
-    return t.embeddings.select(F.col("vec_id").alias("j_"), F.col("embedding").alias("b")).join(asked).select("i_", "j_", V.l2(F.col("a"), F.col("b")).alias("d"))
+    pairs = V.met(t.embeddings.filter(ASKED), t.embeddings)
+    return pairs.select(F.col("i").alias("i_"), F.col("j").alias("j_"), V.l2(F.col("i_embedding"), F.col("j_embedding")).alias("d"))
 
 
 @query(PAIRS + ", k AS (SELECT i_, ln(avg(exp(-d * d / 2))) - 32 * ln(2 * pi()) AS k FROM d GROUP BY 1) SELECT round(-avg(k), 4) AS entropy FROM k")
 def kde_entropy(t):
-    """Gaussian kernel of width 1 in 64 dimensions, at the stated query set."""
-    k = _asked_pairs(t).groupBy("i_").agg((F.ln(F.avg(F.exp(-F.col("d") * F.col("d") / 2))) - 32 * F.ln(2 * F.pi())).alias("k"))
+    """Gaussian kernel of width 1 in 64 dimensions, at the stated query set; a vector counts for itself, with 1."""
+    kernel = F.exp(-F.col("d") * F.col("d") / 2)
+    k = _asked_pairs(t).groupBy("i_").agg((F.ln((F.sum(kernel) + 1) / (F.count("d") + 1)) - 32 * F.ln(2 * F.pi())).alias("k"))
     return k.agg(F.round(-F.avg("k"), 4).alias("entropy"))
 
 
@@ -410,9 +416,9 @@ def product_distance(t):
     on = F.slice("embedding", 1, 3)
     size = F.sqrt(V.dot(on, on))
     parts = t.embeddings.select("vec_id", F.transform(on, lambda x: x.cast("double") / size).alias("u"), F.slice("embedding", 4, 61).alias("v"))
-    pairs = parts.select(F.col("vec_id").alias("j_"), F.col("u").alias("bu"), F.col("v").alias("bv")).join(parts.filter(ASKED).select(F.col("vec_id").alias("i_"), "u", "v"), F.col("i_") != F.col("j_"))
-    arc = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("u"), F.col("bu")))))
-    return pairs.select("i_", "j_", F.round(arc + V.l2(F.col("v"), F.col("bv")), 4).alias("d"))
+    pairs = V.met(parts.filter(ASKED), parts, keep=("u", "v"))
+    arc = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("i_u"), F.col("j_u")))))
+    return pairs.select(F.col("i").alias("i_"), F.col("j").alias("j_"), F.round(arc + V.l2(F.col("i_v"), F.col("j_v")), 4).alias("d"))
 
 
 def _half(t, upper: bool):
@@ -504,11 +510,12 @@ def lowpass(t):
     return _filtered(t, lambda y: X.butterworth_gain(y, 0.0, 0.1))
 
 
-@query(f"WITH a AS (SELECT user_id, max_by(value, (ts, event_id)) AS last FROM events GROUP BY 1) SELECT user_id, k AS step, round(last * 0.9 ** k, 5) AS forecast FROM a, range(1, 6) r(k)")
+@query("""WITH RECURSIVE l AS (SELECT user_id, ts, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events),
+m AS (SELECT user_id, regr_slope(value, x) AS a, regr_intercept(value, x) AS b, max_by(value, (ts, event_id)) AS last FROM l GROUP BY 1),
+f AS (SELECT user_id, a, b, 1 AS step, last * a + b AS y FROM m UNION ALL SELECT user_id, a, b, step + 1, y * a + b FROM f WHERE step < 5)
+SELECT user_id, step::INT AS step, round(y, 4) AS forecast FROM f""")
 def recursive_forecast(t):
-    """An autoregression of one lag fed with its own output; closed form."""
-    last = t.events.groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last"))
-    return last.select("user_id", "last", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(5).cast("bigint"))).alias("step")).select("user_id", "step", F.round(F.col("last") * F.pow(F.lit(0.9), "step"), 5).alias("forecast"))
+    return S.recursive_forecast(t.events, EV, "value", 5).select("user_id", "step", F.round("forecast", 4).alias("forecast"))
 
 
 # Models
@@ -556,8 +563,7 @@ def fit_logistic(t):
 
 @query()
 def mutual_info_select(t):
-    scores = [(c, M.mutual_info_binned(t.lineitem, c, "l_extendedprice")) for c in LINEAR]
-    return t.spark.createDataFrame(scores, "feature string, score double")
+    return t.spark.createDataFrame(M.mutual_info_select(t.lineitem, LINEAR, "l_extendedprice", 40), "feature string, score double")
 
 
 @query()
@@ -602,9 +608,12 @@ def scan_csv(t):
     return t.spark.read.schema("n_nationkey int, n_name string, n_regionkey int").option("header", True).csv(_csv(t, "csv"))
 
 
-@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+@query("SELECT n_regionkey AS page, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::BIGINT AS step, n_nationkey, n_name FROM nation")
 def scan_csv_folder_pages(t):
-    return R.csv_pages(t.spark, _csv(t, "pages"), "n_nationkey int, n_name string, n_regionkey int").drop("page", "step")
+    path = R.scratch(t.spark, "pages")
+    for k in range(5):  # one file a page, named in order
+        t.nation.filter(F.col("n_regionkey") == k).select("n_nationkey", "n_name").coalesce(1).sortWithinPartitions("n_nationkey").write.option("header", True).csv(f"{path}/{k}")
+    return R.csv_pages(t.spark, f"{path}/*", "n_nationkey int, n_name string")
 
 
 @query("SELECT n_nationkey::DOUBLE AS a, n_regionkey::DOUBLE AS b, NULL::DOUBLE AS c FROM nation")

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import encode as E
 from ..operators import grouped as G
+from ..operators import learn as M
+from ..operators import sampling as P
 from ..operators import vectors as V
 from ..spec import SeriesSpec, r6
 from .registry import query
 
 EV = SeriesSpec(("user_id",), ("ts", "event_id"))
 W = "(PARTITION BY user_id ORDER BY ts, event_id)"
-#: The stated query set of the neighbour operators: every tenth vector, against all.
-ASKED = "vec_id % 10 = 0"
+#: The stated query set of the neighbour operators, against all vectors.
+ASKED = "vec_id % 100 = 0"
 
 
 @query("SELECT event_id FROM events WHERE event_type = 'click'")
@@ -78,27 +81,23 @@ def inner_join_run(t):
 
 @query("SELECT event_id FROM events WHERE user_id IN (SELECT user_id FROM (SELECT DISTINCT user_id FROM events) QUALIFY row_number() OVER (ORDER BY user_id) <= ceil(0.3 * count(*) OVER ()))")
 def semi_join_keep_runs(t):
-    keys = t.events.select("user_id").distinct()
-    n = -(-keys.count() * 3 // 10)
-    return t.events.join(keys.orderBy("user_id").limit(n), "user_id", "left_semi").select("event_id")
+    keys, n = P.positions(t.events.select("user_id").distinct(), "user_id")
+    return t.events.join(keys.filter(F.col("pos") < -(-n * 3 // 10)), "user_id", "left_semi").select("event_id")
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 ELSE 0 END::INT AS code FROM events")
 def lookup_map_join(t):
-    codes = F.create_map(*[F.lit(x) for pair in {"click": 1, "view": 2, "purchase": 3}.items() for x in pair])
-    return t.events.select("event_id", F.coalesce(F.try_element_at(codes, F.col("event_type")), F.lit(0)).alias("code"))
+    return t.events.select("event_id", E.coded(F.col("event_type"), {"click": 1, "view": 2, "purchase": 3}, 0).alias("code"))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 90.0 WHEN 'view' THEN 22.5 END::DOUBLE AS deg FROM events")
 def wind_direction_degrees(t):
-    codes = F.create_map(F.lit("click"), F.lit(90.0), F.lit("view"), F.lit(22.5))
-    return t.events.select("event_id", F.try_element_at(codes, F.col("event_type")).alias("deg"))
+    return t.events.select("event_id", E.coded(F.col("event_type"), {"click": 90.0, "view": 22.5}).alias("deg"))
 
 
 @query("SELECT event_id, round(sin(radians(d)), 6) AS s, round(cos(radians(d)), 6) AS c FROM (SELECT event_id, CASE event_type WHEN 'click' THEN 90.0 WHEN 'view' THEN 22.5 ELSE 0.0 END::DOUBLE AS d FROM events)")
 def wind_direction_sincos(t):
-    codes = F.create_map(F.lit("click"), F.lit(90.0), F.lit("view"), F.lit(22.5))
-    d = F.radians(F.coalesce(F.try_element_at(codes, F.col("event_type")), F.lit(0.0)))
+    d = F.radians(E.coded(F.col("event_type"), {"click": 90.0, "view": 22.5}, 0.0))
     return t.events.select("event_id", r6(F.sin(d)).alias("s"), r6(F.cos(d)).alias("c"))
 
 
@@ -110,21 +109,17 @@ def angle_sincos(t):
 @query("SELECT event_id, -(m / 60.0::DOUBLE) AS deg FROM (SELECT event_id, (event_id % 60)::DOUBLE AS m FROM events)")
 def dms_to_deg(t):
     text = t.events.select("event_id", F.concat(F.lit(" -0 "), (F.col("event_id") % 60).cast("string"), F.lit(" 0 ")).alias("s"))
-    p = F.split(F.trim("s"), r"\s+")
-    size = F.abs(p[0].try_cast("double")) + p[1].try_cast("double") / 60 + p[2].try_cast("double") / 3600
-    return text.select("event_id", F.when(F.size(p) == 3, F.when(p[0].contains("-"), -size).otherwise(size)).alias("deg"))
+    return text.select("event_id", E.dms_to_deg(F.col("s")).alias("deg"))
 
 
 @query("SELECT event_id, 15.0::DOUBLE * (2 + m / 60.0::DOUBLE) AS deg FROM (SELECT event_id, (event_id % 60)::DOUBLE AS m FROM events)")
 def hms_to_deg(t):
-    p = F.split(F.concat(F.lit("2 "), (F.col("event_id") % 60).cast("string"), F.lit(" 0")), r"\s+")
-    return t.events.select("event_id", (F.lit(15.0) * (p[0].cast("double") + p[1].cast("double") / 60 + p[2].cast("double") / 3600)).alias("deg"))
+    return t.events.select("event_id", E.hms_to_deg(F.concat(F.lit("2 "), (F.col("event_id") % 60).cast("string"), F.lit(" 0"))).alias("deg"))
 
 
 @query("SELECT event_id, (dense_rank() OVER (ORDER BY event_type) - 1)::BIGINT AS code FROM events")
 def label_encode(t):
-    codes = t.events.select("event_type").distinct().withColumn("code", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("bigint"))
-    return t.events.join(F.broadcast(codes), "event_type").select("event_id", "code")
+    return E.label_encode(t.events, "event_type", "code").select("event_id", "code")
 
 
 @query("SELECT event_id, minute(ts)::INT AS mi, hour(ts)::INT AS h, (isodow(ts) - 1)::INT AS dow, day(ts)::INT AS d, dayofyear(ts)::INT AS doy, month(ts)::INT AS mo, week(ts)::INT AS wk FROM events")
@@ -240,8 +235,9 @@ def dominant_feature(t):
 
 @query("WITH q AS (SELECT quantile_cont(value, 0.9) AS q, avg(value) AS m FROM events) SELECT round(any_value(q), 6) AS q90, round(avg(CASE WHEN value > m THEN value END), 6) AS above, round(avg(CASE WHEN value <= m THEN value END), 6) AS below FROM events, q")
 def quantile_split(t):
-    q = t.events.agg(F.percentile("value", F.lit(0.9)).alias("q"), F.avg("value").alias("m"))
-    return t.events.crossJoin(F.broadcast(q)).agg(r6(F.first("q")).alias("q90"), r6(F.avg(F.expr("CASE WHEN value > m THEN value END"))).alias("above"), r6(F.avg(F.expr("CASE WHEN value <= m THEN value END"))).alias("below"))
+    q, m = P.quantile(t.events, "value", 0.9), t.events.agg(F.avg("value")).first()[0]
+    v = F.col("value")
+    return t.events.agg(r6(F.lit(q)).alias("q90"), r6(F.avg(F.when(v > m, v))).alias("above"), r6(F.avg(F.when(v <= m, v))).alias("below"))
 
 
 @query("SELECT user_id, round(avg(cos(radians(value))), 6) AS c, round(avg(sin(radians(value))), 6) AS s FROM events GROUP BY 1")
@@ -261,11 +257,10 @@ L2 = "sqrt(list_sum([(x[1]::DOUBLE - x[2]) * (x[1]::DOUBLE - x[2]) FOR x IN list
 KNN = f"WITH p AS (SELECT a.vec_id AS i, b.vec_id AS j, a.label AS i_label, b.label AS j_label, {L2} AS d FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id AND a.{ASKED}), k AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM p)"
 
 
-@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round({DOT}, 5) AS dot FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND b.vec_id < 20 AND a.vec_id < b.vec_id")
+@query(f"SELECT a.vec_id AS i, b.vec_id AS j, round({DOT}, 5) AS dot FROM embeddings a, embeddings b WHERE a.{ASKED} AND a.vec_id <> b.vec_id")
 def pairwise_self_join(t):
-    """All pairs of a bounded set of rows: twenty named vectors."""
-    a = t.embeddings.filter("vec_id < 20")
-    return a.alias("a").join(a.alias("b"), F.expr("a.vec_id < b.vec_id")).select(F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), F.round(V.dot(F.col("a.embedding"), F.col("b.embedding")), 5).alias("dot"))
+    """The stated query set with all rows, in blocks."""
+    return V.met(t.embeddings.filter(ASKED), t.embeddings).select("i", "j", F.round(V.dot(F.col("i_embedding"), F.col("j_embedding")), 5).alias("dot"))
 
 
 def _knn(t, k):
@@ -381,12 +376,12 @@ def split_npy(t):
 
 def split_labelled_rows(df, key, frac):
     """Hash order; the first ceil(frac * n) of each key group are labelled."""
-    w = Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(42), "event_id"), "event_id")
+    w = Window.partitionBy(*key).orderBy(P.share(42, "event_id"), "event_id")
     n = F.count(F.lit(1)).over(Window.partitionBy(*key))
     return df.withColumn("labelled", F.row_number().over(w) <= F.ceil(F.lit(frac) * n))
 
 
-@query()
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY substr(md5('42:' || event_id), 1, 12), event_id) <= ceil(0.2 * count(*) OVER (PARTITION BY user_id)) AS labelled FROM events")
 def split_labelled(t):
     return split_labelled_rows(t.events, ("user_id",), 0.2).select("event_id", "labelled")
 
@@ -438,16 +433,25 @@ def wasserstein_1d(t):
     return _cdf(t).groupBy("event_type").agg(F.round(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.col("step")), 5).alias("w"))
 
 
-@query("WITH l AS (SELECT user_id, value AS y, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM events) SELECT user_id, round(regr_slope(y, x), 5) AS slope, round(regr_intercept(y, x), 4) AS intercept FROM l GROUP BY 1")
+_PLANE = "((covar_pop({y}, {p}) * var_pop({q}) - covar_pop({y}, {q}) * covar_pop({p}, {q})) / (var_pop({p}) * var_pop({q}) - covar_pop({p}, {q}) * covar_pop({p}, {q})))"
+
+
+@query(f"""WITH l AS (SELECT user_id, value AS y, lag(value) OVER {W} AS x, hour(ts)::DOUBLE AS e FROM events), m AS (SELECT * FROM l WHERE x IS NOT NULL)
+SELECT user_id, round({_PLANE.format(y='y', p='x', q='e')}, 5) AS ar, round({_PLANE.format(y='y', p='e', q='x')}, 5) AS exog, round(avg(y) - {_PLANE.format(y='y', p='x', q='e')} * avg(x) - {_PLANE.format(y='y', p='e', q='x')} * avg(e), 4) AS intercept FROM m GROUP BY 1""")
 def forecast_ar_exog(t):
-    """AR(1) by least squares on the lag, per series."""
-    l = t.events.withColumn("x", F.lag("value").over(EV.window()))  # noqa: E741
-    return l.groupBy("user_id").agg(F.round(F.regr_slope("value", "x"), 5).alias("slope"), F.round(F.regr_intercept("value", "x"), 4).alias("intercept"))
+    """One lag and an exogenous input by least squares, per series; the conditional likelihood's estimate."""
+    rows = t.events.withColumns({"x": F.lag("value").over(EV.window()), "e": F.hour("ts").cast("double")}).filter("x is not null")
+    out = E.plane(rows, ["user_id"], "value", "x", "e")
+    return out.select("user_id", F.round("first", 5).alias("ar"), F.round("second", 5).alias("exog"), F.round("intercept", 4).alias("intercept"))
 
 
-@query("SELECT l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1")
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{y}' AS target, '{p}' AS feature, round({_PLANE.format(y=y, p=p, q=q)}, {n}) AS coefficient FROM lineitem" for y, n in (("l_extendedprice", 3), ("l_tax", 8)) for p, q in (("l_quantity", "l_discount"), ("l_discount", "l_quantity"))) + ")")
 def fit_linear(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
+    """Two targets on two features, from one pass of moments."""
+    features, targets = ["l_quantity", "l_discount"], ["l_extendedprice", "l_tax"]
+    coef, _ = M.ridge(M.moments(t.lineitem, F.array(*features, *targets)), 0.0, len(targets))
+    rows = [(y, x, round(float(coef[i, j]), n)) for j, (y, n) in enumerate(zip(targets, (3, 8))) for i, x in enumerate(features)]
+    return t.spark.createDataFrame(rows, "target string, feature string, coefficient double")
 
 
 @query("WITH m AS (SELECT label, avg(CASE WHEN vec_id % 3 = 0 THEN vec_id END) AS m FROM embeddings GROUP BY 1) SELECT vec_id, round(coalesce(m, (SELECT avg(vec_id) FROM embeddings WHERE vec_id % 3 = 0)), 4) AS pseudo FROM embeddings JOIN m USING (label) WHERE vec_id % 3 <> 0")

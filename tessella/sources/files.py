@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +18,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder under the one that driver and executors share; a local one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="tessella-")
     return f"{root.rstrip('/')}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
@@ -97,6 +101,56 @@ def run_summary(runs: DataFrame, last: int, method: str = "method", order: str =
     return out.withColumn("cell", F.format_string("$%.3f \\pm %.3f$", "mean", "std"))
 
 
+def scenario_tracks(df: DataFrame, track: str, focal: str, observed: str, order: list[str], values: list[str]) -> DataFrame:
+    """Tracks of a scenario in long form: track, role, step (from 0 in each role), values. Observed rows are inputs, unobserved rows of the focal track targets, others vanish; inputs go on with zeros up to the longest track's."""
+    rows = df.filter(F.col(observed) | (F.col(track) == F.col(focal))).withColumn("role", F.when(F.col(observed), "input").otherwise("target"))
+    rows = rows.withColumn("step", (F.row_number().over(Window.partitionBy(track, "role").orderBy(*order)) - 1).cast("bigint")).select(track, "role", "step", *values)
+    inputs = pad_pages(rows.filter("role = 'input'").drop("role"), values, track)
+    return inputs.withColumn("role", F.lit("input")).select(track, "role", "step", *values).unionByName(rows.filter("role = 'target'"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def parquet_or_fetch(spark: SparkSession, path: str, fetch: Callable[[], DataFrame], text: tuple[str, ...] = ()) -> DataFrame:
+    """The table at path; if there is none, what `fetch` gives, all columns but `text` as numbers (unreadable ones null), is written there first. Getting at a network is the caller's part."""
+    if not exists(spark, path):
+        got = fetch()
+        got.select(*[F.col(c) if c in text else F.col(c).cast("string").try_cast("double").alias(c) for c in got.columns]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def cached(spark: SparkSession, path: str, make: Callable[[], dict[str, DataFrame]], use_cache: bool = False) -> dict[str, DataFrame]:
+    """The tables of a dataset, by name: read from the folder if use_cache and all are there, else made, written (always) and read."""
+    names = path.rstrip("/") + "/names"
+    if use_cache and exists(spark, names):
+        return {r["value"]: spark.read.parquet(f"{path}/{r['value']}") for r in spark.read.text(names).collect()}
+    made = make()
+    for name, df in made.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    spark.createDataFrame([(n,) for n in made], "value string").coalesce(1).write.mode("overwrite").text(names)
+    return {name: spark.read.parquet(f"{path}/{name}") for name in made}
+
+
+def log_runs(runs: DataFrame, path: str) -> None:
+    """Appends runs (dataset, kind, method, run, values array<double>) to a log folder; nothing is read back or rewritten, so writers don't disturb each other."""
+    runs.select("dataset", "kind", "method", "run", "values").write.mode("append").parquet(path)
+
+
+def run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log as one nested JSON text a dataset: kind -> method -> the runs' values in order of run. A missing folder is an empty log."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "dataset string, log string")
+    rows = spark.read.parquet(path)
+    by_method = rows.groupBy("dataset", "kind", "method").agg(F.transform(F.array_sort(F.collect_list(F.struct("run", "values"))), lambda r: r["values"]).alias("runs"))
+    by_kind = by_method.groupBy("dataset", "kind").agg(F.array_sort(F.collect_list(F.struct("method", "runs"))).alias("methods"))
+    kinds = by_kind.groupBy("dataset").agg(F.array_sort(F.collect_list(F.struct("kind", "methods"))).alias("kinds"))
+    nested = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k["kind"], F.map_from_entries(k["methods"]))))
+    return kinds.select("dataset", F.to_json(nested).alias("log"))
+
+
 class _Range(InputPartition):
     def __init__(self, first: int, last: int):
         self.first, self.last = first, last

@@ -1,19 +1,16 @@
-"""A handful of registered queries against their SQL on the smallest tables."""
+"""All registered queries with SQL against it, on the smallest tables."""
 
 import os
 
 import duckdb
 import pytest
 
-from tessella.plans import learning_queries, registry, relational_queries, series_queries  # noqa: F401
+from tessella.plans import evaluation_queries, learning_queries, registry, relational_queries, series_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["fold_tumbling", "acf", "cyclicity_score", "fill_linear", "spike_mad", "alarm_suppress", "point_adjust", "kfold", "ks_statistic", "knn_join", "time_features", "dedup_first", "standardize_flat", "stride_rows", "page_slices", "csv_stride_read", "scan_tsv_labelled", "mean_cosine", "angular_variance", "target_distribution"]
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(registry.ORACLE))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
