@@ -30,11 +30,13 @@ def chunk_hash(chunk: Column, bits: int = 64) -> Column:
 
 
 def clashes(chunks: DataFrame, bits: int = 64) -> DataFrame:
-    """Of distinct chunks, those whose hash another one has too: h, chunk, variant from 0."""
-    known = chunks.distinct().withColumn("h", chunk_hash(F.col("chunk"), bits))
-    of_hash = Window.partitionBy("h")
-    seen = known.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    return known.join(seen, "h").withColumn("variant", F.row_number().over(of_hash.orderBy("chunk")) - 1)
+    """Chunks whose hash another, different one has too: chunk, variant from 0. All chunks of a hash are compared byte for byte, as its least and greatest; they are moved once, each task's copies as one."""
+    hashed = chunks.select("chunk", chunk_hash(F.col("chunk"), bits).alias("h"))
+    seen = cut(hashed.groupBy("h").agg(F.min("chunk").alias("least"), F.max("chunk").alias("most")).filter("least <> most").select("h"), "clashing")
+    if seen.isEmpty():
+        return chunks.sparkSession.createDataFrame([], "chunk string, variant int")
+    known = hashed.join(seen, "h").distinct()
+    return known.select("chunk", (F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1).alias("variant"))
 
 
 def recipes(docs: DataFrame, bits: int = 64) -> DataFrame:
