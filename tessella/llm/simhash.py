@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x, width) for x in b.column("data").to_pylist()), np.uint64, b.num_rows)
+            fps = np.fromiter((fingerprint(x.as_py(), width) for x in b.column("data")), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("data"))
@@ -150,7 +150,9 @@ def _link_batches(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.
 
 def links(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """fp -> a, b: links whose components are those of all pairs within MAX_BITS."""
-    dealt = index(nodes).repartition("key").sortWithinPartitions("key", "fp")
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = nodes.repartition(parts, "fp")  # a row becomes 64: few tasks that are small now would be the slowest
+    dealt = index(spread).repartition("key").sortWithinPartitions("key", "fp")
     found = cut(dealt.mapInArrow(lambda it: _link_batches(it, block), "a long, b long, key long, block int"), "links")
     pairs = found.filter("key is null").select("a", "b")
     large = found.filter("key is not null").select("key", "block", F.col("a").alias("fp"))
