@@ -36,7 +36,7 @@ CLOSING = 0
 #: Pieces to a bucket of one length, at most on the whole.
 ROWS = 100_000
 #: Chunks between spaces whose ids a worker keeps; when full it starts anew.
-CACHE = 400_000
+CACHE = 100_000
 RUN = "length int, lo long, hi long, sequence long, per int, offset int"
 
 _held: dict = {}

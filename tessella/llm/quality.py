@@ -58,7 +58,7 @@ def features(data: bytes) -> list[float]:
 
 
 def feature_rows(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([features(x) for x in batch.column("data").to_pylist()], np.float64).reshape(-1, len(FEATURES))
+    return np.array([features(x.as_py()) for x in batch.column("data")], np.float64).reshape(-1, len(FEATURES))  # one text at a time: a batch of them is large
 
 
 @dataclass
