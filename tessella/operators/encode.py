@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spec import SeriesSpec
 from .sampling import values_ranked
 
 
@@ -44,3 +45,54 @@ def plane(df: DataFrame, keys: list[str], y: str, p: str, q: str) -> DataFrame:
     det = F.expr("pp * qq - pq * pq")
     out = sums.withColumns({"first": F.try_divide(F.expr("yp * qq - yq * pq"), det), "second": F.try_divide(F.expr("yq * pp - yp * pq"), det)})
     return out.select(*keys, "first", "second", F.expr("my - first * mp - second * mq").alias("intercept"))
+
+
+def time_features(ts: Column) -> dict[str, Column]:
+    """Minute, hour, weekday from Monday 0, day, day of the year, month, week, by short name."""
+    parts = (("mi", F.minute), ("h", F.hour), ("dow", F.weekday), ("d", F.dayofmonth), ("doy", F.dayofyear), ("mo", F.month), ("wk", F.weekofyear))
+    return {name: part(ts) for name, part in parts}
+
+
+def angle_sincos(degrees: Column) -> tuple[Column, Column]:
+    return F.sin(F.radians(degrees)), F.cos(F.radians(degrees))
+
+
+def remaining_life(s: SeriesSpec, cycle: str) -> Column:
+    """Cycles up to the last one of the series."""
+    return F.max(cycle).over(s.whole()) - F.col(cycle)
+
+
+def clip_sigma(s: SeriesSpec, value: str, times: float = 3.0) -> Column:
+    """The value within so many population deviations of its series' mean."""
+    mean, spread = F.avg(value).over(s.whole()), F.stddev_pop(value).over(s.whole())
+    return F.least(F.greatest(F.col(value), mean - times * spread), mean + times * spread)
+
+
+def clip(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+
+
+def to_numeric(text: Column) -> Column:
+    """A double; null where the text is no number."""
+    return text.try_cast("double")
+
+
+def chronological_part(s: SeriesSpec, df: DataFrame, name: str = "part", tenths: tuple[int, int] = (6, 8)) -> DataFrame:
+    """df with train, valid or test by position in its series, the borders in tenths."""
+    a = s.numbered(df, "__rn").withColumn("__n", s.length())
+    first, second = (F.floor(F.col("__n") * x / 10) for x in tenths)
+    return a.withColumn(name, F.when(F.col("__rn") < first, "train").when(F.col("__rn") < second, "valid").otherwise("test")).drop("__rn", "__n")
+
+
+def folds(s: SeriesSpec, df: DataFrame, k: int, name: str = "fold") -> DataFrame:
+    """Rows of k folds of n // k consecutive rows of each series; the remainder is left out, and so are series of under k rows."""
+    a = s.numbered(df, "__rn").withColumn("__size", F.floor(s.length() / k))
+    return a.filter(F.col("__rn") < F.col("__size") * k).withColumn(name, F.floor(F.try_divide(F.col("__rn"), F.col("__size")))).drop("__rn", "__size")
+
+
+def spikes_mad(df: DataFrame, keys: tuple[str, ...], value: str, limit: float = 3.0) -> DataFrame:
+    """Rows whose distance from their key's median exceeds the limit in median absolute deviations (times 0.6745); keys whose deviation is 0 have none."""
+    on = list(keys)
+    with_median = df.join(df.groupBy(*on).agg(F.median(value).alias("__med")), on)
+    mad = with_median.groupBy(*on).agg(F.median(F.abs(F.col(value) - F.col("__med"))).alias("__mad"))
+    return with_median.join(mad, on).filter((F.col("__mad") > 0) & (F.abs(0.6745 * (F.col(value) - F.col("__med")) / F.col("__mad")) > limit)).drop("__med", "__mad")

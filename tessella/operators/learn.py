@@ -166,7 +166,7 @@ def assembled(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target: str, kind: str, seed: int = 1) -> DataFrame:
     """test with a column `prediction`; kind: elasticnet, random_forest, boosting, logistic. Rows with a null feature are imputed by the mean (elastic net) or left out.
     The forest is the reference's: 100 trees of depth min(16, int(log2 n)) on min(5000, n) expected draws each, a root of the features at a split, two rows a leaf."""
-    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.classification import LogisticRegression, OneVsRest
     from pyspark.ml.feature import Imputer
     from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 
@@ -184,7 +184,7 @@ def fit_predict(train: DataFrame, test: DataFrame, features: list[str], target:
         "elasticnet": lambda: LinearRegression(regParam=0.1, elasticNetParam=0.5, standardization=False, **at),
         "random_forest": forest,
         "boosting": lambda: GBTRegressor(maxIter=20, seed=seed, **at),
-        "logistic": lambda: LogisticRegression(**at),
+        "logistic": lambda: OneVsRest(classifier=LogisticRegression(**at), **at),
     }
     rows = assembled(test, features, target)
     return models[kind]().fit(known).transform(rows).select(*test.columns, F.col("prediction").cast("double").alias("prediction"))

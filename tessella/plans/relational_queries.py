@@ -103,7 +103,8 @@ def wind_direction_sincos(t):
 
 @query("SELECT event_id, round(sin(radians(value)), 6) AS value_sin, round(cos(radians(value)), 6) AS value_cos FROM events")
 def angle_sincos(t):
-    return t.events.select("event_id", r6(F.sin(F.radians("value"))).alias("value_sin"), r6(F.cos(F.radians("value"))).alias("value_cos"))
+    s, c = E.angle_sincos(F.col("value"))
+    return t.events.select("event_id", r6(s).alias("value_sin"), r6(c).alias("value_cos"))
 
 
 @query("SELECT event_id, -(m / 60.0::DOUBLE) AS deg FROM (SELECT event_id, (event_id % 60)::DOUBLE AS m FROM events)")
@@ -124,8 +125,7 @@ def label_encode(t):
 
 @query("SELECT event_id, minute(ts)::INT AS mi, hour(ts)::INT AS h, (isodow(ts) - 1)::INT AS dow, day(ts)::INT AS d, dayofyear(ts)::INT AS doy, month(ts)::INT AS mo, week(ts)::INT AS wk FROM events")
 def time_features(t):
-    f = (("mi", F.minute), ("h", F.hour), ("dow", F.weekday), ("d", F.dayofmonth), ("doy", F.dayofyear), ("mo", F.month), ("wk", F.weekofyear))
-    return t.events.select("event_id", *[g("ts").alias(n) for n, g in f])
+    return t.events.select("event_id", *[c.alias(n) for n, c in E.time_features(F.col("ts")).items()])
 
 
 @query("SELECT event_id, epoch_us(strptime(strftime(ts, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S')) AS us FROM events")
@@ -136,13 +136,13 @@ def parse_datetime(t):
 
 @query("SELECT event_id, try_cast(CASE WHEN event_id % 9 = 0 THEN 'bad' ELSE value::VARCHAR END AS DOUBLE) AS v FROM events")
 def to_numeric_coerce(t):
-    return t.events.select("event_id", F.when(F.col("event_id") % 9 == 0, F.lit("bad")).otherwise(F.col("value").cast("string")).try_cast("double").alias("v"))
+    return t.events.select("event_id", E.to_numeric(F.when(F.col("event_id") % 9 == 0, F.lit("bad")).otherwise(F.col("value").cast("string"))).alias("v"))
 
 
 @query("SELECT o_orderkey, max(l_linenumber) OVER (PARTITION BY l_orderkey) - l_linenumber AS rul, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def rul_train(t):
     li = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return li.select("o_orderkey", (F.max("l_linenumber").over(Window.partitionBy("l_orderkey")) - F.col("l_linenumber")).alias("rul"), "l_linenumber", "l_partkey", "l_suppkey")
+    return li.select("o_orderkey", E.remaining_life(SeriesSpec(("l_orderkey",), ("l_linenumber",)), "l_linenumber").alias("rul"), "l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query("SELECT l_orderkey, max(l_linenumber) AS m FROM lineitem GROUP BY 1")
@@ -353,8 +353,7 @@ def minmax_scale(t):
 
 @query(f"SELECT event_id, CASE WHEN rn < n * 6 // 10 THEN 'train' WHEN rn < n * 8 // 10 THEN 'valid' ELSE 'test' END AS part FROM (SELECT event_id, row_number() OVER {W} - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events)")
 def split_chronological(t):
-    a = EV.numbered(t.events).withColumn("n", EV.length())
-    return a.select("event_id", F.expr("CASE WHEN rn < n * 6 div 10 THEN 'train' WHEN rn < n * 8 div 10 THEN 'valid' ELSE 'test' END").alias("part"))
+    return E.chronological_part(EV, t.events).select("event_id", "part")
 
 
 @query("SELECT event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 12")
@@ -365,8 +364,7 @@ def holdout_last_horizon(t):
 @query(f"SELECT event_id, (rn // (n // 3))::BIGINT AS fold FROM (SELECT event_id, row_number() OVER {W} - 1 AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) WHERE rn < (n // 3) * 3")
 def kfold(t):
     """Folds of n // k rows; the remainder is never tested."""
-    a = EV.numbered(t.events).withColumn("size", F.floor(EV.length() / 3))
-    return a.filter("rn < size * 3").select("event_id", F.expr("rn div size").alias("fold"))
+    return E.folds(EV, t.events, 3).select("event_id", "fold")
 
 
 @query("SELECT c_custkey, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_custkey)::INT AS part FROM customer")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import encode as E
 from ..operators import series as S
 from ..spec import SeriesSpec, r6
 from .registry import Tables, query
@@ -281,22 +282,18 @@ def filter_not_null_target(t):
 
 @query("""WITH s AS (SELECT *, avg(value) OVER (PARTITION BY user_id) AS m, stddev_pop(value) OVER (PARTITION BY user_id) AS d FROM events) SELECT event_id, round(least(greatest(value, m - 3 * d), m + 3 * d), 6) AS v FROM s""")
 def clip_sigma(t):
-    m, d = F.avg("value").over(EV.whole()), F.stddev_pop("value").over(EV.whole())
-    return t.events.select("event_id", r6(F.least(F.greatest("value", m - 3 * d), m + 3 * d)).alias("v"))
+    return t.events.select("event_id", r6(E.clip_sigma(EV, "value")).alias("v"))
 
 
 @query("SELECT event_id, least(greatest(value * 50, -1000), 1000) AS v FROM events")
 def clip_const(t):
-    return t.events.select("event_id", F.least(F.greatest(F.col("value") * 50, F.lit(-1000.0)), F.lit(1000.0)).alias("v"))
+    return t.events.select("event_id", E.clip(F.col("value") * 50, -1000.0, 1000.0).alias("v"))
 
 
 @query("""WITH m AS (SELECT user_id, median(value) AS med FROM events GROUP BY user_id), d AS (SELECT user_id, median(abs(value - med)) AS mad FROM events JOIN m USING (user_id) GROUP BY user_id)
 SELECT event_id FROM events JOIN m USING (user_id) JOIN d USING (user_id) WHERE mad > 0 AND abs(0.6745 * (value - med) / mad) > 3""")
 def spike_mad(t):
-    med = t.events.groupBy("user_id").agg(F.median("value").alias("med"))
-    a = t.events.join(med, "user_id")
-    mad = a.groupBy("user_id").agg(F.median(F.abs(F.col("value") - F.col("med"))).alias("mad"))
-    return a.join(mad, "user_id").filter("mad > 0 and abs(0.6745 * (value - med) / mad) > 3").select("event_id")
+    return E.spikes_mad(t.events, ("user_id",), "value").select("event_id")
 
 
 @query("SELECT event_id FROM (SELECT *, (value - avg(value) OVER (PARTITION BY user_id)) / nullif(stddev_pop(value) OVER (PARTITION BY user_id), 0) AS z FROM events) WHERE abs(z) > 2.5")
