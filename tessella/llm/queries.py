@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, merkle, mixing, packing, quality, sharding, simhash, toxicity, unigram
+from . import chat, exact, fim, manifest, merkle, mixing, packing, quality, sharding, simhash, toxicity, unigram, warc
 from .common import cut, table
 
 
@@ -78,12 +78,29 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, lexicon)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_quality, op5_exact_dedup, op6_sharding, op7_merkle, op8_mixing, op9_token_counts, op10_toxicity)}
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proved = manifest.prove(table(spark, sf_dir, "documents")).withColumn("folded_root", manifest.fold(F.col("tampered"), F.col("path")))
+    return proved.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents")).withColumn("restored", fim.restored())
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_back(warc.archive(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat, op2_simhash, op3_packing, op4_quality, op5_exact_dedup, op6_sharding, op7_merkle, op8_mixing, op9_token_counts, op10_toxicity, op11_manifest, op12_fim, op13_warc)}
 
 _ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
 #: The 256 remainders of CRC-32, from its polynomial.
 _CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 
+_PART = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR END"
+_LEAF = "sha256(" + " || ".join(_PART.format(c) for c in ("doc_id", "source", "lang", "n_chars", "text")) + ")"
+
 ORACLE = {
     "op1_chat": rf"""
         WITH rows AS (
@@ -157,4 +174,52 @@ ORACLE = {
         k3 AS (SELECT * REPLACE (q IS NOT NULL AND x2 = 0 AND abs(size - missing) < missing AS can) FROM m3),
         e3 AS (SELECT *, CASE WHEN can AND row_number() OVER (PARTITION BY source, can ORDER BY abs(size - missing), q, doc_id, size) = 1 THEN 1 ELSE x2 END AS extra FROM k3)
         SELECT doc_id, size, source_size, target, (size * (whole + extra))::BIGINT AS taken, (whole + extra)::INT AS copies, m AS expected FROM e3""",
+    "op11_manifest": rf"""
+        WITH RECURSIVE c AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(doc_id::VARCHAR)), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295)::BIGINT AS crc
+            FROM (SELECT *, {_CRC_TABLE} AS crcs FROM documents)),
+        t AS (SELECT doc_id, source, lang, n_chars, text, {_LEAF} AS leaf, doc_id IS NOT NULL AND crc % 2 = 0 AS chosen FROM c),
+        u AS (SELECT * REPLACE (CASE WHEN chosen THEN replace(text, chr(10), '') ELSE text END AS text) FROM t),
+        d AS (
+            SELECT doc_id, source, leaf, {_LEAF} AS seen, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM u),
+        up AS (
+            SELECT source, 0 AS level, pos, n, leaf AS digest FROM d
+            UNION ALL SELECT source, level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, level, pos // 3, n),
+        s AS (SELECT source, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+        top AS (
+            SELECT 0 AS level, pos, n, subroot AS digest FROM s
+            UNION ALL SELECT level + 1, pos // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY level, pos // 3, n),
+        steps AS (
+            SELECT source, level, pos, n, coalesce(lag(digest, 2) OVER w, '') || coalesce(lag(digest) OVER w, '') AS before, coalesce(lead(digest) OVER w, '') || coalesce(lead(digest, 2) OVER w, '') AS behind
+            FROM up WINDOW w AS (PARTITION BY source, level, pos // 3 ORDER BY pos)),
+        top_steps AS (
+            SELECT level, pos, n, coalesce(lag(digest, 2) OVER w, '') || coalesce(lag(digest) OVER w, '') AS before, coalesce(lead(digest) OVER w, '') || coalesce(lead(digest, 2) OVER w, '') AS behind
+            FROM top WINDOW w AS (PARTITION BY level, pos // 3 ORDER BY pos)),
+        f AS (
+            SELECT doc_id, source, leaf, pos AS row, 0 AS level, pos, seen AS folded, '' AS proof, n FROM d
+            UNION ALL SELECT f.doc_id, f.source, f.leaf, f.row, f.level + 1, f.pos // 3, sha256(before || folded || behind), proof || before || behind, (f.n + 2) // 3
+            FROM f JOIN steps x ON f.source IS NOT DISTINCT FROM x.source AND f.level = x.level AND f.pos = x.pos WHERE f.n > 1),
+        g AS (
+            SELECT f.doc_id, f.source, f.leaf, f.row, s.subroot, 0 AS level, s.pos, f.folded, f.proof, s.n FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source WHERE f.n = 1
+            UNION ALL SELECT g.doc_id, g.source, g.leaf, g.row, g.subroot, g.level + 1, g.pos // 3, sha256(before || folded || behind), proof || before || behind, (g.n + 2) // 3
+            FROM g JOIN top_steps x ON g.level = x.level AND g.pos = x.pos WHERE g.n > 1)
+        SELECT doc_id, leaf, subroot, r.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = r.digest AS verified FROM g, (SELECT digest FROM top WHERE n = 1) r WHERE g.n = 1""",
+    "op12_fim": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+        h AS (
+            SELECT *, len(units)::BIGINT AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2, ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4 FROM t),
+        f AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+        p AS (
+            SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+            sha256(text) AS restored_sha256 FROM p""",
+    "op13_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes FROM pages),
+        k AS (SELECT *, max(page_id) OVER (PARTITION BY payload) AS keeper FROM p),
+        r AS (SELECT *, payload_bytes < 1000 OR page_id IS NOT DISTINCT FROM keeper AS own FROM k)
+        SELECT page_id, payload_bytes, sha1(payload) AS payload_digest, CASE WHEN own THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN NOT own THEN keeper END AS refers_to FROM r""",
 }
