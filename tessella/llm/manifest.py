@@ -2,7 +2,7 @@
 row's authentication path.
 
 Leaves are digests that Spark computes where the texts are read, so no text is moved. Sorted by source and id, they
-are numbered through the sorted partitions' counts and cut into aligned blocks of `BLOCK` = 3 ** 6 consecutive
+are numbered through the sorted partitions' counts and cut into aligned blocks of 3 ** `HEIGHT` = 729 consecutive
 leaves. A block is a subtree, whatever stands beside it, and blocks' roots are the leaves of the next layer (1e11 rows
 need four), whose paths are made first. Within a block, paths come from a fractal traversal: the six levels are
 stacked bands of `BAND` levels; for each band the subtree that holds the current leaf's siblings is kept, and the
@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, key_of
 
-#: Levels of a block and of a band of the traversal; leaves of a block.
+#: Levels of a block (3 ** HEIGHT leaves) and of a band of the traversal.
 HEIGHT, BAND = 6, 2
-BLOCK = 3**HEIGHT
 #: Rows of a range of the sort.
 ROWS = 500_000
 PATH = "array<struct<place:int,others:array<string>>>"
@@ -64,10 +63,10 @@ def _h(nodes: list[str]) -> str:
     return hashlib.sha256("".join(nodes).encode()).hexdigest()
 
 
-def levels(n: int) -> int:
+def levels(n: int, height: int = HEIGHT) -> int:
     """Levels of a block that belongs to a group of n nodes."""
     up = 0
-    while n > 1 and up < HEIGHT:
+    while n > 1 and up < height:
         n, up = -(-n // 3), up + 1
     return up
 
@@ -136,21 +135,22 @@ def traverse(leaves: list[str], height: int, band: int = BAND) -> Iterator[list[
         yield steps
 
 
-def _sorted(t: pa.Table) -> tuple[pa.Table, list[str], int]:
+def _sorted(t: pa.Table, height: int) -> tuple[pa.Table, list[str], int]:
     t = t.sort_by("pos")
-    return t, t.column("digest").to_pylist(), levels(t.column("total")[0].as_py())
+    return t, t.column("digest").to_pylist(), levels(t.column("total")[0].as_py(), height)
 
 
-def _root(t: pa.Table) -> pa.Table:
-    t, nodes, height = _sorted(t)
-    return pa.table({"grp": t.column("grp")[:1], "pos": pa.array([t.column("pos")[0].as_py() // BLOCK], pa.int64()), "total": pa.array([-(-t.column("total")[0].as_py() // BLOCK)], pa.int64()), "digest": [root(nodes, height)]})
+def _root(height: int, t: pa.Table) -> pa.Table:
+    t, nodes, up = _sorted(t, height)
+    total = -(-t.column("total")[0].as_py() // 3**height)
+    return pa.table({"grp": t.column("grp")[:1], "pos": pa.array([t.column("block")[0].as_py()], pa.int64()), "total": pa.array([total], pa.int64()), "digest": [root(nodes, up)]})
 
 
-def _paths(t: pa.Table, above: pa.Table) -> pa.Table:
-    t, nodes, height = _sorted(t)
+def _paths(height: int, t: pa.Table, above: pa.Table) -> pa.Table:
+    t, nodes, up = _sorted(t, height)
     rest = above.column("path")[0].as_py()
     places, starts, others, ends = [], [0], [], [0]
-    for steps in traverse(nodes, height):
+    for steps in traverse(nodes, up):
         for place, run in steps + [(s["place"], s["others"]) for s in rest]:
             places.append(place)
             others += run
@@ -174,43 +174,43 @@ def numbered(df: DataFrame, order: list[Column], ranges: int) -> DataFrame:
     return lined.join(runs, ["part", "grp"]).withColumn("pos", F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("block", F.expr(f"pos div {BLOCK}"))
+def _blocks(nodes: DataFrame, height: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"pos div {3**height}"))
 
 
-def climb(nodes: DataFrame, grp: str) -> list[DataFrame]:
+def climb(nodes: DataFrame, grp: str, height: int) -> list[DataFrame]:
     """Layers of nodes (grp, pos, total, digest), the lowest first; the last holds one node a group."""
     most = nodes.agg(F.max("total")).first()[0] or 1
     layers = [nodes]
     while most > 1 or len(layers) == 1:
-        made = _blocks(layers[-1].select("grp", "pos", "total", "digest")).groupBy("grp", "block").applyInArrow(_root, f"grp {grp}, pos long, total long, digest string")
+        made = _blocks(layers[-1].select("grp", "pos", "total", "digest"), height).groupBy("grp", "block").applyInArrow(lambda t: _root(height, t), f"grp {grp}, pos long, total long, digest string")
         layers.append(cut(made, "layer"))
-        most = -(-most // BLOCK)
+        most = -(-most // 3**height)
     return layers
 
 
-def descend(layers: list[DataFrame], above: DataFrame) -> DataFrame:
+def descend(layers: list[DataFrame], above: DataFrame, height: int) -> DataFrame:
     """The lowest layer's rows with path, subroot and root; above: grp, path, subroot, root of the groups."""
     above = above.select("grp", F.lit(0).cast("long").alias("block"), "path", "subroot", "root")
     for depth, nodes in enumerate(reversed(layers[:-1])):
-        nodes = _blocks(nodes)
+        nodes = _blocks(nodes, height)
         kinds = ", ".join(f"`{c}` {k}" for c, k in nodes.dtypes if c != "block")
-        above = nodes.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(_paths, f"{kinds}, path {PATH}, subroot string, root string")
+        above = nodes.groupBy("grp", "block").cogroup(above.groupBy("grp", "block")).applyInArrow(lambda t, a: _paths(height, t, a), f"{kinds}, path {PATH}, subroot string, root string")
         if depth < len(layers) - 2:
             above = cut(above, "paths").select("grp", F.col("pos").alias("block"), "path", "subroot", "root")
     return above
 
 
-def manifest(rows: DataFrame) -> DataFrame:
+def manifest(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     """rows (doc_id long, grp string, digest: a leaf, any more) with path, subroot and root; grp orders the sources."""
     n = rows.count()
     ranges = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS))
-    layers = climb(numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()], ranges), "string")
+    layers = climb(numbered(rows, [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()], ranges), "string", height)
     tops = layers[-1].select(F.lit(0).alias("grp"), F.col("grp").alias("name"), "digest")
-    over = climb(numbered(tops, [F.col("name").asc()], max(1, -(-n // ROWS))), "int")
+    over = climb(numbered(tops, [F.col("name").asc()], max(1, -(-n // ROWS))), "int", height)
     one = over[-1].select("grp", F.lit(None).cast(PATH).alias("path"), F.lit(None).cast("string").alias("subroot"), F.col("digest").alias("root"))
-    named = descend(over, one.withColumn("path", F.expr(f"cast(array() as {PATH})")))
-    return descend(layers, named.select(F.col("name").alias("grp"), "path", F.col("digest").alias("subroot"), "root"))
+    named = descend(over, one.withColumn("path", F.expr(f"cast(array() as {PATH})")), height)
+    return descend(layers, named.select(F.col("name").alias("grp"), "path", F.col("digest").alias("subroot"), "root"), height)
 
 
 def leaves(docs: DataFrame) -> DataFrame:
@@ -222,7 +222,7 @@ def leaves(docs: DataFrame) -> DataFrame:
     )
 
 
-def prove(docs: DataFrame) -> DataFrame:
+def prove(docs: DataFrame, height: int = HEIGHT) -> DataFrame:
     """One row per document: doc_id, leaf, pos, path, subroot, root, and tampered: the leaf that a later reader would compute."""
-    made = manifest(cut(leaves(docs), "leaves"))
+    made = manifest(cut(leaves(docs), "leaves"), height)
     return made.select("doc_id", F.col("digest").alias("leaf"), "pos", "path", "subroot", "root", F.coalesce("tampered", "digest").alias("tampered"))

@@ -87,8 +87,8 @@ def saved(tmp_path):
 
 @pytest.mark.parametrize("height", [6, 1])
 def test_manifest_by_whole_trees_and_sql(spark, odd, saved, monkeypatch, height):
-    monkeypatch.setattr(manifest, "HEIGHT", height)
-    monkeypatch.setattr(manifest, "BLOCK", 3**height)
+    prove = manifest.prove
+    monkeypatch.setattr(manifest, "prove", lambda df: prove(df, height))
     df = odd if height == 6 else odd.filter("doc_id < 60 or doc_id > 1000 or doc_id is null")
     got = [r.asDict() for r in queries.op11_manifest(spark, saved(documents=df)).collect()]
     leaf = lambda r, t: _h(["-" if v is None else f"{len(str(v).encode())}:{v}" for v in (r.doc_id, r.source, r.lang, r.n_chars, t)])
