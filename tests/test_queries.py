@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from tessella.plans import augment_queries, descriptor_queries, evaluation_queries, learning_queries, registry, relational_queries, series_queries  # noqa: F401
+from tessella.plans import augment_queries, descriptor_queries, evaluation_queries, learning_queries, model_queries, registry, relational_queries, series_queries  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
