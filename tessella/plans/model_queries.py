@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import graph as G
 from ..operators import information as I
+from ..operators import manifold as K
+from ..operators.settle import settled
 from .evaluation_queries import _parts
-from .learning_queries import LINEAR
+from .learning_queries import EV, LINEAR
 from .registry import query
 
 
@@ -35,3 +38,86 @@ def mutual_info_neighbours(t):
     rows = _parts(t)[0]
     found = I.mutual_information_select(rows, LINEAR, "l_extendedprice", ["l_orderkey", "l_linenumber"], 100)
     return t.spark.createDataFrame(found, "feature string, information double")
+
+
+def _of(t):
+    """The embeddings' neighbour graph: nodes, members, edges, recall, probes."""
+    nodes, members = G.nodes_of(t.embeddings, "vec_id", "embedding")
+    return (nodes, members, *G.graph(nodes, 20, F.col("id") % 100 == 0))
+
+
+@query()
+def knn_graph(t):
+    """Undirected edges of the graph of 20 neighbours, with its recall measured on the stated query set."""
+    _, _, edges, share, _ = _of(t)
+    return edges.select("i", "j", F.round("d", 6).alias("d"), F.lit(round(share, 4)).alias("recall"))
+
+
+@query()
+def geodesic_distances(t):
+    """Shortest path lengths in the graph from 32 landmarks to every vector."""
+    nodes, members, edges, _, _ = _of(t)
+    marks = G.landmarks(nodes, 32)
+    dist = G.geodesics(nodes, edges, marks)
+    pairs = F.array(*[F.struct(F.lit(m).alias("landmark"), F.round(F.col(f"d{k}"), 6).alias("distance")) for k, m in enumerate(marks)])
+    return members.join(dist, "id").select(F.col("own").alias("vec_id"), F.explode(pairs).alias("p")).select("vec_id", "p.*")
+
+
+@query()
+def isomap(t):
+    """Five coordinates of every vector, from 32 landmarks."""
+    nodes, members, edges, _, _ = _of(t)
+    marks = G.landmarks(nodes, 32)
+    placed, _ = G.landmark_scaling(G.geodesics(nodes, edges, marks), marks, 5)
+    return members.join(placed, "id").select(F.col("own").alias("vec_id"), *[F.round(F.get("y", F.lit(k)), 5).alias(f"y{k}") for k in range(5)])
+
+
+@query()
+def isomap_residual_variance(t):
+    """For one to ten coordinates."""
+    nodes, _, edges, _, _ = _of(t)
+    marks = G.landmarks(nodes, 32)
+    dist = G.geodesics(nodes, edges, marks)
+    placed, _ = G.landmark_scaling(dist, marks, 10)
+    return t.spark.createDataFrame([(w, round(x, 5)) for w, x in G.residual_variance(dist, placed, marks, list(range(1, 11)))], "dimension int, residual_variance double")
+
+
+@query()
+def spectral_clustering(t):
+    """Five clusters of the graph."""
+    _, members, edges, _, _ = _of(t)
+    found, _ = G.spectral_clusters(edges, 5)
+    return members.join(found, "id").select(F.col("own").alias("vec_id"), "cluster")
+
+
+@query()
+def kernel_pca(t):
+    """Eight components of every vector, from 256 landmarks."""
+    column, _ = K.kernel_components(t.embeddings, "vec_id", "embedding", 8, 0.05, landmarks=256)
+    return t.embeddings.select("vec_id", column.alias("y")).select("vec_id", *[F.round(F.get("y", F.lit(k)), 5).alias(f"y{k}") for k in range(8)])
+
+
+def _windows(t):
+    """Windows of 16 rows of each user's value, its change and its k."""
+    rows = EV.numbered(t.events).withColumns({"win": F.floor(F.col("rn") / 16), "k": F.get_json_object("props", "$.k").cast("double")})
+    step = F.coalesce(F.col("value") - F.lag("value").over(EV.window()), F.lit(0.0))
+    return rows.select("user_id", "win", "value", "k", step.alias("step"))
+
+
+COV = """SELECT user_id, win::BIGINT AS win, {cells} FROM (SELECT user_id, (row_number() OVER w - 1) // 16 AS win, value, json_extract_string(props, '$.k')::DOUBLE AS k, coalesce(value - lag(value) OVER w, 0) AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) GROUP BY 1, 2"""
+CHANNELS = ["value", "step", "k"]
+
+
+@query(COV.format(cells=", ".join(f"round(coalesce(covar_samp({a}, {b}), 0){' + 1e-6' if a == b else ''}, 8) AS {a}_{b}" for i, a in enumerate(CHANNELS) for b in CHANNELS[i:])))
+def window_covariances(t):
+    m = K.covariances(_windows(t), ["user_id", "win"], CHANNELS)
+    cells = [F.round(F.col("m")[i * 3 + j], 8).alias(f"{a}_{b}") for i, a in enumerate(CHANNELS) for j, b in enumerate(CHANNELS) if i <= j]
+    return m.select("user_id", F.col("win").cast("long").alias("win"), *cells)
+
+
+@query()
+def tangent_space(t):
+    """Every window's covariance matrix in the tangent space of the geometric mean of all."""
+    m = settled(K.covariances(_windows(t), ["user_id", "win"], CHANNELS), "covariances")
+    mean = K.geometric_mean(m, "m", 3)
+    return m.select("user_id", F.col("win").cast("long").alias("win"), K.tangent("m", mean).alias("v")).select("user_id", "win", *[F.round(F.col("v")[k], 5).alias(f"v{k}") for k in range(6)])
