@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +79,68 @@ def acf(df: DataFrame, s: SeriesSpec, value: str, lags: list[int]) -> DataFrame:
     return sums.select(*s.keys, pairs.alias("__p")).select(*s.keys, "__p.lag", "__p.acf")
 
 
+def _starts(t: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows at which a key differs from the row before (nulls are one key), from the first one on."""
+    new = np.zeros(max(0, t.num_rows - 1), bool)
+    for k in keys:
+        c = t.column(k).combine_chunks()
+        a, b = c.slice(1), c.slice(0, len(c) - 1)
+        new |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False) | pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+    return np.append(0, np.flatnonzero(new) + 1) if t.num_rows else np.zeros(0, int)
+
+
+def each_series(df: DataFrame, s: SeriesSpec, columns: list[str], f, out: str) -> DataFrame:
+    """keys and the rows that f makes of each series' sorted columns (name -> numpy array, as its result): one exchange and one sort by key and order, then series are cut from the batches where the key changes.
+    A series must fit a task's memory, a partition needn't. A key named like a column of the result gives way to it."""
+    names = [c.split()[0] for c in out.split(", ")]
+    keys = [k for k in s.keys if k not in names]
+    kinds = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys] + [out])
+
+    def run(batches):
+        held, parts, size = None, [], 0
+
+        def made(t: pa.Table) -> None:
+            nonlocal size
+            got = f({c: t.column(c).to_numpy() for c in columns})
+            n = len(got[names[0]])
+            if n:
+                parts.append([pa.repeat(t.column(k)[0], n) for k in keys] + [pa.array(got[c]) for c in names])
+                size += n
+
+        def flushed():
+            nonlocal parts, size
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts, strict=True)], [*keys, *names])
+            parts, size = [], 0
+
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = t if held is None else pa.concat_tables([held, t])
+            starts = _starts(t, list(s.keys))
+            for a, z in zip(starts[:-1], starts[1:], strict=True):
+                made(t.slice(a, z - a))
+                if size > 50_000:
+                    yield from flushed()
+            held = t.slice(starts[-1]) if len(starts) else held
+        if held is not None and held.num_rows:
+            made(held)
+        yield from flushed()
+
+    rows = df.select(*dict.fromkeys([*s.keys, *s.order, *columns]))
+    dealt = rows.repartition(*s.keys) if s.keys else rows.repartition(1)
+    return dealt.sortWithinPartitions(*s.keys, *s.order).select(*dict.fromkeys([*s.keys, *columns])).mapInArrow(run, kinds)
+
+
 def spectrum(df: DataFrame, s: SeriesSpec, value: str, centre: bool = True) -> DataFrame:
     """Power of the real Fourier transform by bin k = 1..n/2 (k = 1 for a single row): one fast transform a series, which must fit a task's memory. Nulls count as 0 behind the centring.
     A key named like a column of the result gives way to it."""
-    own = ["k", "n", "re", "im", "power"]
-    keys, order = [c for c in s.keys if c not in own], list(s.order)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(order)[value].to_numpy(float)
+    def run(column: dict) -> dict:
+        y = column[value].astype(float)
         x = np.nan_to_num(y - (np.nanmean(y) if centre and not np.isnan(y).all() else 0.0))
         f = np.fft.rfft(x)[1 : max(2, len(x) // 2 + 1)] if len(x) > 1 else np.array([x.sum()])
-        out = pd.DataFrame({"k": np.arange(1, len(f) + 1, dtype=np.int32), "n": np.int64(len(x)), "re": f.real, "im": -f.imag, "power": np.abs(f) ** 2})
-        return out.assign(**{c: v for c, v in zip(s.keys, key, strict=True) if c in keys})[[*keys, *own]]
+        return {"k": np.arange(1, len(f) + 1, dtype=np.int32), "n": np.full(len(f), len(x), np.int64), "re": f.real, "im": -f.imag, "power": np.abs(f) ** 2}
 
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*s.keys, *order, value).groupBy(*s.keys).applyInPandas(run, f"{fields}{', ' if keys else ''}k int, n long, re double, im double, power double")
+    return each_series(df, s, [value], run, "k int, n long, re double, im double, power double")
 
 
 def triangle_areas(df: DataFrame, s: SeriesSpec, x: str, y: str) -> DataFrame:
@@ -104,18 +152,15 @@ def triangle_areas(df: DataFrame, s: SeriesSpec, x: str, y: str) -> DataFrame:
 
 def alarm_suppress(df: DataFrame, s: SeriesSpec, alarm: str, delay: int) -> DataFrame:
     """Keep an alarm unless a kept one lies within the `delay` rows before; the first `delay` rows are exempt. One pass over each series' sorted alarm positions, with only the last kept one in mind."""
-    keys = list(s.keys)
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(column: dict) -> dict:
         kept, last = [], None
-        for p in np.sort(pdf["rn"].to_numpy()):
+        for p in np.flatnonzero(column[alarm] == True).tolist():  # noqa: E712  nulls aren't alarms
             if p < delay or last is None or p - last > delay:
                 kept.append(p)
                 last = p
-        return pd.DataFrame({"rn": np.array(kept, np.int64)}).assign(**dict(zip(keys, key, strict=True)))[[*keys, "rn"]]
+        return {"rn": np.array(kept, np.int64)}
 
-    fields = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return s.numbered(df).filter(F.col(alarm)).select(*keys, "rn").groupBy(*keys).applyInPandas(run, f"{fields}, rn long")
+    return each_series(df, s, [alarm], run, "rn long")
 
 
 def pad_nan(values: Column, length: int, both_sides: bool = False) -> Column:

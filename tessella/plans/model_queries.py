@@ -9,6 +9,8 @@ from ..operators import graph as G
 from ..operators import information as I
 from ..operators import manifold as K
 from ..operators.settle import settled
+from ..sources import files as R
+from ..sources import zarr as Z
 from .evaluation_queries import _parts
 from .learning_queries import EV, LINEAR
 from .registry import query
@@ -121,3 +123,17 @@ def tangent_space(t):
     m = settled(K.covariances(_windows(t), ["user_id", "win"], CHANNELS), "covariances")
     mean = K.geometric_mean(m, "m", 3)
     return m.select("user_id", F.col("win").cast("long").alias("win"), K.tangent("m", mean).alias("v")).select("user_id", "win", *[F.round(F.col("v")[k], 5).alias(f"v{k}") for k in range(6)])
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events), n AS (SELECT max(user_id) // 10 + 1 AS lats FROM events),
+g AS (SELECT i, j, k, lats FROM n, range(48) a(i), range((SELECT lats FROM n)) b(j), range(10) c(k))
+SELECT TIMESTAMP '1959-01-01' + to_hours((6 * g.i)::INT) AS time, round(CASE WHEN lats > 1 THEN -90 + 180.0::DOUBLE * j / (lats - 1) ELSE -90 END, 6) AS lat, k * 36.0::DOUBLE AS lon, (j * 10 + k)::BIGINT AS cell, value
+FROM g LEFT JOIN s ON s.i = g.i AND s.user_id = j * 10 + k WHERE g.i >= 20""")
+def scan_zarr_grid(t):
+    """The users' first 48 events as a field, a user a cell, written in chunks; read from the sixth day on."""
+    path = R.scratch(t.spark, "grid")
+    lats = (t.events.agg(F.max("user_id")).first()[0] or 0) // 10 + 1
+    rows = EV.numbered(t.events).select(F.col("rn").alias("i"), F.expr("user_id div 10").alias("j"), F.expr("user_id % 10").alias("k"), "value")
+    Z.write_grid(rows, path, (48, lats, 10), (8, 16, 10))
+    grid = Z.read_grid(t.spark, path).filter(F.col("time") >= F.lit("1959-01-06 00:00:00").cast("timestamp_ntz"))
+    return grid.withColumn("lat", F.round("lat", 6))
