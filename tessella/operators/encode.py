@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..spec import SeriesSpec
-from .sampling import values_ranked
+from .settle import settled
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
-    """df with the place of the column's value among the sorted distinct ones, from 0; null stays null. Distinct values are numbered within ranges of themselves, so neither a task nor the driver holds them all."""
-    distinct = df.select(column).distinct().filter(F.col(column).isNotNull()).withColumn("__h", F.ascii(F.col(column).cast("string")))
-    heads = values_ranked(distinct, "__h").select("__h", F.col("before").alias("__s"))
-    inside = F.row_number().over(Window.partitionBy("__h").orderBy(column)) - 1
-    codes = distinct.withColumn("__i", inside).join(heads, "__h").select(F.col(column).alias("__v"), (F.col("__s") + F.col("__i")).cast("bigint").alias(name))
+    """df with the place of the column's value among the sorted distinct ones, from 0; null stays null. Distinct values are sorted into ranges of themselves, whatever they begin with, and numbered through the ranges' counts, so neither a task nor the driver holds them all."""
+    distinct = df.select(F.col(column).alias("__v")).distinct().filter("__v is not null")
+    lined = settled(distinct.repartitionByRange("__v").sortWithinPartitions("__v").withColumn("__at", F.monotonically_increasing_id()), "distinct")
+    lined = lined.withColumn("__p", F.shiftright("__at", 33))
+    ranges = lined.groupBy("__p").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))  # a row a range
+    ranges = ranges.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n") - F.col("__first")).alias("__shift"))
+    codes = lined.join(F.broadcast(ranges), "__p").select("__v", (F.col("__at") + F.col("__shift")).cast("bigint").alias(name))
     return df.join(codes, F.col(column) == F.col("__v"), "left").drop("__v")
 
 

@@ -33,27 +33,37 @@ class Moments:
         return self.cov * self.n / max(1, self.n - 1)
 
 
-def moments(df: DataFrame, vector: Column) -> Moments:
-    """Of [1, x - shift]: sums of products by task, then by position. The shift (one row) keeps large means from cancelling."""
-    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+def moments_by(df: DataFrame, vector: Column, group: Column, groups: int) -> list[Moments]:
+    """For each group (from 0): of [1, x - shift], sums of products by task, then by position, in one pass. The shift (one row) keeps large means from cancelling."""
+    rows = df.select(F.transform(vector, lambda x: x.cast("double")).alias("v"), group.cast("int").alias("g")).filter(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
     first = rows.first()
     if first is None:
-        return Moments(0, np.zeros(0), np.zeros((0, 0)))
+        return [Moments(0, np.zeros(0), np.zeros((0, 0)))] * groups
     shift = np.array(first["v"], float)
     d = len(shift)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((d + 1, d + 1))
+        total = np.zeros((groups, d + 1, d + 1))
         for b in batches:
             x = b.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, d) - shift
-            z = np.hstack([np.ones((len(x), 1)), x])
-            total += z.T @ z
+            z, g = np.hstack([np.ones((len(x), 1)), x]), b.column("g").to_numpy(zero_copy_only=False)
+            for k in range(groups):
+                own = z[g == k] if groups > 1 else z
+                total[k] += own.T @ own
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["t"])
 
     sums = rows.mapInArrow(run, "t array<double>").select(F.posexplode("t").alias("p", "x")).groupBy("p").agg(F.sum("x").alias("x"))
-    g = np.array([r["x"] for r in sorted(sums.collect())]).reshape(d + 1, d + 1)
-    n, m = g[0, 0], g[0, 1:] / g[0, 0]
-    return Moments(int(n), m + shift, g[1:, 1:] / n - np.outer(m, m))
+    out = []
+    for g in np.array([r["x"] for r in sorted(sums.collect())]).reshape(groups, d + 1, d + 1):
+        n = g[0, 0]
+        m = g[0, 1:] / max(n, 1.0)
+        out.append(Moments(int(n), m + shift, g[1:, 1:] / max(n, 1.0) - np.outer(m, m)))
+    return out
+
+
+def moments(df: DataFrame, vector: Column) -> Moments:
+    """Of all rows; a vector with a null is left out."""
+    return moments_by(df, vector, F.lit(0), 1)[0]
 
 
 def ridge(m: Moments, alpha: float, targets: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -219,8 +229,7 @@ def fit_per_cluster(train: DataFrame, test: DataFrame, features: list[str], targ
     centres = kmeans_centres(rows, "__v", k, seed)
     place = lambda df: df.withColumn("cluster", nearest(distances_to(F.array(*[F.col(c).cast("double") for c in features]), centres)))
     rows, out = place(rows), F.lit(None).cast("double")
-    for c in range(len(centres)):
-        m = moments(rows.filter(F.col("cluster") == c), F.array(*features, target))
+    for c, m in enumerate(moments_by(rows, F.array(*features, target), F.col("cluster"), len(centres))):
         if m.n:
             coef, intercept = ridge(m, alpha)
             out = F.when(F.col("cluster") == c, linear(features, coef[:, 0], intercept[0])).otherwise(out)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..operators import encode as C
 from ..operators import grouped as G
 from ..operators import learn as M
 from ..operators import metrics as E
@@ -209,15 +210,17 @@ def fit_knn_classifier(t):
 
 @query()
 def eval_direct(t):
-    """Pages as their mean, their last row, a random row, and their first rows side by side, each under three models."""
+    """Pages as their mean, their last row, a random row, and all their rows side by side (zeros up to the longest page), each under three models."""
     y = t.events.groupBy("user_id").agg(F.max("value").alias("y"))
     rows = EV.numbered(t.events)
     ordered = F.struct("ts", "event_id")
+    flat = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda r: r["value"]).alias("x"))
+    longest = flat.agg(F.max(F.size("x"))).first()[0] or 0
     views = {
         "mean": (rows.groupBy("user_id").agg(F.avg("value").alias("x0")), 1),
         "last": (rows.groupBy("user_id").agg(F.max_by("value", ordered).alias("x0")), 1),
         "random": (rows.groupBy("user_id").agg(F.min_by("value", P.share(1, "user_id", "event_id")).alias("x0")), 1),
-        "flat": (rows.filter("rn < 8").groupBy("user_id").agg(*[F.max(F.when(F.col("rn") == k, F.col("value"))).alias(f"x{k}") for k in range(8)]), 8),
+        "flat": (flat.select("user_id", *[F.coalesce(F.get("x", F.lit(k)), F.lit(0.0)).alias(f"x{k}") for k in range(longest)]), longest),
     }
     out = []
     for view, (df, width) in views.items():
@@ -234,15 +237,16 @@ def eval_direct(t):
 # Files
 
 
-@query("SELECT r_regionkey::BIGINT AS page, unnest(range(4)) AS step, unnest([r_regionkey, r_regionkey + 1, r_regionkey + 2, r_regionkey + 3])::DOUBLE AS a, unnest([0, 2, 4, 6])::DOUBLE AS b FROM region WHERE r_regionkey < 5")
+@query(f"""WITH e AS (SELECT dense_rank() OVER (ORDER BY user_id) - 1 AS page, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS step, value AS a, event_id::DOUBLE AS b FROM events)
+SELECT p.page::BIGINT AS page, s.step::BIGINT AS step, coalesce(a, 'nan'::DOUBLE) AS a, coalesce(b, 'nan'::DOUBLE) AS b FROM (SELECT DISTINCT page FROM e) p CROSS JOIN range(64) s(step) LEFT JOIN e ON e.page = p.page AND e.step = s.step""")
 def scan_npy(t):
-    """A cube of 5 pages, 4 steps and 2 features, written as one array file and read by ranges of pages."""
-    path = R.scratch(t.spark, "cube").removeprefix("file://") + ".npy"
-    pages, steps = np.arange(5)[:, None], np.arange(4)[None, :]
-    np.save(path, np.stack([pages + steps, 2 * steps + 0 * pages], axis=-1).astype(float))
+    """The users' events as cubes of pages, 64 steps and 2 features, written as array files of 16 pages and read by ranges of pages."""
+    path = R.scratch(t.spark, "cube")
+    rows = EV.numbered(C.label_encode(t.events, "user_id", "page"), "step").withColumn("b", F.col("event_id").cast("double"))
+    R.write_npy(rows, path, "page", "step", ["value", "b"], 64, 16)
     t.spark.dataSource.register(R.NpyCube)
-    rows = t.spark.read.format("npy").option("path", path).option("rows", 2).load()
-    return rows.select("page", "step", F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
+    cube = t.spark.read.format("npy").option("path", path).option("rows", 8).load()
+    return cube.select("page", "step", F.col("values")[0].alias("a"), F.col("values")[1].alias("b"))
 
 
 @query(f"""WITH f AS (SELECT user_id AS track, event_type = 'click' AS seen, value, ts, event_id, (SELECT min(user_id) FROM events) AS focal FROM events),

@@ -292,14 +292,18 @@ def dot(t):
     return t.embeddings.select("vec_id", F.round(V.dot(_vector(), _vector()), 5).alias("d"))
 
 
-@query("SELECT i AS step, round(1.0 + (0.1 - 1.0) * least(1.0, i / 80.0), 6) AS w FROM range(100) r(i)")
+STEPS = "(SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::BIGINT AS step FROM events)"
+
+
+@query(f"SELECT event_id, step, round(1.0 + (0.1 - 1.0) * least(1.0, step / 40.0), 6) AS w FROM {STEPS}")
 def schedule_linear(t):
-    return t.spark.range(100).select(F.col("id").alias("step"), F.round(L.decay_linear(F.col("id"), 80, 1.0, 0.1), 6).alias("w"))
+    """The weight of each of a user's events, as a step of its series."""
+    return EV.numbered(t.events, "step").select("event_id", "step", F.round(L.decay_linear(F.col("step"), 40, 1.0, 0.1), 6).alias("w"))
 
 
-@query("SELECT i AS step, round(0.1 + 0.5 * 0.9 * (1 + cos(pi() * least(1.0, i / 80.0))), 6) AS w FROM range(100) r(i)")
+@query(f"SELECT event_id, step, round(0.1 + 0.5 * 0.9 * (1 + cos(pi() * least(1.0, step / 40.0))), 6) AS w FROM {STEPS}")
 def schedule_cosine(t):
-    return t.spark.range(100).select(F.col("id").alias("step"), F.round(L.decay_cosine(F.col("id"), 80, 1.0, 0.1), 6).alias("w"))
+    return EV.numbered(t.events, "step").select("event_id", "step", F.round(L.decay_cosine(F.col("step"), 40, 1.0, 0.1), 6).alias("w"))
 
 
 @query("SELECT o_orderkey, round((o_totalprice - m) / s, 4) AS z FROM orders, (SELECT avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS s FROM orders)")

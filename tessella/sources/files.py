@@ -5,6 +5,7 @@ Empty folders raise Spark's own error; empty files give no rows; unreadable numb
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -152,29 +153,38 @@ def run_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 class _Range(InputPartition):
-    def __init__(self, first: int, last: int):
-        self.first, self.last = first, last
+    def __init__(self, path: str, start: int, first: int, last: int):
+        self.path, self.start, self.first, self.last = path, start, first, last
 
 
 class _NpyReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.rows = options["path"], int(options.get("rows", 1024))
+        self.path, self.rows = options["path"].removeprefix("file://"), int(options.get("rows", 1024))
 
     def partitions(self) -> list[InputPartition]:
-        n = len(np.load(self.path, mmap_mode="r", allow_pickle=False))
-        return [_Range(a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        cube = np.load(self.path, mmap_mode="r", allow_pickle=False)
+        files = [self.path]
+        if os.path.isdir(self.path):
+            files = [f"{self.path}/{f}" for f in sorted(os.listdir(self.path)) if f.endswith(".npy")]
+        out, start = [], 0
+        for file in files:
+            n = len(np.load(file, mmap_mode="r", allow_pickle=False))  # the header only
+            out += [_Range(file, start, a, min(n, a + self.rows)) for a in range(0, n, self.rows)]
+            start += n
+        return out
+
+    def read(self, partition: _Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # an empty folder
+            return
+        cube = np.load(partition.path, mmap_mode="r", allow_pickle=False)
         for page in range(partition.first, partition.last):
             steps = np.asarray(cube[page], np.float64)
             steps = steps.reshape(len(steps), -1) if steps.ndim else steps.reshape(1, 1)
-            columns = [pa.array(np.full(len(steps), page, np.int64)), pa.array(np.arange(len(steps))), pa.array(list(steps), pa.list_(pa.float64()))]
+            columns = [pa.array(np.full(len(steps), partition.start + page, np.int64)), pa.array(np.arange(len(steps))), pa.array(list(steps), pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, ["page", "step", "values"])
 
 
 class NpyCube(DataSource):
-    """spark.read.format("npy"): (page, step, features) cubes in a shared folder, memory-mapped; a partition is a range of pages (option rows)."""
+    """spark.read.format("npy"): (page, step, features) cubes in a shared folder, memory-mapped: a file, or a folder whose files follow each other by name; a partition is a range of pages (option rows)."""
 
     @classmethod
     def name(cls) -> str:
@@ -185,3 +195,24 @@ class NpyCube(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return _NpyReader(self.options)
+
+
+def write_npy(df: DataFrame, path: str, page: str, step: str, values: list[str], steps: int, pages: int = 64) -> None:
+    """A folder of cubes of `pages` pages each: rows of df by page (from 0, without gaps) and step; missing cells are NaN, steps beyond `steps` are left out. A file appears under its name when it is whole, so a task may run twice."""
+    folder = path.removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+
+    def save(t: pa.Table) -> pa.Table:
+        at, k = t.column("page").to_numpy(), t.column("step").to_numpy()
+        first = at.min() // pages * pages
+        cube = np.full((at.max() - first + 1, steps, len(values)), np.nan)
+        for n, v in enumerate(values):
+            cube[at - first, k, n] = t.column(v).to_numpy(zero_copy_only=False).astype(float)
+        part = f"{folder}/.{uuid.uuid4().hex}"
+        with open(part, "wb") as f:
+            np.save(f, cube)
+        os.replace(part, f"{folder}/{first:018d}.npy")
+        return pa.table({"rows": [len(t)]})
+
+    rows = df.select(F.col(page).cast("long").alias("page"), F.col(step).cast("long").alias("step"), *[F.col(v).cast("double").alias(v) for v in values]).filter(f"step >= 0 and step < {steps} and page is not null")
+    rows.groupBy(F.expr(f"page div {pages}").alias("__f")).applyInArrow(lambda t: save(t), "rows long").agg(F.sum("rows")).collect()
