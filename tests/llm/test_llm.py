@@ -458,6 +458,41 @@ def test_short_and_shifted_texts_keep_their_likeness():
     assert merkle.likeness(merkle.fingerprint(huge), merkle.fingerprint(huge[9:])) > 0.9
 
 
+SCRIPTS = {"Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "Hindi": "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "Korean": "가나다라마바사아자차카타파하거너더러머버서어저처커터퍼허", "kana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ", "Russian": "абвгдежзийклмнопрстуфхцчшщъыьэюя"}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_an_insertion_keeps_likeness_in_any_script(script):
+    for seed in range(5):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice(SCRIPTS[script]) for _ in range(rng.randint(2, 9))) for _ in range(700)]
+        text = ("" if script == "kana" else " ").join(words)
+        half = len(text) // 2
+        for other in (text[:half] + "xyz" + text[half:], "qq" + text, text[:half] + text[half + 5 :]):
+            assert 0.95 < merkle.likeness(merkle.fingerprint(text), merkle.fingerprint(other)) < 1
+
+
+def test_texts_that_repeat_themselves():
+    for text in ("a" * 5000, "ab" * 3000, "-=-" * 2000, "abc def " * 500, "\n" * 400, "x\n" * 300):
+        a, half = merkle.fingerprint(text), len(text) // 2
+        assert merkle.likeness(a, merkle.fingerprint(text[:half] + "xyz" + text[half:])) > 0.8 and len(a) < 20 * len(text) + 100
+
+
+def test_inner_digests_are_the_tree():
+    text = "\n".join(f"Line {i} says this, and that too, and more of it." for i in range(200))
+    root, body = merkle.fingerprint(text).split(":")
+    hashed = lambda mark, parts: hashlib.blake2b(mark + b"".join(parts), digest_size=16).digest()
+    paragraphs = [hashed(b"p", [xxhash.xxh3_128_digest(x.encode()) for x in merkle.leaves(p)]) for p in text.split("\n")]
+    sections, at = [], 0
+    for s in body.split(";"):
+        held = s[9:].split(",")
+        assert [p[:8] for p in held] == [d[:4].hex() for d in paragraphs[at : at + len(held)]]
+        sections.append(hashed(b"s", paragraphs[at : at + len(held)]))
+        assert s[:8] == sections[-1][:4].hex()
+        at += len(held)
+    assert at == 200 and len(sections) > 5 and root == hashed(b"r", sections).hex()
+
+
 def test_likeness_by_brute_force():
     rng = random.Random(16)
     texts = ["\n".join(prose(rng, rng.randint(0, 30)) for _ in range(rng.randint(1, 9))) for _ in range(30)]
