@@ -104,16 +104,21 @@ def recall(nodes: DataFrame, found: DataFrame, asked: Column, k: int) -> float:
     return true.join(found, ["i", "j"]).count() / n if n else 1.0
 
 
-def graph(nodes: DataFrame, k: int, asked: Column, least: float = 0.9) -> tuple[DataFrame, float, int]:
-    """Undirected edges (i, j, d; both directions), the measured recall and the probes it took: doubled until the recall is at least `least`."""
+def indexed(nodes: DataFrame, k: int, asked: Column, least: float = 0.9) -> tuple[DataFrame, float, int]:
+    """Neighbours (i, j, d) of every node, the recall measured on the asked ones and the probes it took: doubled until the recall is at least `least`."""
     probes = 4
     while True:
         found = settled(neighbours(nodes, k, probes), "neighbours")
         share = recall(nodes, found, asked, k)
         if share >= least or probes >= MOST_CELLS:
-            break
+            return found, share, probes
         probes *= 2
         dropped(found)
+
+
+def graph(nodes: DataFrame, k: int, asked: Column, least: float = 0.9) -> tuple[DataFrame, float, int]:
+    """Undirected edges (i, j, d; both directions) of that index, its recall and probes."""
+    found, share, probes = indexed(nodes, k, asked, least)
     both = found.unionByName(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     return settled(both.groupBy("i", "j").agg(F.min("d").alias("d")), "edges"), share, probes
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import attribution as A
+from ..operators import directional as D
 from ..operators import graph as G
 from ..operators import information as I
 from ..operators import manifold as K
+from ..operators import vectors as V
 from ..operators.settle import settled
 from ..sources import files as R
 from ..sources import zarr as Z
@@ -137,3 +140,24 @@ def scan_zarr_grid(t):
     Z.write_grid(rows, path, (48, lats, 10), (8, 16, 10))
     grid = Z.read_grid(t.spark, path).filter(F.col("time") >= F.lit("1959-01-06 00:00:00").cast("timestamp_ntz"))
     return grid.withColumn("lat", F.round("lat", 6))
+
+
+@query()
+def vmf_sample(t):
+    """A direction about each embedding's, with a concentration by label, and its cosine with it."""
+    kappa = 50.0 * (1 + F.col("label") % 3)
+    made = t.embeddings.select("vec_id", "label", "embedding", D.sample(F.col("embedding"), kappa, F.col("vec_id"), 5).alias("s"))
+    return made.select("vec_id", "label", F.round(V.dot(F.col("embedding"), F.col("s")) / F.sqrt(V.dot(F.col("embedding"), F.col("embedding"))), 6).alias("cosine"))
+
+
+@query()
+def vmf_divergence(t):
+    """Each label's von Mises-Fisher law, fitted by its mean direction, and its divergence from the law of all vectors."""
+    got = t.embeddings.rollup("label").agg(*D.resultants("embedding", 64)).collect()  # a row a label
+    laws = {r["label"]: (r["n"], np.array([r[f"m{k}"] for k in range(64)])) for r in got if r["n"]}
+    out, (_, all_) = [], laws.get(None, (0, np.ones(64)))
+    fit = lambda m: D.concentration(64, float(np.linalg.norm(m)))
+    for label, (n, m) in sorted((k, v) for k, v in laws.items() if k is not None):
+        cosine = float(m @ all_ / np.linalg.norm(m) / np.linalg.norm(all_))
+        out.append((label, n, round(fit(m), 4), round(D.divergence(64, fit(m), fit(all_), cosine), 5)))
+    return t.spark.createDataFrame(out, "label int, n long, kappa double, divergence double")

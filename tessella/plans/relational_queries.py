@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import encode as E
+from ..operators import graph as N
 from ..operators import grouped as G
 from ..operators import learn as M
 from ..operators import sampling as P
@@ -290,22 +292,34 @@ def knn_regress_inverse(t):
     return _knn(t, 5).groupBy("i").agg(F.round(F.sum(F.col("j_label") * w) / F.sum(w), 5).alias("p"))
 
 
-@query(KNN + ", r AS (SELECT i, max(CASE WHEN rank = 1 THEN d END) AS d1, max(CASE WHEN rank = 2 THEN d END) AS d2 FROM k WHERE rank <= 2 GROUP BY i) SELECT round(1 / avg(ln(d2 / d1)), 4) AS dim FROM r WHERE d1 > 0")
+#: The neighbours of all vectors, by an index of measured recall (exact at the smaller scales).
+KNN_ALL = KNN.replace(f" AND a.{ASKED}", "")
+
+
+def _knn_all(t, k):
+    nodes, _ = N.nodes_of(t.embeddings, "vec_id", "embedding")
+    found, _, _ = N.indexed(nodes, k, F.col("id") % 100 == 0)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j")))
+
+
+@query(KNN_ALL + ", r AS (SELECT i, max(CASE WHEN rank = 1 THEN d END) AS d1, max(CASE WHEN rank = 2 THEN d END) AS d2 FROM k WHERE rank <= 2 GROUP BY i) SELECT round(1 / avg(ln(d2 / d1)), 4) AS dim FROM r WHERE d1 > 0")
 def intrinsic_dim_twonn(t):
-    r = _knn(t, 2).groupBy("i").agg(F.min("d").alias("d1"), F.max("d").alias("d2")).filter("d1 > 0")
+    """Over all vectors; equal ones are one."""
+    r = _knn_all(t, 2).groupBy("i").agg(F.min("d").alias("d1"), F.max("d").alias("d2")).filter("d1 > 0")
     return r.agg(F.round(1 / F.avg(F.log(F.col("d2") / F.col("d1"))), 4).alias("dim"))
 
 
-@query(KNN + ", m AS (SELECT i, 9 / sum(CASE WHEN rank < 10 THEN ln(dk / d) END) AS e FROM (SELECT *, max(d) OVER (PARTITION BY i) AS dk FROM k WHERE rank <= 10) WHERE d > 0 GROUP BY i) SELECT median(e)::BIGINT AS dim FROM (SELECT floor(median(e)) AS e FROM m)")
+@query(KNN_ALL + ", m AS (SELECT i, 9 / sum(CASE WHEN rank < 10 THEN ln(dk / d) END) AS e FROM (SELECT *, max(d) OVER (PARTITION BY i) AS dk FROM k WHERE rank <= 10) WHERE d > 0 GROUP BY i) SELECT floor(median(e))::BIGINT AS dim FROM m")
 def intrinsic_dim_mle(t):
-    k = _knn(t, 10).withColumn("dk", F.max("d").over(Window.partitionBy("i"))).filter("d > 0 and rank < 10")
+    """The median over all vectors, by ranked values."""
+    k = _knn_all(t, 10).withColumn("dk", F.max("d").over(Window.partitionBy("i"))).filter("d > 0 and rank < 10")
     per = k.groupBy("i").agg((9 / F.sum(F.log(F.col("dk") / F.col("d")))).alias("e"))
-    return per.agg(F.floor(F.median("e")).cast("bigint").alias("dim"))
+    return t.spark.createDataFrame([(int(np.floor(P.quantile(per, "e", 0.5) or 0)),)], "dim long")
 
 
-@query(KNN + " SELECT round(stddev_pop(d), 5) AS s FROM k WHERE rank <= 5")
+@query(KNN_ALL + " SELECT round(stddev_pop(d), 5) AS s FROM k WHERE rank <= 5")
 def knn_distance_std(t):
-    return _knn(t, 5).agg(F.round(F.stddev_pop("d"), 5).alias("s"))
+    return _knn_all(t, 5).agg(F.round(F.stddev_pop("d"), 5).alias("s"))
 
 
 @query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x FOR x IN embedding])), 5) AS norm, round(embedding[1] / sqrt(list_sum([x::DOUBLE * x FOR x IN embedding])), 5) AS first FROM embeddings")
