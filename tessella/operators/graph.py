@@ -201,7 +201,7 @@ def leading(edges: DataFrame, count: int, rounds: int = 20, close: float = 1e-4,
     m = settled(m.select("i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("deg_j"))).alias("w")), "matrix")
     block = settled(degree.select(F.col("i").alias("id"), *[(draw(seed, k, F.col("i")) - 0.5).alias(c) for k, c in enumerate(names)]), "block")
     last = np.zeros(count)
-    for _ in range(rounds):
+    for left in range(rounds - 1, -1, -1):
         made = m.join(block, F.col("j") == F.col("id")).groupBy("i").agg(*[F.sum(F.col("w") * F.col(c)).alias(f"m{c}") for c in names])
         made = settled(block.join(made, F.col("id") == F.col("i")).select("id", *names, *[f"m{c}" for c in names]), "product")
         pairs = [(a, c) for a in range(b) for c in range(a, b)]
@@ -216,7 +216,7 @@ def leading(edges: DataFrame, count: int, rounds: int = 20, close: float = 1e-4,
         values = values[::-1]
         done = len(values) >= count and np.abs(values[:count] - last).max() < close
         last = values[:count] if len(values) >= count else np.resize(values, count)
-        new = settled(made.mapInArrow(_turned(names, turn, not done), ", ".join(["id long", *[f"{c} double" for c in names[: turn.shape[1]]]])), "block")
+        new = settled(made.mapInArrow(_turned(names, turn, not done and left > 0), ", ".join(["id long", *[f"{c} double" for c in names[: turn.shape[1]]]])), "block")
         dropped(block)
         dropped(made)
         block, names, b = new, names[: turn.shape[1]], turn.shape[1]
