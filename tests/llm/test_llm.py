@@ -367,17 +367,74 @@ def test_decoding_is_the_best_of_all_readings():
         assert got in readings and abs(best[got] - max(best.values())) < 1e-4
 
 
-def test_nothing_that_can_hold_an_entry_is_called_hopeless():
+def test_a_walk_along_the_lexicon_finds_all_that_a_lattice_can_hold():
     rng = random.Random(12)
-    entries = {"idiot": 1.0, "mor*": 1.0, "scum": 1.0}
-    heads = toxicity.beginnings(entries)
-    for _ in range(400):
-        token = "".join(rng.choice("idiotmrscu1!5 0.") for _ in range(rng.randint(1, 7))).strip()
-        if not token:
+    lexicon = toxicity.Lexicon(-3.0, {"idiot": 1.0, "mor*": 1.0, "scum": 1.0}, {"moron": "mor*"})
+    model = toxicity.log_model(np.bincount(np.random.default_rng(1).integers(0, toxicity.SIZE**3, 90_000), minlength=toxicity.SIZE**3))
+    spell = toxicity.Speller(lexicon, model)
+
+    def worth(word):
+        """Log probability of a word as an entry, None if it is none."""
+        if word in spell.words:
+            return lexicon.said
+        for stem, least in (("idiot", 1), ("scum", 1), ("mor", 1)):
+            if word.startswith(stem) and len(word) >= len(stem) + least:
+                at = [toxicity.CODE[c] for c in word + " "]
+                return lexicon.said - toxicity.ENDING * (stem != "mor") + sum(float(model[at[k - 2], at[k - 1], at[k]]) for k in range(len(stem), len(at)))
+
+    held = 0
+    for _ in range(3000):
+        token = "".join(rng.choice("idiotmrscu1!50.") for _ in range(rng.randint(0, 3)))
+        token = rng.choice(["idi", "1di", "mo", "m0r", "sc", "scu", "", "i.d", "mm"]) + token + rng.choice(["ot", "0t", "on", "m", "um", ""])
+        if not 0 < len(token) < 9:
             continue
-        said = {"".join(t for t, _ in path) for path in __import__("itertools").product(*toxicity.lattice(token))}
-        holds = any(w in entries or any(w.startswith(e[:-1]) and len(w) >= len(e) for e in entries if e.endswith("*")) for text in said for w in text.split())
-        assert not (holds and toxicity.hopeless(token, entries, heads)), token
+        best = -np.inf
+        for path in __import__("itertools").product(*toxicity.lattice(token)):
+            said = worth("".join(t for t, _ in path))
+            if said is not None:
+                best = max(best, said - sum(c for _, c in path))
+        score, word, entry = spell.ends(spell.walk(spell.start, token))
+        assert abs(score - best) < 1e-4 if word else best == -np.inf, token
+        assert not word or word.startswith(entry.rstrip("*"))
+        held += bool(word)
+    assert held > 100
+
+
+def test_no_size_of_a_word_or_gap_hides_an_entry(spark):
+    rng = random.Random(16)
+    clean = [(i, prose(rng, 30), "a") for i in range(150)] + [(200 + i, f"{prose(rng, 6)} the id of a cat sitting by the mood ring {prose(rng, 6)}", "a") for i in range(20)]
+    toxic = [(1000 + i, prose(rng, 20) + f" {rng.choice(['idiot', 'moron', 'stupid'])} " + prose(rng, 10), "a") for i in range(90)]
+    said = ["iddiot", "iidiot", "idioot", "idiott", "mooron", "stup id", "st upid", "stup idity", "stupii dd", "moorron", "!diot", "@idi0t", "s t u p i d", "i-d-i-o-t", "m  oron", "(stup1d)", "s.tu p.id"]
+    plain = ["the id of a cat", "sitting", "stu sat", "id iot a", "more on a mat", "st up on a hill", "stupa", "i did it"]
+    hidden = [(5000 + i, f"{prose(rng, 6)} {x} {prose(rng, 4)}", "a") for i, x in enumerate(said + plain)]
+    df = docs(spark, clean + toxic + hidden)
+    labels = spark.createDataFrame([(i, 0) for i, _, _ in clean] + [(i, 1) for i, _, _ in toxic], "doc_id long, toxic int")
+    model, lexicon = toxicity.learn(df, labels)
+    got = {r["doc_id"]: (r["predicted"], r["found"]) for r in toxicity.score(df, model, lexicon).collect()}
+    assert {x: got[5000 + i] for i, x in enumerate(said) if not got[5000 + i][0]} == {}
+    flagged = {x for i, x in enumerate(plain) if got[5000 + len(said) + i][0]}
+    assert flagged <= {"id iot a"} and not any(got[i][0] for i, _, _ in clean)
+    odds = {r["doc_id"]: r["score"] for r in toxicity.score(df, model, lexicon).collect()}
+    for i, (_, found) in got.items():  # the score follows from what was found
+        entries = [spell for w in found for spell in [min((g for g in [w, *(f"{w[:k]}*" for k in range(1, len(w))), *(w[:k] for k in range(1, len(w)))] if g in lexicon.entries), key=list(lexicon.entries).index)]]
+        assert abs(odds[i] - 1 / (1 + np.exp(-lexicon.base - sum(lexicon.entries[e] for e in entries)))) < 1e-9
+
+
+def test_penalties_come_from_the_learning_rows():
+    rng = random.Random(17)
+    rows = [(int(rng.random() < 0.8), {0: 1}) for _ in range(60)] + [(int(rng.random() < 0.3), {rng.randint(1, 30): 1}) for _ in range(90)]
+    got = toxicity.choose(rows, (60, 12), 31)
+    losses = {}
+    for p in toxicity.PENALTIES:
+        total = 0.0
+        for part in range(toxicity.CROSS):
+            bare = [c - len(range(part, c, toxicity.CROSS)) for c in (60, 12)]
+            base, w = toxicity.fit([r for k, r in enumerate(rows) if k % toxicity.CROSS != part], tuple(bare), 31, p)
+            odds = [(y, base + sum(w[j] for j in held)) for y, held in rows[part :: toxicity.CROSS]]
+            odds += [(y, base) for y, c in ((0, 60), (1, 12)) for _ in range(part, c, toxicity.CROSS)]
+            total -= sum(np.log(1 / (1 + np.exp(-f if y else f))) for y, f in odds)
+        losses[p] = total
+    assert got == min(losses, key=losses.get)
 
 
 def test_cut_classes_keep_their_odds(spark):
