@@ -137,7 +137,8 @@ def _options(c: str, n: int, letter: bool) -> list[tuple[str, float]]:
     return single + twice if n > 2 or not letter else [*twice, *((a, s + 2.0) for a, s in single)]
 
 
-_GAPS = ([(" ", 0.0), ("", 1.0)], [(" ", 0.0), ("", 4.0)])
+#: A gap is a boundary or, in about one word in twenty that is disguised, nothing; longer gaps are so more rarely.
+_GAPS = ([(" ", 0.0), ("", 3.0)], [(" ", 0.0), ("", 5.0)])
 
 
 def lattice(token: str, at: int = 0) -> Iterator[list[tuple[str, float]]]:
