@@ -645,6 +645,26 @@ def scan_tsv_labelled(t):
     return rows.select(F.col("values")[0].cast("bigint").alias("vec_id"), "label", F.round(F.aggregate(F.slice("values", 2, 64), F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
+@query(
+    """
+    WITH cells AS (SELECT vec_id % 5 = 0 AS test, (dense_rank() OVER (ORDER BY label::VARCHAR) - 1)::INT AS label, embedding FROM embeddings),
+    each AS (SELECT test, label, ((k - 1) // 16)::INT AS channel, embedding[k]::DOUBLE AS x FROM cells, range(1, 65) r(k)),
+    law AS (SELECT channel, avg(x) AS m, stddev_pop(x) AS s FROM each WHERE NOT test GROUP BY 1)
+    SELECT test, label, channel, count(*) AS n, round(avg((x - m) / s) + 10, 4) AS mean, round(avg(((x - m) / s) ^ 2), 4) AS square FROM each JOIN law USING (channel) GROUP BY 1, 2, 3
+    """
+)
+def scan_arff(t):
+    path = R.scratch(t.spark, "arff")
+    channel = lambda k: F.array_join(F.transform(F.slice("embedding", 16 * k + 1, 16), lambda x: x.cast("double").cast("string")), ",")
+    line = F.concat(F.lit("'"), F.concat_ws("\\n", *[channel(k) for k in range(4)]), F.lit("',"), F.col("label").cast("string"))
+    heads = t.spark.createDataFrame([("@relation series",), (" @attribute t0 numeric",), ("@data",)], "value string").coalesce(1)
+    t.embeddings.select((F.col("vec_id") % 5 == 0).alias("test"), line.alias("value")).write.partitionBy("test").text(path)
+    heads.write.mode("append").text(f"{path}/test=false")
+    rows = R.relational_arff(t.spark, f"{path}/*").withColumn("test", F.col("path").contains("/test=true/"))
+    each = R.standardized(rows, rows.filter(~F.col("test"))).select("test", "label", F.posexplode("values").alias("channel", "xs")).select("test", "label", "channel", F.explode("xs").alias("x"))
+    return each.groupBy("test", "label", "channel").agg(F.count("*").alias("n"), F.round(F.avg("x") + 10, 4).alias("mean"), F.round(F.avg(F.col("x") * F.col("x")), 4).alias("square"))
+
+
 @query("SELECT n_nationkey FROM nation WHERE (n_nationkey + 1) % 3 <> 1")
 def csv_stride_read(t):
     path = R.scratch(t.spark, "stride")

@@ -81,6 +81,26 @@ def labelled_tsv(spark: SparkSession, path: str, normalize: bool = False) -> Dat
     return rows.withColumn("values", F.transform("values", lambda x: (x - m) / sd))
 
 
+def relational_arff(spark: SparkSession, path: str) -> DataFrame:
+    """path, line, label (0..L-1 in sorted order of the names), values (by channel, by step): each data line is a quoted series, its channels parted by a written \\n, and a class. Unknown values (?) are null;
+    declarations, comments, blank lines and lines without a quoted series go."""
+    form = r"""^\s*(['"])(.*)\1\s*,\s*['"]?(.*?)['"]?\s*$"""
+    lines = numbered_lines(spark, path).filter(~F.col("value").rlike(r"^\s*([@%]|$)") & F.col("value").rlike(form))
+    channels = F.split(F.regexp_extract("value", form, 2), r"\\n")
+    rows = lines.select("path", "line", F.regexp_extract("value", form, 3).alias("raw"), F.transform(channels, lambda c: F.transform(F.split(c, ","), lambda x: F.trim(x).try_cast("double"))).alias("values"))
+    labels = rows.select("raw").distinct().select("raw", (F.row_number().over(Window.orderBy("raw")) - 1).cast("int").alias("label"))  # a row a class
+    return rows.join(labels, "raw").select("path", "line", "label", "values")
+
+
+def standardized(df: DataFrame, train: DataFrame, values: str = "values") -> DataFrame:
+    """Series by channel and step, less the mean and over the deviation of their channel in `train` (nulls and NaNs left out; a constant channel is only centred). A channel that `train` lacks becomes null."""
+    each = train.select(F.posexplode(values).alias("channel", "xs")).select("channel", F.explode("xs").alias("x")).filter(~F.isnan("x"))
+    # a row a channel
+    known = {r["channel"]: (r["m"], r["s"] or 1.0) for r in each.groupBy("channel").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).collect()}
+    law = [F.array(*[F.lit(known[c][k] if c in known else None).cast("double") for c in range(max(known, default=-1) + 1)]).cast("array<double>") for k in (0, 1)]
+    return df.withColumn(values, F.transform(values, lambda xs, c: F.transform(xs, lambda x: (x - F.get(law[0], c)) / F.get(law[1], c))))
+
+
 def parse_report(text: Column, fields: str) -> Column:
     """The rows between the marks $$SOE and $$EOE of a text report, as structs; no marks: an empty array."""
     body = F.regexp_extract(text, r"(?s)\$\$SOE\s*(.*?)\s*\$\$EOE", 1)

@@ -137,6 +137,23 @@ def test_readers(spark, tmp_path):
         R.csv_stride(spark, str(tmp_path / "s.csv"), 0, "a int")
 
 
+def test_relational_arff(spark, tmp_path):
+    head = "% made\n@relation r\n@attribute rel relational\n  @attribute t0 numeric\n@end rel\n@attribute class {b,a}\n\n@DATA\n"
+    (tmp_path / "train.arff").write_text(head + "'1.0,2.0\\n5,5',b\n\"3,?\\n5,5\", 'a'\nnot a series\n")
+    (tmp_path / "test.arff").write_text(head + "'4.0,NaN,x\\n6,7\\n1,1',b\n")
+    (tmp_path / "none.arff").write_text(head)
+    train = R.relational_arff(spark, str(tmp_path / "train.arff"))
+    rows = sorted(train.collect(), key=lambda r: r["line"])
+    assert [(r["line"], r["label"], r["values"]) for r in rows] == [(8, 1, [[1.0, 2.0], [5.0, 5.0]]), (9, 0, [[3.0, None], [5.0, 5.0]])]
+    own = sorted(R.standardized(train, train).collect(), key=lambda r: r["line"])
+    sd = np.std([1, 2, 3])
+    assert np.allclose(own[0]["values"], [[-1 / sd, 0], [0, 0]]) and own[1]["values"][0][1] is None and np.isclose(own[1]["values"][0][0], 1 / sd)
+    other = R.standardized(R.relational_arff(spark, str(tmp_path / "test.arff")), train).first()["values"]
+    assert np.isclose(other[0][0], 2 / sd) and np.isnan(other[0][1]) and other[0][2] is None and other[1:] == [[1.0, 2.0], [None, None]]
+    none = R.relational_arff(spark, str(tmp_path / "none.arff"))
+    assert none.count() == 0 and R.standardized(train, none).filter("values[0][0] is not null").count() == 0
+
+
 def test_line_numbers_hold_over_splits(spark, tmp_path):
     (tmp_path / "n.txt").write_text("".join(f"{i}\n" for i in range(5000)))
     before = {c: spark.conf.get(c) for c in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
