@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -392,23 +393,44 @@ def mean_cosine(t):
     return u.agg(F.count(F.lit(1)).cast("double").alias("n")).join(s).select(F.round((F.col("s") - F.col("n")) / (F.col("n") * (F.col("n") - 1)), 6).alias("c"))
 
 
-def _asked_pairs(t):
-    """Distances of the stated query set to all vectors; the queries are the small side."""
-    pairs = V.met(t.embeddings.filter(ASKED), t.embeddings)
-    return pairs.select(F.col("i").alias("i_"), F.col("j").alias("j_"), V.l2(F.col("i_embedding"), F.col("j_embedding")).alias("d"))
+def _over_pairs(t, run, schema):
+    """What run makes of a block of the stated query set and a part of all vectors: of its ids, and chunks of distances with the pairs that count."""
+
+    def each(q, r):
+        return run(q, [(at, np.sqrt(x), other & known) for at, x, other, known in V.compared(q, r, V.squares, ("embedding",))])
+
+    return V.blockwise(t.embeddings.filter(ASKED), t.embeddings, each, schema, block=1024, part=8192)
 
 
 @query(PAIRS + ", k AS (SELECT i_, ln(avg(exp(-d * d / 2))) - 32 * ln(2 * pi()) AS k FROM d GROUP BY 1) SELECT round(-avg(k), 4) AS entropy FROM k")
 def kde_entropy(t):
     """Gaussian kernel of width 1 in 64 dimensions, at the stated query set; a vector counts for itself, with 1."""
-    kernel = F.exp(-F.col("d") * F.col("d") / 2)
-    k = _asked_pairs(t).groupBy("i_").agg((F.ln((F.sum(kernel) + 1) / (F.count("d") + 1)) - 32 * F.ln(2 * F.pi())).alias("k"))
+
+    def run(q, chunks):
+        sums, n = np.zeros(len(q)), np.zeros(len(q), np.int64)
+        for at, d, counts in chunks:
+            sums[at : at + len(d)] = np.where(counts, np.exp(-d * d / 2), 0.0).sum(1)
+            n[at : at + len(d)] = counts.sum(1)
+        return pa.table({"i": q.column("i"), "s": pa.array(sums), "n": pa.array(n)})
+
+    sums = _over_pairs(t, run, f"i {t.embeddings.schema['vec_id'].dataType.simpleString()}, s double, n long")
+    k = sums.groupBy("i").agg((F.ln((F.sum("s") + 1) / (F.sum("n") + 1)) - 32 * F.ln(2 * F.pi())).alias("k"))
     return k.agg(F.round(-F.avg("k"), 4).alias("entropy"))
 
 
 @query(PAIRS + " SELECT round(avg(d), 5) AS mean, round(stddev_samp(d), 5) AS std FROM d WHERE i_ <> j_")
 def pairwise_distance_stats(t):
-    return _asked_pairs(t).filter("i_ <> j_").agg(F.round(F.avg("d"), 5).alias("mean"), F.round(F.stddev_samp("d"), 5).alias("std"))
+    """From count, mean and squares about the mean of every group of pairs."""
+
+    def run(q, chunks):
+        parts = [d[counts] for _, d, counts in chunks]
+        parts = [d for d in parts if len(d)]
+        return pa.table({"n": pa.array([len(d) for d in parts], pa.int64()), "m": pa.array([d.mean() for d in parts], pa.float64()), "s": pa.array([((d - d.mean()) ** 2).sum() for d in parts], pa.float64())})
+
+    got = _over_pairs(t, run, "n long, m double, s double").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("s") + F.col("n") * F.col("m") * F.col("m")).alias("s"))
+    mean = F.col("t") / F.col("n")
+    spread = F.when(F.col("n") > 1, F.sqrt(F.greatest(F.lit(0.0), F.col("s") - F.col("t") * mean) / (F.col("n") - 1)))
+    return got.select(F.round(mean, 5).alias("mean"), F.round(spread, 5).alias("std"))
 
 
 SPHERE = f"WITH p AS ({UNNEST}), a AS (SELECT vec_id, i, x, CASE WHEN i < 3 THEN x / sqrt(sum(CASE WHEN i < 3 THEN x * x END) OVER (PARTITION BY vec_id)) END AS u FROM p)"
@@ -420,9 +442,9 @@ def product_distance(t):
     on = F.slice("embedding", 1, 3)
     size = F.sqrt(V.dot(on, on))
     parts = t.embeddings.select("vec_id", F.transform(on, lambda x: x.cast("double") / size).alias("u"), F.slice("embedding", 4, 61).alias("v"))
-    pairs = V.met(parts.filter(ASKED), parts, keep=("u", "v"))
-    arc = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), V.dot(F.col("i_u"), F.col("j_u")))))
-    return pairs.select(F.col("i").alias("i_"), F.col("j").alias("j_"), F.round(arc + V.l2(F.col("i_v"), F.col("j_v")), 4).alias("d"))
+    arc = lambda qu, qv, u, v: np.arccos(np.clip(V.dots(qu, u), -1, 1)) + np.sqrt(V.squares(qv, v))
+    pairs = V.pairs(parts.filter(ASKED), parts, arc, vectors=("u", "v"))
+    return pairs.select(F.col("i").alias("i_"), F.col("j").alias("j_"), F.round("x", 4).alias("d"))
 
 
 def _half(t, upper: bool):
