@@ -189,3 +189,23 @@ def test_streams_give_the_rows_of_a_batch(spark, tmp_path):
     assert answer(panels.sessions(stream, "20 minutes", "10 minutes"), "complete", "ses") == sorted(map(tuple, panels.sessions(df, "20 minutes", "10 minutes").collect()))
     means = {e: m for _, e, m in answer(panels.trailing_mean(stream, 3), "append", "mean")}
     assert means[0] == 0 and means[4] == 2 and means[39] == 37
+
+
+def test_forest_grows_on_its_draws(spark):
+    rng = np.random.default_rng(0)
+    x, y = rng.integers(0, 40, (3000, 2)).astype(float), rng.normal(size=3000)
+    y += np.where(x[:, 0] > 20, 10.0, 0.0) + 5 * (x[:, 1] == 7)
+    df = spark.createDataFrame([(*map(float, r), float(v)) for r, v in zip(x, y, strict=True)], "a double, b double, y double").repartition(3)
+    forest = M.fit_forest(df, ["a", "b"], "y", trees=30, draws=400)
+    again = M.fit_forest(df, ["a", "b"], "y", trees=30, draws=400)
+    assert len(forest) == 30 and all((t.value == u.value).all() and (t.cut == u.cut).all() for t, u in zip(forest, again, strict=True))
+    done = df.withColumn("p", M.forest_predict(forest, ["a", "b"])).toPandas()
+    assert np.sqrt(((done.p - done.y) ** 2).mean()) < 1.4 < done.y.std() / 3
+    # one tree without chance: the cut of least squares, midway, both sides of the least size
+    one = M.grown(np.array([[1.0], [2.0], [3.0], [10.0], [11.0], [90.0]]), np.array([0.0, 0, 0, 4, 4, 50]), 1, 2, 1, np.random.default_rng(0))
+    assert one[1][0] == 10.5 and sorted(one[4][1:]) == pytest.approx([1.0, 27.0])
+    deep = M.grown(x, y, 3, 2, 2, np.random.default_rng(1))
+    tree = M.Tree(np.array(deep[0]), np.array(deep[1]), np.array(deep[2]), np.array(deep[3]), np.array(deep[4]))
+    assert len(np.unique(tree.predict(x))) <= 8 and (M.Tree(np.array([0]), np.array([np.inf]), np.array([0]), np.array([0]), np.array([3.0])).predict(x) == 3).all()
+    with pytest.raises(ValueError):
+        M.fit_forest(df.limit(0), ["a", "b"], "y")
