@@ -22,8 +22,9 @@ def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents whose five-word shingles are alike by 0.8 or more, the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs, minhash.near_dedup).select(*COLUMNS)
+    """Of each component of SimHash fingerprints within four bits the document with the smallest doc_id stays; then, for copies that differ in more bits, of each component of those left whose five-word shingles are alike by 0.8 or more."""
+    left = cut(simhash.keep_one(docs).select(*COLUMNS), "simhash")
+    return simhash.keep_one(left, minhash.near_dedup).select(*COLUMNS)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
