@@ -3,7 +3,7 @@
 For each row: the distance r to its k-th neighbour in the plane, by the larger of both differences, then the rows nearer
 than r along each axis alone. No pairs of rows are made. The plane is cut into stripes of about sqrt(n * `ACROSS`)
 rows; within a stripe, rows are sorted along it and each looks at so many neighbours in that order as can still be
-nearer. That bounds r; a row whose bound crosses its stripe's edge visits the stripes that it may reach, each of which
+nearer; where values along it repeat, rows of one value are searched across instead. That bounds r; a row whose bound crosses its stripe's edge visits the stripes that it may reach, each of which
 answers with its k nearest there, and the least k of all count. Rows along an axis are counted from running totals over
 ranges of sorted values, among which r's two ends are dealt like values.
 
@@ -24,6 +24,8 @@ from .augment import normal
 from .settle import settled
 
 ACROSS = 64
+#: In deviations: values closer than that are one but for the noise.
+ALIKE = 1e-7
 #: Rows of a range of sorted values.
 RANGE = 1_000_000
 
@@ -79,15 +81,47 @@ def nearest_in(v: np.ndarray, w: np.ndarray, qv: np.ndarray, qw: np.ndarray, own
     return best
 
 
+def nearest_of_all(v: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k least distances to the others; rows sorted by w. Values of w that are alike but for the noise make long runs, in which order along w tells nothing: a run is searched along v, and only rows that may reach another run along w too."""
+    n = len(v)
+    gap = np.diff(w) > ALIKE
+    run = np.concatenate([[0], np.cumsum(gap)])
+    whole = np.full(n, np.inf)
+    if not n or run[-1] + 1 > n / (8 * k):
+        return np.vstack([nearest_in(v, w, v[a : a + 50_000], w[a : a + 50_000], np.arange(a, min(n, a + 50_000)), k, whole[a : a + 50_000]) for a in range(0, n, 50_000)]) if n else np.empty((0, k))
+    order = np.lexsort((v, run))
+    x, y, own = v[order], w[order], run[order]
+    best = np.full((n, k), np.inf)
+    for side in (-1, 1):
+        live, step = np.arange(n), 0
+        while len(live):
+            step += side
+            p = live + step
+            inside = (p >= 0) & (p < n)
+            live, p = live[inside], p[inside]
+            far = np.abs(x[p] - x[live])
+            near = (own[p] == own[live]) & (far <= best[live, -1])
+            live, p, far = live[near], p[near], far[near]
+            d = np.maximum(far, np.abs(y[p] - y[live]))
+            better = d < best[live, -1]
+            rows = live[better]
+            best[rows, -1] = d[better]
+            best[rows] = np.sort(best[rows], axis=1)
+    out = np.empty((n, k))
+    out[order] = best
+    edge = np.flatnonzero(gap)
+    before, after = np.concatenate([[-np.inf], w[edge]]), np.concatenate([w[edge + 1], [np.inf]])  # the ends of the runs beside
+    open_ = np.flatnonzero(out[:, -1] >= np.minimum(w - before[run], after[run] - w))
+    for a in range(0, len(open_), 50_000):
+        at = open_[a : a + 50_000]
+        out[at] = nearest_in(v, w, v[at], w[at], at, k, out[at, -1])
+    return out
+
+
 def _alone(t: pa.Table, k: int) -> pa.Table:
     """Each row of a stripe with the k least distances within it."""
     t = t.sort_by("w")
-    v, w = t.column("v").to_numpy(), t.column("w").to_numpy()
-    n = len(v)
-    best = np.empty((n, k))
-    for a in range(0, n, 50_000):
-        b = min(n, a + 50_000)
-        best[a:b] = nearest_in(v, w, v[a:b], w[a:b], np.arange(a, b), k, np.full(b - a, np.inf))
+    best = nearest_of_all(t.column("v").to_numpy(), t.column("w").to_numpy(), k)
     d = pa.FixedSizeListArray.from_arrays(pa.array(best.ravel()), k).cast(pa.list_(pa.float64()))
     return t.append_column("d", d)
 

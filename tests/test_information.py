@@ -73,3 +73,24 @@ def test_digamma(spark):
 
     got = [r["d"] for r in spark.range(1, 60).select(I.digamma(F.col("id")).alias("d")).collect()]
     assert np.allclose(got, [_psi(m) for m in range(1, 60)], atol=1e-9)
+
+
+@pytest.mark.parametrize("values", [2, 9, 50, 3000])
+def test_nearest_rows_where_values_repeat(values):
+    rng = np.random.default_rng(values)
+    v, w = rng.normal(size=4000), np.sort(rng.integers(0, values, 4000) / 3 + 1e-10 * rng.normal(size=4000))
+    v[:3] += 1e3  # far from their run: other runs are nearer
+    w[-1] = 5000.0  # alone
+    got = I.nearest_of_all(v, w, 3)
+    d = np.maximum(np.abs(v[:, None] - v), np.abs(w[:, None] - w))
+    np.fill_diagonal(d, np.inf)
+    assert (got == np.sort(d, axis=1)[:, :3]).all()
+
+
+def test_a_long_run_is_not_walked_row_by_row(monkeypatch):
+    rng = np.random.default_rng(0)
+    looked = []
+    plain = I.nearest_in
+    monkeypatch.setattr(I, "nearest_in", lambda *a: looked.append(len(a[2])) or plain(*a))
+    I.nearest_of_all(rng.uniform(size=20_000), np.sort(rng.integers(0, 9, 20_000) + 1e-10 * rng.normal(size=20_000)), 3)
+    assert sum(looked) < 100
