@@ -130,3 +130,24 @@ def test_fluctuations_by_plain_fits(by_range, lag):
         miss = lambda a, b: np.linalg.norm(b - np.polyval(np.polyfit(a, b, 1), a))
         errors = {k / len(lx): miss(lx[:k], ly[:k]) + miss(lx[k - 1 :], ly[k - 1 :]) for k in range(6, len(lx) - 5)}
         assert errors[D.fluctuation_split(z, lag, by_range)] == pytest.approx(min(errors.values()), abs=1e-6)
+
+
+#: On the edge of a histogram's bin by exact arithmetic: 18 + (15328 - 18) / 5 = 3080 hundredths.
+EDGED = [30.86, 45.87, 22.84, 39.2, 68.75, 20.2, 72.69, 19.44, 109.96, 27.39, 5.37, 70.37, 97.18, 60.54, 65.78, 35.39, 0.35, 30.8, 20.44, 27.77, 31.47, 25.39, 10.96, 57.56, 21.86, 12.22, 16.49, 92.09, 38.51, 9.69, 80.59, 33.93, 153.28, 42.03, 61.72, 53.74, 45.71, 33.7, 96.54, 28.65, 81.44, 0.18, 32.2, 122.79, 4.06, 17.91, 5.02, 81.09]
+
+
+def test_equal_windows_are_told_alike_whatever_the_order_of_rows(spark):
+    """A mean and deviation summed in another order end in another last bit, which decides the bin of a value on an edge."""
+    rng = np.random.default_rng(3)
+    rows = [(k, int(t), EDGED[t]) for k in range(60) for t in rng.permutation(48)]
+    got = D.describe(spark.createDataFrame(rows, "key long, t long, value double"), S, "value", 48, 12).drop("key").distinct().collect()
+    assert len(got) == 1
+
+
+def test_batches_of_windows_are_told_as_each_alone():
+    rng = np.random.default_rng(4)
+    for n in (6, 20, 48, 64):
+        x = np.concatenate([rng.integers(0, 4, (40, n)), np.cumsum(rng.normal(size=(40, n)), 1), [np.arange(n) % 5]])
+        z = (x - x.mean(1, keepdims=True)) / x.std(1, ddof=1, keepdims=True)
+        whole = np.stack(D.fitted(z), 1)
+        assert whole.shape == (81, len(D.FITTED)) and np.allclose(whole, [np.stack(D.fitted(r[None]), 1)[0] for r in z])
