@@ -106,11 +106,9 @@ def attributed(found: list[Leaf], features: list[str]) -> Column:
 
 
 def fit_boosted(train: DataFrame, features: list[str], target: str, rounds: int = 100, depth: int = 4, rate: float = 0.1, seed: int = 42):
-    from pyspark.ml.regression import GBTRegressor
+    from .learn import fit_boosting
 
-    from .learn import assembled
-
-    return GBTRegressor(featuresCol="__x", labelCol=target, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed).fit(assembled(train, features, target))
+    return fit_boosting(train, features, target, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=seed)
 
 
 def mean_absolute(test: DataFrame, models: list, features: list[str]) -> DataFrame:
