@@ -146,3 +146,50 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         files.scratch(Elsewhere, "x")
+
+
+def test_direct_models_read_the_rows_once_and_whole_pages(spark):
+    """Pages of 1 to 600 rows, nulls among them: ridge by numpy, and no row read twice."""
+    from tessella.plans import evaluation_queries
+
+    rng = np.random.default_rng(5)
+    rows = [(u * 1000 + k, k, u, None if (u + k) % 17 == 0 and k else float(v)) for u in range(60) for k, v in enumerate(rng.normal(10, 3, 600 if u == 7 else 1 + u % 9))]
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    class Given:
+        events = spark.createDataFrame(rows, "event_id long, ts int, user_id long, value double").mapInArrow(told, "event_id long, ts int, user_id long, value double")
+
+    Given.spark = spark
+    got = {(r["view"], r["model"]): r["rmse"] for r in evaluation_queries.eval_direct(Given).collect()}
+    assert read.value == len(rows) and len(got) == 12 and all(math.isfinite(v) for v in got.values())
+    pages = {}
+    for _, _, u, v in rows:
+        pages.setdefault(u, []).append(v)
+    known = lambda p: [v for v in p if v is not None]
+    views = {"mean": {u: [np.mean(known(p))] for u, p in pages.items()}, "last": {u: [p[-1]] for u, p in pages.items() if p[-1] is not None}, "flat": {u: [v or 0.0 for v in p] + [0.0] * (600 - len(p)) for u, p in pages.items()}}
+    for view, x in views.items():
+        a, b = ([u for u in x if (u % 5 == 0) == held] for held in (False, True))
+        xa, xb, ya, yb = np.array([x[u] for u in a]), np.array([x[u] for u in b]), np.array([max(known(pages[u])) for u in a]), np.array([max(known(pages[u])) for u in b])
+        w = np.linalg.solve((xa - xa.mean(0)).T @ (xa - xa.mean(0)) + np.eye(xa.shape[1]), (xa - xa.mean(0)).T @ (ya - ya.mean()))
+        assert got[view, "ridge"] == pytest.approx(np.sqrt(np.mean((ya.mean() + (xb - xa.mean(0)) @ w - yb) ** 2)))
+
+
+def test_a_vector_of_features_is_its_columns(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rng.normal(size=(300, 3)))], "i int, a double, b double, c double")
+    df = df.withColumns({"y": F.col("a") * 2 - F.col("b"), "v": array_to_vector(F.array("a", "b", "c"))}).repartition(2, "i").cache()
+    train, test = df.filter("i % 3 <> 0"), df.filter("i % 3 = 0")
+    for kind in ("elasticnet", "boosting"):
+        one, many = (learn.fit_predict(train, test, f, "y", kind).select("i", "prediction").sort("i").collect() for f in (["v"], ["a", "b", "c"]))
+        assert len(one) == 100 and np.allclose(one, many)
+    few = learn.weighted(df.select("v", "y").crossJoin(spark.range(20)), ["v"], "y")
+    assert few.count() == 300 and few.agg(F.min("__w")).first()[0] == 20
+    x = df.withColumn("w", F.array("a", "b", F.when(F.col("i") > 0, F.col("c")))).select("i", "w", "a", "b", "c", learn.linear_of("w", np.array([1.0, -2.0, 0.5]), 3.0).alias("p")).sort("i").collect()
+    assert x[0]["p"] is None and np.allclose([r["p"] for r in x[1:]], [3 + r["a"] - 2 * r["b"] + 0.5 * r["c"] for r in x[1:]])
