@@ -4,8 +4,8 @@ For each row: the distance r to its k-th neighbour in the plane, by the larger o
 than r along each axis alone. No pairs of rows are made. The plane is cut into stripes of about sqrt(n * `ACROSS`)
 rows; within a stripe, rows are sorted along it and each looks at so many neighbours in that order as can still be
 nearer; where values along it repeat, rows of one value are searched across instead. That bounds r; a row whose bound crosses its stripe's edge visits the stripes that it may reach, each of which
-answers with its k nearest there, and the least k of all count. Rows along an axis are counted from running totals over
-ranges of sorted values, among which r's two ends are dealt like values.
+answers with its k nearest there, and the least k of all count. Rows along an axis are counted by place within ranges of
+sorted values; only of rows that reach beyond their range are r's two ends dealt like values, and added up by row.
 
 Both columns are scaled to unit deviation and get hashed noise of 1e-10, so that ties fall apart, as is usual for this
 estimator. Stripes lie across the column with more distinct values. Rows with a null or NaN are left out; fewer than
@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
 from .augment import normal
-from .settle import settled
+from .settle import dropped, settled
 
 ACROSS = 64
 #: In deviations: values closer than that are one but for the noise.
@@ -118,12 +118,17 @@ def nearest_of_all(v: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def _alone(t: pa.Table, k: int) -> pa.Table:
-    """Each row of a stripe with the k least distances within it."""
+def _alone(t: pa.Table, k: int, cuts: np.ndarray) -> pa.Table:
+    """Each row of a stripe with its k-th least distance within it and the stripes that it may reach; where these are others too, with all k."""
     t = t.sort_by("w")
-    best = nearest_of_all(t.column("v").to_numpy(), t.column("w").to_numpy(), k)
-    d = pa.FixedSizeListArray.from_arrays(pa.array(best.ravel()), k).cast(pa.list_(pa.float64()))
-    return t.append_column("d", d)
+    v = t.column("v").to_numpy()
+    best = nearest_of_all(v, t.column("w").to_numpy(), k)
+    r = best[:, -1]
+    low, high = (np.searchsorted(cuts, x).astype(np.int32) for x in (v - np.minimum(r, 1e300), v + np.minimum(r, 1e300)))
+    away = low < high
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.where(away, k, 0))]).astype(np.int32))
+    d = pa.ListArray.from_arrays(ends, pa.array(best[away].ravel()))
+    return pa.table({**{c: t.column(c) for c in ("id", "v", "w", "stripe")}, "d": d, "r": pa.array(r), "low": pa.array(low), "high": pa.array(high)})
 
 
 def _visits(rows: pa.Table, visitors: pa.Table, k: int) -> pa.Table:
@@ -136,57 +141,104 @@ def _visits(rows: pa.Table, visitors: pa.Table, k: int) -> pa.Table:
     return pa.table({"id": visitors.column("id"), "v": visitors.column("v"), "w": visitors.column("w"), "d": pa.FixedSizeListArray.from_arrays(pa.array(best.ravel()), k).cast(pa.list_(pa.float64()))})
 
 
+def _edges(away: DataFrame, stripes: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far into each stripe visitors from below and from above may reach: two numbers a stripe."""
+    up, down = F.expr("v + r * 1.000001 + abs(v) * 1e-12"), F.expr("v - r * 1.000001 - abs(v) * 1e-12")
+    got = away.groupBy("stripe").agg(F.max(F.when(F.col("own") < F.col("stripe"), up)).alias("up"), F.min(F.when(F.col("own") > F.col("stripe"), down)).alias("down")).collect()
+    ups, downs = np.full(stripes, -np.inf), np.full(stripes, np.inf)
+    for g in got:
+        ups[g["stripe"]], downs[g["stripe"]] = -np.inf if g["up"] is None else g["up"], np.inf if g["down"] is None else g["down"]
+    return ups, downs
+
+
 def radii(rows: DataFrame, k: int, n: int, across: int = ACROSS) -> DataFrame:
-    """rows (id, v, w) with r, the distance to the k-th neighbour."""
+    """rows (id, v, w) with r, the distance to the k-th neighbour. Only rows that may reach another stripe visit it, and of its rows they meet those within their reach."""
     cuts = _cuts(rows, "v", min(int(np.ceil(np.sqrt(n / across))), max(1, n // (4 * (k + 1)))))
-    place = _place(cuts)
+    place, held = _place(cuts), np.array(cuts)
     striped = rows.withColumn("stripe", place("v"))
-    kind = "id string, v double, w double"
-    alone = striped.groupBy("stripe").applyInArrow(lambda t: _alone(t, k), f"{kind}, stripe int, d array<double>")
-    alone = settled(alone.withColumn("r", F.element_at("d", k)), "alone")
-    reach = alone.withColumns({"low": place(F.col("v") - F.least("r", F.lit(1e300))), "high": place(F.col("v") + F.least("r", F.lit(1e300)))})
+    kind = f"id {rows.schema['id'].dataType.simpleString()}, v double, w double"
+    alone = settled(striped.groupBy("stripe").applyInArrow(lambda t: _alone(t, k, held), f"{kind}, stripe int, d array<double>, r double, low int, high int"), "alone")
+    open_ = alone.filter("low < high")
     others = F.filter(F.sequence("low", "high"), lambda s: s != F.col("stripe"))
-    away = reach.filter("low < high").select("id", "v", "w", "r", F.explode(others).alias("stripe"))
-    met = striped.select("v", "w", "stripe").groupBy("stripe").cogroup(away.groupBy("stripe")).applyInArrow(lambda a, b: _visits(a, b, k), f"{kind}, d array<double>")
-    all_ = alone.select("id", "v", "w", "d").unionByName(met)
-    return all_.groupBy("id").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.element_at(F.array_sort(F.flatten(F.collect_list("d"))), k).alias("r"))
+    away = open_.select("id", "v", "w", "r", F.col("stripe").alias("own"), F.explode(others).alias("stripe"))
+    ups, downs = _edges(away, len(cuts) + 1)
+
+    def reached(batches):
+        for b in batches:
+            v, at = b.column("v").to_numpy(), b.column("stripe").to_numpy()
+            yield b.filter(pa.array((v <= ups[at]) | (v >= downs[at])))
+
+    edge = alone.select("v", "w", "stripe").mapInArrow(reached, "v double, w double, stripe int")
+    met = edge.groupBy("stripe").cogroup(away.drop("own").groupBy("stripe")).applyInArrow(lambda a, b: _visits(a, b, k), f"{kind}, d array<double>")
+    all_ = open_.select("id", "v", "w", "d").unionByName(met)
+    nearest = all_.groupBy("id").agg(F.first("v").alias("v"), F.first("w").alias("w"), F.element_at(F.array_sort(F.flatten(F.collect_list("d"))), k).alias("r"))
+    return alone.filter("low >= high").select("id", "v", "w", "r").unionByName(nearest)
+
+
+def counted(found: DataFrame, c: str, n: int) -> DataFrame:
+    """id, n: the other rows nearer than r along the axis c. Within a range of sorted values rows are counted by place; the ends of those that reach beyond their range are dealt to the ranges that hold them."""
+    cuts = np.array(_cuts(found, c, max(1, -(-n // RANGE))))
+    kind = found.schema["id"].dataType.simpleString()
+
+    def dealt(batches):
+        for b in batches:
+            at, r = b.column(c).to_numpy(zero_copy_only=False), b.column("r").to_numpy(zero_copy_only=False)
+            # a little nearer than r, or the k-th neighbour itself would count where the ends are rounded
+            less = np.maximum(0.0, r - np.maximum(r * 1e-9, np.abs(at) * 1e-15))
+            part, low, high = (np.searchsorted(cuts, x).astype(np.int32) for x in (at, at - less, at + less))
+            whole = (low == part) & (high == part)
+            out = np.flatnonzero(~whole)
+            names = b.column("id")
+            yield pa.RecordBatch.from_arrays([pa.array(part), names, pa.array(at), pa.array(np.where(whole, less, np.nan)), pa.array(np.zeros(len(at), np.int8))], ["part", "id", "at", "less", "sign"])
+            for sign, side, place in ((1, at + less, high), (-1, at - less, low)):
+                yield pa.RecordBatch.from_arrays([pa.array(place[out]), names.take(pa.array(out)), pa.array(side[out]), pa.array(np.full(len(out), np.nan)), pa.array(np.full(len(out), sign, np.int8))], ["part", "id", "at", "less", "sign"])
+
+    def counts(t: pa.Table) -> pa.Table:
+        at, less, sign = (t.column(x).to_numpy() for x in ("at", "less", "sign"))
+        value = sign == 0
+        sorted_ = np.sort(at[value])
+        whole = np.flatnonzero(~np.isnan(less))
+        ends = np.flatnonzero(~value)
+        inside = np.searchsorted(sorted_, at[whole] + less[whole]) - np.searchsorted(sorted_, at[whole] - less[whole], "right") - 1
+        run = np.where(sign[ends] > 0, np.searchsorted(sorted_, at[ends]), np.searchsorted(sorted_, at[ends], "right"))
+        names = pa.concat_arrays([t.column("id").combine_chunks().take(pa.array(np.concatenate([whole, ends]))), pa.nulls(1, t.column("id").type)])
+        n = np.concatenate([np.maximum(inside, 0), run, [len(sorted_)]]).astype(np.int64)
+        return pa.table({"id": names, "part": pa.array(np.full(len(n), t.column("part")[0].as_py(), np.int32)), "sign": pa.array(np.concatenate([np.zeros(len(whole)), sign[ends], [2]]).astype(np.int8)), "n": pa.array(n)})
+
+    rows = found.select("id", c, "r").mapInArrow(dealt, f"part int, id {kind}, at double, less double, sign byte")
+    rows = settled(rows.groupBy("part").applyInArrow(counts, f"id {kind}, part int, sign byte, n long"), "counts")
+    sizes = np.zeros(len(cuts) + 1, np.int64)
+    for g in rows.filter("sign = 2").select("part", "n").collect():  # a row a range
+        sizes[g["part"]] = g["n"]
+    starts = F.get(F.array(*[F.lit(int(x)) for x in np.cumsum(sizes) - sizes]).cast("array<bigint>"), F.col("part"))
+    across = rows.filter("abs(sign) = 1").groupBy("id").agg(F.greatest(F.lit(0), F.sum(F.col("sign") * (F.col("n") + starts)) - 1).cast("long").alias("n"))
+    return rows.filter("sign = 0").select("id", "n").unionByName(across)
 
 
 def within(found: DataFrame, n: int) -> DataFrame:
     """found (id, v, w, r) with nv and nw: the other rows nearer than r along v and along w."""
-    sides = []
-    for c in ("v", "w"):
-        place = _place(_cuts(found, c, max(1, -(-n // RANGE))))
-        # a little nearer than r, or the k-th neighbour itself would count where the ends are rounded
-        less = F.greatest(F.lit(0.0), F.col("r") - F.greatest(F.col("r") * 1e-9, F.abs(F.col(c)) * 1e-15))
-        ends = F.array(
-            F.struct(F.col(c).alias("at"), F.lit(1).alias("kind"), F.lit(0).alias("sign")),
-            F.struct((F.col(c) + less).alias("at"), F.lit(0).alias("kind"), F.lit(1).alias("sign")),  # rows below it: before rows of the same value
-            F.struct((F.col(c) - less).alias("at"), F.lit(2).alias("kind"), F.lit(-1).alias("sign")),
-        )
-        rows = found.select("id", F.explode(ends).alias("e")).select("id", "e.*").withColumn("part", place("at"))
-        run = F.sum((F.col("kind") == 1).cast("long")).over(Window.partitionBy("part").orderBy("at", "kind"))
-        rows = rows.withColumn("run", run)
-        sizes = rows.groupBy("part").agg(F.sum((F.col("kind") == 1).cast("long")).alias("size"))  # a row a range
-        starts = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("start"))
-        counted = rows.filter("kind <> 1").join(F.broadcast(starts), "part")
-        sides.append(counted.select("id", F.lit(c).alias("axis"), (F.col("sign") * (F.col("run") + F.col("start"))).alias("n")))
-    both = sides[0].unionByName(sides[1]).groupBy("id").agg(*[F.greatest(F.lit(0), F.sum(F.when(F.col("axis") == c, F.col("n"))) - 1).alias(f"n{c}") for c in ("v", "w")])
-    return both
+    return counted(found, "v", n).withColumnRenamed("n", "nv").join(counted(found, "w", n).withColumnRenamed("n", "nw"), "id")
 
 
 def mutual_information(df: DataFrame, x: str, y: str, ids: list[str], k: int = 3, seed: int = 0, across: int = ACROSS) -> float:
     """Nats, not below 0. ids name a row; rows that share an id get the same noise and count once."""
     id_ = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids])
     known = df.select(id_.alias("id"), *[F.col(c).cast("double").alias(a) for c, a in ((x, "v"), (y, "w"))]).filter("v is not null and w is not null and not isnan(v) and not isnan(w)").dropDuplicates(["id"])
-    s = known.agg(F.count("*").alias("n"), *[f(a).alias(f"{a}{i}") for a in ("v", "w") for i, f in enumerate((F.stddev_pop, lambda c: F.avg(F.abs(c)), F.approx_count_distinct))]).first()
+    known = settled(known, "known")
+    s = known.agg(F.count("*").alias("n"), *[f(a).alias(f"{a}{i}") for a in ("v", "w") for i, f in enumerate((F.stddev_pop, lambda c: F.avg(F.abs(c)), F.approx_count_distinct))]).first().asDict()
     if s["n"] < k + 2 or not s["v0"] or not s["w0"]:
         return 0.0
     if s["v2"] < s["w2"]:
-        return mutual_information(df, y, x, ids, k, seed, across) if s["w2"] != s["v2"] else 0.0
+        known = known.select("id", F.col("w").alias("v"), F.col("v").alias("w"))
+        s |= {f"{a}{i}": s[f"{b}{i}"] for a, b in (("v", "w"), ("w", "v")) for i in range(3)}
     noisy = {a: F.col(a) / s[f"{a}0"] + 1e-10 * max(1.0, s[f"{a}1"] / s[f"{a}0"]) * normal(seed, "noise", a, F.col("id")) for a in ("v", "w")}
-    found = radii(known.withColumns(noisy), k, s["n"], across)
-    mean = within(found, s["n"]).agg(F.avg(digamma(F.col("nv") + 1) + digamma(F.col("nw") + 1)).alias("m")).first()["m"]
+    points = settled(known.withColumns(noisy).withColumn("id", F.monotonically_increasing_id()), "points")
+    dropped(known)
+    found = settled(radii(points, k, s["n"], across), "radii")
+    dropped(points)
+    whole = F.sum(F.round(digamma(F.col("n") + 1) * 1e12).cast("decimal(18,0)"))  # the same in any order
+    mean = sum(float(counted(found, c, s["n"]).agg(whole.alias("m")).first()["m"]) for c in ("v", "w")) / 1e12 / s["n"]
+    dropped(found)
     psi = lambda m: float(np.log(m) - 1 / (2 * m) - 1 / (12 * m**2)) if m > 20 else -0.5772156649015329 + sum(1 / j for j in range(1, m))
     return max(0.0, psi(s["n"]) + psi(k) - mean)
 

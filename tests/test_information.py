@@ -94,3 +94,18 @@ def test_a_long_run_is_not_walked_row_by_row(monkeypatch):
     monkeypatch.setattr(I, "nearest_in", lambda *a: looked.append(len(a[2])) or plain(*a))
     I.nearest_of_all(rng.uniform(size=20_000), np.sort(rng.integers(0, 9, 20_000) + 1e-10 * rng.normal(size=20_000)), 3)
     assert sum(looked) < 100
+
+
+def test_rows_that_stay_in_their_range_are_counted_by_place(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    n = 1200
+    z, r = np.round(rng.normal(size=n), 2), rng.exponential(0.05, size=n)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(z, r))], "id long, v double, r double")
+    monkeypatch.setattr(I, "RANGE", 100)
+    held = []
+    plain = I.settled
+    monkeypatch.setattr(I, "settled", lambda f, tag: held.append(plain(f, tag)) or held[-1])
+    got = {x["id"]: x["n"] for x in I.counted(df, "v", n).collect()}
+    assert got == {i: max(0, int((abs(z - z[i]) < r[i] * (1 - 1e-9)).sum()) - 1) for i in range(n)}
+    ends = held[0].filter("abs(sign) = 1").count()
+    assert 0 < ends < n  # before: two for every row
