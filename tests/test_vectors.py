@@ -67,3 +67,18 @@ def test_sums_over_pairs_are_sqls_with_copies(spark, tmp_path, name):
     said = lambda df: sorted(tuple(round(float(v), 6) for v in r) for r in df[sorted(df.columns)].values.tolist())
     got, want = said(registry.QUERIES[name](spark, str(tmp_path)).toPandas()), said(con.execute(registry.ORACLE[name]).df())
     assert len(got) == len(want) and np.allclose(got, want, atol=2e-5)
+
+
+@pytest.mark.parametrize("name", ["intrinsic_dim_mle", "intrinsic_dim_twonn", "knn_distance_std"])
+def test_neighbours_of_all_vectors_are_sqls_with_copies_and_clusters(spark, tmp_path, monkeypatch, name):
+    from tessella.operators import graph
+
+    monkeypatch.setattr(graph, "CELL", 20)  # so few that an index would be used
+    rng = np.random.default_rng(8)
+    x = (np.repeat(rng.normal(size=(20, 64)) * 2, 30, axis=0) + rng.normal(size=(600, 64)) * np.repeat(np.where(np.arange(64) < 6, 1, 0.01)[None], 600, axis=0)).astype(np.float32)
+    x[500:540], x[540:570] = x[7], x[10:40]
+    spark.createDataFrame([(i, r.tolist(), i % 7) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE[name]).df()
+    assert np.allclose(got.values.astype(float), want.values.astype(float), atol=2e-5)
