@@ -25,7 +25,7 @@ ASKED = "vec_id % 100 = 0"
 UNNEST = "SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS i FROM embeddings"
 CENTRES = f"WITH p AS ({UNNEST}), c AS (SELECT label AS centre, i, avg(x) AS m FROM p GROUP BY 1, 2), d AS (SELECT vec_id, centre, sqrt(sum((x - m) * (x - m))) AS d FROM p JOIN c USING (i) GROUP BY 1, 2)"
 SOFT = CENTRES + ", q AS (SELECT vec_id, centre, d, exp(-d) / sum(exp(-d)) OVER (PARTITION BY vec_id) AS q FROM d)"
-PAIRS = f"WITH a AS ({UNNEST}), d AS (SELECT a.vec_id AS i_, b.vec_id AS j_, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM a JOIN a b USING (i) WHERE a.{ASKED} GROUP BY 1, 2)"
+PAIRS = f"WITH a AS ({UNNEST}), d AS (SELECT a.vec_id AS i_, b.vec_id AS j_, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM a JOIN a b USING (i) GROUP BY 1, 2)"
 LINEAR = ["l_quantity", "l_discount", "l_tax"]
 
 
@@ -394,24 +394,27 @@ def mean_cosine(t):
 
 
 def _over_pairs(t, run, schema):
-    """What run makes of a block of the stated query set and a part of all vectors: of its ids, and chunks of distances with the pairs that count."""
+    """What run makes of two blocks of all vectors: of both, chunks of distances with the pairs that count, and whether the block meets itself."""
 
-    def each(q, r):
-        return run(q, [(at, np.sqrt(x), other & known) for at, x, other, known in V.compared(q, r, V.squares, ("embedding",))])
+    def each(q, r, same):
+        return run(q, r, ((at, np.sqrt(x), other & known) for at, x, other, known in V.compared(q, r, V.squares, ("embedding",))), same)
 
-    return V.blockwise(t.embeddings.filter(ASKED), t.embeddings, each, schema, block=1024, part=8192)
+    return V.among(t.embeddings.filter("embedding is not null"), each, schema, block=4096)
 
 
 @query(PAIRS + ", k AS (SELECT i_, ln(avg(exp(-d * d / 2))) - 32 * ln(2 * pi()) AS k FROM d GROUP BY 1) SELECT round(-avg(k), 4) AS entropy FROM k")
 def kde_entropy(t):
-    """Gaussian kernel of width 1 in 64 dimensions, at the stated query set; a vector counts for itself, with 1."""
+    """Gaussian kernel of width 1 in 64 dimensions, at every vector; a vector counts for itself, with 1."""
 
-    def run(q, chunks):
-        sums, n = np.zeros(len(q)), np.zeros(len(q), np.int64)
+    def run(q, r, chunks, same):
+        sides = [(np.zeros(len(x)), np.zeros(len(x), np.int64)) for x in (q, r)]
         for at, d, counts in chunks:
-            sums[at : at + len(d)] = np.where(counts, np.exp(-d * d / 2), 0.0).sum(1)
-            n[at : at + len(d)] = counts.sum(1)
-        return pa.table({"i": q.column("i"), "s": pa.array(sums), "n": pa.array(n)})
+            near = np.where(counts, np.exp(-d * d / 2), 0.0)
+            for to, found in zip(sides[0], (near, counts), strict=True):
+                to[at : at + len(d)] = found.sum(1)
+            for to, found in zip(sides[1], (near, counts), strict=True):
+                to += found.sum(0)
+        return pa.concat_tables([pa.table({"i": ids, "s": pa.array(s), "n": pa.array(n)}) for ids, (s, n) in zip((q.column("i"), r.column("j")), sides, strict=True)][: 1 if same else 2])
 
     sums = _over_pairs(t, run, f"i {t.embeddings.schema['vec_id'].dataType.simpleString()}, s double, n long")
     k = sums.groupBy("i").agg((F.ln((F.sum("s") + 1) / (F.sum("n") + 1)) - 32 * F.ln(2 * F.pi())).alias("k"))
@@ -420,12 +423,13 @@ def kde_entropy(t):
 
 @query(PAIRS + " SELECT round(avg(d), 5) AS mean, round(stddev_samp(d), 5) AS std FROM d WHERE i_ <> j_")
 def pairwise_distance_stats(t):
-    """From count, mean and squares about the mean of every group of pairs."""
+    """From count, mean and squares about the mean of every group of pairs; both orders of a pair count."""
 
-    def run(q, chunks):
-        parts = [d[counts] for _, d, counts in chunks]
-        parts = [d for d in parts if len(d)]
-        return pa.table({"n": pa.array([len(d) for d in parts], pa.int64()), "m": pa.array([d.mean() for d in parts], pa.float64()), "s": pa.array([((d - d.mean()) ** 2).sum() for d in parts], pa.float64())})
+    def run(q, r, chunks, same):
+        times = 1 if same else 2
+        parts = [(times * len(d), d.mean(), times * ((d - d.mean()) ** 2).sum()) for d in (d[counts] for _, d, counts in chunks) if len(d)]
+        n, m, s = zip(*parts, strict=True) if parts else ((), (), ())
+        return pa.table({"n": pa.array(n, pa.int64()), "m": pa.array(m, pa.float64()), "s": pa.array(s, pa.float64())})
 
     got = _over_pairs(t, run, "n long, m double, s double").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("m")).alias("t"), F.sum(F.col("s") + F.col("n") * F.col("m") * F.col("m")).alias("s"))
     mean = F.col("t") / F.col("n")

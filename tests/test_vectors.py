@@ -82,3 +82,24 @@ def test_neighbours_of_all_vectors_are_sqls_with_copies_and_clusters(spark, tmp_
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
     got, want = registry.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(registry.ORACLE[name]).df()
     assert np.allclose(got.values.astype(float), want.values.astype(float), atol=2e-5)
+
+
+def _every_pair(tmp_path, spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(620, 64)).astype(np.float32) * rng.uniform(0.1, 1, size=(620, 1)).astype(np.float32)  # the hundredth is unlike the rest
+    x[600:] = x[5]
+    y = rng.integers(0, 7, 620)
+    spark.createDataFrame([(i, r.tolist(), int(c)) for i, (r, c) in enumerate(zip(x, y, strict=True))], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return np.sqrt(((x.astype(float)[:, None] - x) ** 2).sum(2)), y
+
+
+def test_entropy_at_every_vector(spark, tmp_path):
+    d, _ = _every_pair(tmp_path, spark)
+    want = -np.mean(np.log(np.exp(-d * d / 2).mean(1)) - 32 * np.log(2 * np.pi))
+    assert abs(registry.QUERIES["kde_entropy"](spark, str(tmp_path)).first()[0] - want) < 1e-4
+
+
+def test_distances_of_every_pair(spark, tmp_path):
+    d, _ = _every_pair(tmp_path, spark)
+    d = d[~np.eye(620, dtype=bool)]
+    assert np.allclose(registry.QUERIES["pairwise_distance_stats"](spark, str(tmp_path)).first(), (d.mean(), d.std(ddof=1)), atol=1e-5)
