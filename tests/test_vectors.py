@@ -103,3 +103,23 @@ def test_distances_of_every_pair(spark, tmp_path):
     d, _ = _every_pair(tmp_path, spark)
     d = d[~np.eye(620, dtype=bool)]
     assert np.allclose(registry.QUERIES["pairwise_distance_stats"](spark, str(tmp_path)).first(), (d.mean(), d.std(ddof=1)), atol=1e-5)
+
+
+def test_rank_correlation_of_every_pair(spark, tmp_path):
+    d, y = _every_pair(tmp_path, spark)
+    other = ~np.eye(620, dtype=bool)
+
+    def ranks(v):
+        _, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - n + (n + 1) / 2)[at]
+
+    want = np.corrcoef(ranks(d[other].round(6)), ranks(np.abs(y[:, None] - y)[other]))[0, 1]
+    assert abs(registry.QUERIES["spearman_pairdist"](spark, str(tmp_path)).first()[0] - want) < 1e-5
+
+
+@pytest.mark.parametrize("scale", [1, 1e6])  # by place, and sorted
+def test_tallies(scale):
+    rng = np.random.default_rng(1)
+    d, t = np.floor(rng.normal(size=5000) * 100) * scale, rng.normal(size=5000)
+    v, n, s = evaluation_queries._tallied(d, np.ones(5000), t)
+    assert (v == np.unique(d)).all() and (n == [(d == k).sum() for k in v]).all() and np.allclose(s, [t[d == k].sum() for k in v])
