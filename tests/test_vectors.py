@@ -123,3 +123,10 @@ def test_tallies(scale):
     d, t = np.floor(rng.normal(size=5000) * 100) * scale, rng.normal(size=5000)
     v, n, s = evaluation_queries._tallied(d, np.ones(5000), t)
     assert (v == np.unique(d)).all() and (n == [(d == k).sum() for k in v]).all() and np.allclose(s, [t[d == k].sum() for k in v])
+
+
+def test_dimension_of_copies_alone_is_unknown(spark, tmp_path):
+    spark.createDataFrame([(i, [1.0] * 64, 0) for i in range(30)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    assert registry.QUERIES["intrinsic_dim_mle"](spark, str(tmp_path)).first()[0] is con.execute(registry.ORACLE["intrinsic_dim_mle"]).fetchone()[0] is None
